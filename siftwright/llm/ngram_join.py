@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import drop, stored
 from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 
 #: where the global order is cut into the fragments in which overlaps are counted
@@ -193,6 +193,8 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     apart = Window.partitionBy("name")
     survivors = named.withColumn("lo", F.min("sid").over(apart)).withColumn("hi", F.max("sid").over(apart)).where("lo < hi").select("sid").distinct()
     bits = _filter_bits(survivors)
+    named, seen = seen, stored(seen.select("doc_id", "n_shingles", "sid"), "classes")
+    drop(named)
     sets = stored(rows.mapInArrow(_members(n, bits), "tag long, sid long, n int, frag int, grams array<long>"), "grams")
 
     # prefixes: a 32-bit cut of an n-gram keeps equal ones equal, which is all that order and lists need
@@ -232,11 +234,11 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     comp = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     nodes = comp.join(degree, "node", "left").withColumnRenamed("node", "sid")
-    base = seen.select("doc_id", "n_shingles", "sid")
-    classes = base.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(nodes, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    drop(sets, lists, placed)
+    classes = seen.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(nodes, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named_comp = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = stored(classes.join(named_comp, "comp").select("sid", "component_id", "links"), "classes")
-    out = base.join(classes, "sid", "left")
+    out = seen.join(classes, "sid", "left")
     return out.select("doc_id", "n_shingles", "sid", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
@@ -250,4 +252,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, "a").join(right, ["b", "frag"])
     part = both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_overlaps, "a long, b long, na int, nb int, part long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
-    return stored(total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "verified")
+    out = stored(total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "verified")
+    drop(own, used)
+    return out

@@ -28,9 +28,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: its lineage ends here, and a lost executor costs a re-read only."""
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()  # Spark drops shuffle files once the driver has collected what refers to them
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -40,6 +42,13 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            forget(df.sparkSession, path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:

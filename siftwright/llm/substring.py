@@ -173,7 +173,7 @@ def repeated_spans(docs: DataFrame, k: int = 50, doc_id: str = "doc_id", text: s
         bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     edges = rows.select("did", "th", "text").mapInArrow(_edges(k, bits, hot), "part long, edge long, " + SPANS)
     dealt = edges.repartition("part").sortWithinPartitions("part", "edge", "did", "start")
-    return dealt.mapInArrow(_later, SPANS)
+    return stored(dealt.mapInArrow(_later, SPANS), "spans")
 
 
 def _keep(k: int):
