@@ -37,3 +37,28 @@ SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(k.times, 0) * q.size
 FROM queued q LEFT JOIN kept k
   ON q.nth = k.nth AND q.h = k.h AND q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.size = k.size AND q.cum = k.cum
 """
+
+#: base 32 of a SHA-1: eight groups of 20 bits
+_BASE32 = "translate(" + " || ".join(f"substr(alphabet, (v{i} >> {b})::int % 32 + 1, 1)" for i in range(8) for b in (15, 10, 5, 0)) + ", '', '')"
+_GROUPS = ", ".join(f"('0x' || substr(sha, {5 * i + 1}, 5))::bigint AS v{i}" for i in range(8))
+
+ORACLES["op2_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+g AS (SELECT *, {_GROUPS}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS alphabet, max(page_id) OVER (PARTITION BY sha) AS top FROM p)
+SELECT page_id, octet_length(encode(payload))::bigint AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+ORACLES["op7_line_dedup"] = """
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+boiler AS (
+  SELECT line FROM (SELECT source, unnest(lines) AS line FROM d WHERE source IS NOT NULL)
+  WHERE length(trim(line)) >= 1 GROUP BY line HAVING count(DISTINCT source) >= 5),
+all_lines AS (SELECT list(line) AS gone FROM boiler),
+k AS (SELECT doc_id, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM d, all_lines)
+SELECT doc_id, coalesce(len(lines), 0)::bigint AS n_lines, coalesce(len(lines) - len(kept), 0)::bigint AS n_removed,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
+FROM k
+"""
