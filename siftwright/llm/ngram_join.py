@@ -121,8 +121,8 @@ def _describe(n: int, percent: int):
                 name, doc = name[mine[doc]], doc[mine[doc]]
                 doc_order = np.argsort(doc, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi].cast(pa.int64()), pa.array(np.diff(at)), _signed(sid), _lists(name[doc_order].view(np.int64), np.bincount(doc, minlength=hi - lo))],
-                    ["doc_id", "n_shingles", "sid", "names"],
+                    [batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(np.diff(at)), _signed(sid), _lists(name[doc_order].view(np.int64), np.bincount(doc, minlength=hi - lo))],
+                    ["doc_id", "text_hash", "n_shingles", "sid", "names"],
                 )
 
     return run
@@ -172,7 +172,7 @@ def _filter_bits(sids: DataFrame) -> np.ndarray:
 
 
 def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    r"""One row per document: doc_id, n_shingles, sid (the set's name), component_id, links (to other sets).
+    r"""One row per document: doc_id, text_hash, n_shingles, sid (the set's name), comp (the component's), component_id, links (to other sets).
 
     Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased.  Two
     documents link when ``100 * |intersection| >= percent * |union|``.
@@ -188,12 +188,13 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = stored(rows.mapInArrow(_describe(n, percent), "doc_id long, n_shingles long, sid long, names array<long>"), "sets")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    seen = stored(rows.mapInArrow(_describe(n, percent), "doc_id long, text_hash long, n_shingles long, sid long, names array<long>"), "sets")
     named = seen.where("size(names) > 0").select(F.explode("names").alias("name"), "sid")
     apart = Window.partitionBy("name")
     survivors = named.withColumn("lo", F.min("sid").over(apart)).withColumn("hi", F.max("sid").over(apart)).where("lo < hi").select("sid").distinct()
     bits = _filter_bits(survivors)
-    named, seen = seen, stored(seen.select("doc_id", "n_shingles", "sid"), "classes")
+    named, seen = seen, stored(seen.select("doc_id", "text_hash", "n_shingles", "sid"), "classes")
     drop(named)
     sets = stored(rows.mapInArrow(_members(n, bits), "tag long, sid long, n int, frag int, grams array<long>"), "grams")
 
@@ -237,9 +238,26 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     drop(sets, lists, placed)
     classes = seen.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(nodes, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named_comp = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    classes = stored(classes.join(named_comp, "comp").select("sid", "component_id", "links"), "classes")
+    classes = stored(classes.join(named_comp, "comp").select("sid", "comp", "component_id", "links"), "classes")
     out = seen.join(classes, "sid", "left")
-    return out.select("doc_id", "n_shingles", "sid", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "text_hash", "n_shingles", "sid", "comp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of link_sets: of the smallest doc_id (null is largest), then text hash.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    linked = link_sets(docs, n, percent, doc_id, text)
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("did"), "text_hash")
+    keep = linked.where("n_shingles > 0").groupBy("comp").agg(F.min(place).alias("k")).select("k.*", F.lit(True).alias("kept")).distinct()
+    empty = linked.where("n_shingles = 0").select(place.alias("k")).select("k.*", F.lit(False).alias("kept")).distinct()
+    names = {"did": "__did", "text_hash": "__hash", "kept": "__kept"}
+    keyed = docs.withColumn("__did", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))).withColumn("__hash", F.xxhash64(F.col(text).cast("string")))
+    out = keyed.join(keep.unionByName(empty).withColumnsRenamed(names), ["__did", "__hash"])
+    # of rows that repeat one document, one
+    out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__did", "__hash").orderBy("__kept")))
+    return out.where("not __kept or __nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
