@@ -166,7 +166,7 @@ def _filter_bits(sids: DataFrame) -> np.ndarray:
     slot = F.expr(f"(sid & {FILTER_BITS - 1}L) + 1")  # from 1: bucket b then holds slots from (b - 1) * 32768
     rows = sids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in rows.collect():
+    for r in stored(rows, "bits").collect():  # at most FILTER_BITS in all; stored, so that the shuffle behind it is let go
         bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return bits
 
