@@ -135,74 +135,85 @@ def _reached(cand: DataFrame) -> DataFrame:
     return cand.groupBy("file", "block").cogroup(entry.groupBy("file", "block")).applyInArrow(_chain(True), "file string, block long, start long")
 
 
-def read_warc(spark: SparkSession, path: str, http: bool = True) -> DataFrame:
+def _get(name: str, of: Column) -> Column:
+    """A header field's value, null if it is missing or empty."""
+    return F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), of), rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
+
+
+def _record(value: Column, http: bool) -> dict[str, Column]:
+    """What a record says whose header starts ``value``, payload last.  A declared length that is no number gives nulls."""
+    head = F.substring_index(value, END, 1)
+    n = _get("Content-Length", head).try_cast("int")
+    block = F.substring(value.cast("binary"), F.octet_length(head) + len(END) + 1, n).cast("string")
+    http_head = F.substring_index(block, END, 1) if http else F.lit("")
+    skip = F.octet_length(http_head) + len(END) if http else F.lit(0)
+    payload = F.substring(block.cast("binary"), skip + 1, F.octet_length(block))
+    revisit = _get("WARC-Type", head) == "revisit"
+    length = _get("Content-Length", http_head).try_cast("long") if http else F.lit(None).cast("long")
+    return {
+        "record_type": _get("WARC-Type", head),
+        "record_id": _get("WARC-Record-ID", head),
+        "target_uri": _get("WARC-Target-URI", head),
+        "refers_to": _get("WARC-Refers-To", head),
+        "digest": F.when(revisit, F.regexp_replace(_get("WARC-Payload-Digest", head), "(?i)^sha1:", "")).otherwise(base32(F.sha1(payload))),
+        "payload_bytes": F.when(revisit, length).otherwise(F.octet_length(payload).cast("long")),
+        "payload": payload,
+    }
+
+
+def read_warc(spark: SparkSession, path: str, http: bool = True, payload: bool = True) -> DataFrame:
     """One row per record of the archives under ``path``.
 
     file, start, record_type, record_id, target_uri, refers_to (a record id),
-    digest (its payload's SHA-1 in base 32, computed; for a record without
-    payload the one it names), payload_bytes (for a revisit the length its
-    HTTP header names) and payload.  A record that ends beyond its file, or
-    is not reached from the file's start, is left out; an empty file has none.
+    digest (its payload's SHA-1 in base 32, computed; for a revisit the one it
+    names), payload_bytes (for a revisit the length its HTTP header names) and,
+    if asked for, payload.  A record that ends beyond its file, or is not
+    reached from the file's start, is left out; an empty file has none.
+
+    Bodies are looked at where they are read: only numbers and header fields
+    are shuffled, and the bodies of records that hold a magic themselves.
     """
     chunk = _chunks(spark, path)
-    value = F.col("value")
+    value, keys = F.col("value"), ["file", "block", "mid"]
     head = F.substring_index(value, END, 1)
-    get = lambda name, of=head: F.nullif(F.regexp_extract(F.concat(F.lit("\r\n"), of), rf"(?i)\r\n{name}: *([^\r\n]*)", 1), F.lit(""))
-    size = F.octet_length(value).cast("long")
-    upto_http = F.substring_index(value, END, 2)
-    declared = F.expr("try_cast(n as long)")
-    fields = chunk.select("file", "block", "mid", size.alias("size"), F.octet_length(head).cast("long").alias("head_bytes"), get("Content-Length").alias("n"), F.octet_length(upto_http).cast("long").alias("http_bytes"))
-    fields = fields.withColumn("n", declared)
+    told = lambda d: {k: v for k, v in _record(d, http).items() if k != "payload"}
+    said = list(told(value))
+    fields = chunk.select(*keys, F.octet_length(value).cast("long").alias("size"), F.octet_length(head).cast("long").alias("head_bytes"), _get("Content-Length", head).try_cast("long").alias("n"), *[v.alias(k) for k, v in told(value).items()])
+    fields = stored(fields, "chunks")
     # offsets: every byte is in one chunk or one magic
     order = Window.partitionBy("file", "block").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)
-    fields = fields.withColumn("ahead", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order), F.lit(0)))
-    fields = stored(fields, "chunks")
+    sizes = fields.select(*keys, "size", "head_bytes", "n").withColumn("ahead", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order), F.lit(0)))
     blocks = fields.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     sofar = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("bytes").over(sofar), F.lit(0))).select("file", "block", "base")
-    placed = fields.join(blocks, ["file", "block"]).withColumn("start", F.col("base") + F.col("ahead") - len(MAGIC))
+    placed = sizes.join(blocks, ["file", "block"]).withColumn("start", F.col("base") + F.col("ahead") - len(MAGIC))
     placed = placed.withColumn("end", F.col("start") + len(MAGIC) + F.col("head_bytes") + F.col("n") + 2 * len(END))
-    placed = stored(placed.where("start >= 0").select("file", "block", "mid", "start", "end", "size", "head_bytes", "http_bytes"), "candidates")
-    sizes = placed.groupBy("file").agg(F.max(F.col("start") + F.col("size") + len(MAGIC)).alias("file_bytes"))
-    cand = placed.where("end is not null").join(sizes, "file").where("end <= file_bytes").select("file", "block", "start", "end")
+    placed = stored(placed.where("start >= 0").select(*keys, "start", "end", "size"), "candidates")
+    ends = placed.groupBy("file").agg(F.max(F.col("start") + F.col("size") + len(MAGIC)).alias("file_bytes"))
+    cand = placed.where("end is not null").join(ends, "file").where("end <= file_bytes").select("file", "block", "start", "end")
     real = stored(_reached(stored(cand, "edges")), "real").withColumn("real", F.lit(True))
     marked = placed.join(real, ["file", "block", "start"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
     whole = F.col("real") & (F.col("start") + len(MAGIC) + F.col("size") >= F.col("end"))
     marked = stored(marked.withColumn("whole", whole), "marked")
 
-    body = lambda v, n: F.substring(v, len(END) + 1 + F.col("head_bytes"), n)
-    marks = ["file", "block", "mid", "start", "end", "head_bytes", "whole"]
-    simple = _chunks(spark, path).join(marked.where("whole").select(*marks), ["file", "block", "mid"])
-    simple = simple.select("file", "start", "end", "value")
+    simple = fields.join(marked.where("whole").select(*keys, "start"), keys)
+    if payload:
+        simple = simple.join(_chunks(spark, path), keys).withColumn("payload", _record(value, http)["payload"])
+    said += ["payload"] * payload
     # records whose payload holds a magic, and the pieces they own: rare, and joined in the order of the file
-    torn = marked.where("not whole").select(*marks, "real")
     owner = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
-    torn = torn.withColumn("own", F.last(F.when(F.col("real"), F.struct("start", "end")), True).over(owner)).where("start < own.end")
-    pieces = _chunks(spark, path).join(torn.select("file", "block", "mid", "start", "own"), ["file", "block", "mid"])
+    torn = marked.where("not whole").withColumn("own", F.last(F.when(F.col("real"), F.struct("start", "end")), True).over(owner)).where("start < own.end")
+    pieces = _chunks(spark, path).join(torn.select(*keys, "start", "own"), keys)
     glued = pieces.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p"))
-    glued = glued.select("file", F.col("own.start").alias("start"), F.col("own.end").alias("end"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
-    rows = simple.unionByName(glued)
-    raw = value.cast("binary")
-    head_n = F.octet_length(head)
-    n = get("Content-Length").cast("int")
-    block_text = F.substring(raw, head_n + len(END) + 1, n).cast("string")
-    rows = rows.select("file", "start", get("WARC-Type").alias("record_type"), get("WARC-Record-ID").alias("record_id"), get("WARC-Target-URI").alias("target_uri"), get("WARC-Refers-To").alias("refers_to"), get("WARC-Payload-Digest").alias("named"), block_text.alias("block"))
-    if http:
-        http_head = F.substring_index("block", END, 1)
-        payload = F.substring(F.col("block").cast("binary"), F.octet_length(http_head) + len(END) + 1, F.octet_length("block"))
-        length = get("Content-Length", http_head).cast("long")
-    else:
-        payload, length = F.col("block").cast("binary"), F.octet_length("block").cast("long")
-    revisit = F.col("record_type") == "revisit"
-    rows = rows.withColumn("payload", payload)
-    rows = rows.withColumn("digest", F.when(revisit, F.regexp_replace("named", "(?i)^sha1:", "")).otherwise(base32(F.sha1("payload"))))
-    return rows.select("file", "start", "record_type", "record_id", "target_uri", "refers_to", "digest", F.when(revisit, length).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"), "payload")
-
-
-def round_trip(pages: DataFrame, **columns) -> DataFrame:
+    glued = glued.select("file", F.col("own.start").alias("start"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
+    glued = glued.select("file", "start", *[v.alias(k) for k, v in _record(value, http).items() if k in said])
+    return simple.select("file", "start", *said).unionByName(glued)
+
+
+def round_trip(pages: DataFrame, payload: bool = False, **columns) -> DataFrame:
     """Pages written as archives in the shared folder and read back: read_warc's rows with page_id and refers_to as numbers."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(plan_records(pages, **columns), path)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as long)")
-    return read_warc(spark, path).withColumn("page_id", number("record_id")).withColumn("refers_to", number("refers_to"))
+    return read_warc(spark, path, payload=payload).withColumn("page_id", number("record_id")).withColumn("refers_to", number("refers_to"))
