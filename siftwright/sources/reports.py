@@ -48,12 +48,22 @@ def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
+def _has_empty(spark: SparkSession, path: str) -> bool:
+    """Whether a file of this path or glob has no bytes; Spark's readers leave such files out."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return any(f.isFile() and f.getLen() == 0 for f in found)
+
+
 def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "strict") -> DataFrame:
     """mode strict: any JSON value, bad lines and empty files fail; objects: objects only, bad lines fail; lenient: bad lines are skipped."""
     files = read_files(spark, paths)
     if mode == "strict":
-        content = F.when(strip(F.col("content")) == "", F.raise_error(F.concat(F.lit("empty file: "), F.col("file")))).otherwise(F.col("content"))
-        files = files.withColumn("content", content)
+        for path in [paths] if isinstance(paths, str) else paths:
+            if _has_empty(spark, path):
+                raise ValueError(f"empty file: {path}")
+        blank = F.raise_error(F.concat(F.lit("empty file: "), F.col("file")))
+        files = files.withColumn("content", F.when(strip(F.col("content")) == "", blank).otherwise(F.col("content")))
     return explode_files(files, strict=mode != "lenient", objects=mode == "objects")
 
 

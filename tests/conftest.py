@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
+os.environ["STUB_KEY"] = "k"  # before the first Python worker starts
 
 
 @pytest.fixture(scope="session")
