@@ -1,0 +1,341 @@
+"""Corpus operators against brute force on small tables with every odd case, and on the smallest driver tables."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from siftwright.llm import ann, decontam, linededup, mixing, ngram_join, quality, sharding, storage, substring, warc, wordpiece
+from siftwright.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, size long, h string, sid long, n int, shard int, score string"
+EXTRA = (1, "x", 2, 3, 4, "y")
+
+
+def lower(s):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), s)
+
+
+def odd_rows():
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "gamma", "δέλτα", "x" * 90, "e", "zeta,", "eta."]
+    base = [" ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n)) for n in (60, 80, 200, 45)]
+    near = [" ".join(w if rng.random() > 0.02 else "zz" for w in base[0].split()) for _ in range(12)]
+    long = " ".join(str(rng.randrange(500)) for _ in range(9000))
+    texts = [*base, *near, base[1], base[1], base[2] + "\n" + base[0], None, "", " \t\n", "one two", "One two", "a", long, long + " tail", base[0] + "\x1c" + base[0], "Ab\x0bcd ef\x85gh"]
+    rows = [(i, t, f"s{i % 4}" if i % 5 else None, *EXTRA) for i, t in enumerate(texts)]
+    return rows + [rows[3], rows[3], (None, base[3], "s1", *EXTRA), (None, None, None, *EXTRA), (7, base[2], "s2", *EXTRA)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return odd_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, n):
+    w = WORD.findall(lower(text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def linked(rows, n, percent):
+    """Component's smallest id for each row, by all pairs of sets."""
+    sets = [shingles(r[1], n) for r in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least.setdefault(find(i), []).append(r[0])
+    return [(r[0], len(s), min((x for x in least[find(i)] if x is not None), default=None)) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join(docs, rows, none, n, percent):
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_sets(docs, n, percent).collect())
+    assert got == Counter(linked(rows, n, percent))
+    assert ngram_join.link_sets(none).count() == 0
+
+
+def test_ngram_join_of_many_near_copies(spark):
+    rng = random.Random(5)
+    base = [str(rng.randrange(10**6)) for _ in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = str(rng.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    assert got == Counter(linked(rows, 4, 85))
+
+
+def test_one_of_each_keeps_rows_without_words(docs, rows):
+    kept = ngram_join.one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    empty = Counter((r[0], r[1]) for r in rows if not WORD.findall(r[1] or ""))
+    want = {c for _, k, c in linked(rows, 5, 80) if k}
+    assert got - empty and all(got[k] == n for k, n in empty.items())
+    assert sorted(d for d, t in got if WORD.findall(t or "")) == sorted(want)
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 3), (5, 5), (7, 8), (8, 7), (None, 1)] + [(i, i + 1) for i in range(20, 60)]
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 7: 7, 8: 7} | {i: 20 for i in range(20, 61)}
+
+
+def test_warc_round_trip_with_magic_inside(spark, tmp_path):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    htmls = [None, "", "plain", inner, inner * 3 + "tail", "x WARC/1.1\r\n y", "WARC/1.1\r\n", "é\r\n\r\nü" * 50, "plain", None, "z" * 300_000, "WARC/1.1\r\nContent-Length: 999999999\r\n\r\n"]
+    pages = [(i, f"http://h/{i}\r\n", h, "c") for i, h in enumerate(htmls)] + [(2, None, "plain", "c"), (None, "u", "plain", "c"), (None, "v", "only", "c")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, payload string").coalesce(2)
+    top = {}
+    for p, _, h, _ in pages:
+        top[h or ""] = max([x for x in (top.get(h or ""), p) if x is not None], default=None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        for payload in (False, True):
+            out = warc.round_trip(df, payload=payload).collect()
+            assert len(out) == len(pages)
+            digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+            assert Counter((r.page_id, r.payload_bytes, r.digest) for r in out) == Counter((p, len((h or "").encode()), digest(h)) for p, _, h, _ in pages)
+            for h, p in top.items():
+                own = [r for r in out if r.digest == digest(h)]
+                assert [(r.page_id, r.refers_to) for r in own if r.record_type == "response"] == [(p, None)]
+                assert all(r.refers_to == p for r in own if r.record_type == "revisit")
+            if payload:
+                assert {bytes(r.payload).decode() for r in out if r.record_type == "response"} == set(top)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(empty).count() == 0
+
+
+def test_mixing(docs, rows, none):
+    out = mixing.mix_sources(docs).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    assert Counter((r.doc_id, r.source, r.size) for r in out) == Counter((r[0], r[2], size(r[1])) for r in rows)
+    total = sum(r.size for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.source, [r.source_size, r.target, 0, 0])
+        by[r.source][2] += r.taken
+        by[r.source][3] = max(by[r.source][3], r.size)
+        assert r.taken in (0, r.size, 2 * r.size)
+    assert abs(sum(v[1] for v in by.values()) - 1.5 * total) < 1e-6 and all(v[1] <= 2 * v[0] for v in by.values())
+    assert sum(v[2] for v in by.values()) <= 1.5 * total
+    again = mixing.mix_sources(docs.repartition(2)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in out) == Counter((r.doc_id, r.size, r.taken) for r in again)
+    assert mixing.mix_sources(none).count() == 0
+
+
+def test_mixing_targets(spark):
+    sizes = [("a", 100), ("b", 1000), ("c", 10), ("d", 500), (None, 300)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long"), (5, 2, 1), 1.5, 2.0).collect()}
+    w = dict(zip(["a", "b", "c", "d", None], (5, 2, 1, 5, 2), strict=True))
+    left, want, budget = dict(sizes), {}, 1.5 * sum(s for _, s in sizes)
+    while True:  # shares by weight, stopped at twice the size, the excess shared anew
+        level = (budget - sum(want.values())) / sum(w[s] for s in left)
+        full = [s for s in left if level * w[s] > 2 * left[s]]
+        if not full:
+            break
+        want |= {s: 2.0 * left.pop(s) for s in full}
+    want |= {s: level * w[s] for s in left}
+    assert got == pytest.approx(want)
+
+
+def test_quality(spark, docs, rows, none):
+    sf = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    trees = quality.train(*sf, learn=~quality.held_out())
+    scored = quality.score_documents(docs, trees)
+    assert Counter((r.doc_id, r.text) for r in scored.collect()) == Counter((r[0], r[1]) for r in rows)
+    assert scored.columns == docs.columns and scored.where("score not between 0 and 1 or score is null").count() == 0
+    assert quality.score_documents(none, trees).count() == 0
+    a, b = (quality.score_documents(sf[0].repartition(n), trees, score="q").select("doc_id", "q") for n in (1, 7))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert quality.train(none, sf[1], learn=F.lit(True)).score(np.zeros((2, quality.FEATURES))).tolist() == [0.5, 0.5]
+
+
+def test_quality_on_held_out_rows(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, quality.FEATURES))
+    y = ((x[:, 2] > 0.3) ^ (x[:, 5] > 0)).astype(float)
+    p = quality.fit(x[:2000], y[:2000]).score(x[2000:])
+    assert ((p > 0.5) == y[2000:]).mean() > 0.95
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(1500, 24)).astype(np.float32)
+    v[100:400] = v[7]  # a vector of a fifth of all rows
+    rows = [(i, [float(c) for c in x], 0) for i, x in enumerate(v)]
+    bad = [(2000, None, 0), (2050, [0.0] * 24, 0), (2100, [float("nan")] * 24, 0), (2150, [None] + [1.0] * 23, 0), (None, rows[0][1], 0), (2200, [1.0], 0)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, cell int").repartition(3)
+    out = ann.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    hit = 0
+    for q in range(0, 1500, 50):
+        own = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q)
+        s = u @ u[q]
+        s[q] = -9
+        assert [k for k, _, _ in own] == [1, 2, 3, 4, 5]
+        assert all(abs(s[i] - c) < 1e-9 for _, i, c in own) and [c for *_, c in own] == sorted((c for *_, c in own), reverse=True)
+        s = s.round(12)
+        hit += len({i for _, i, _ in own} & set(np.lexsort((np.arange(1500), -s))[:5].tolist()))
+    assert hit / 150 >= 0.9 and len(out) == 150
+    few = ann.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), k=5).collect()
+    assert [r.rank for r in few] == [1, 2]
+    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_decontamination(spark, docs, rows, none):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+    items = [(1, " ".join(words(rows[2][1])[20:60])), (2, "One, two"), (3, None), (4, "..."), (None, "a"), (5, "e"), (10, rows[0][1]), (1, "tail")]
+    window = {}
+    for i, t in items:
+        w = words(t)
+        for s in range(len(w) - min(13, len(w)) + 1 if w and i is not None else 0):
+            window.setdefault(tuple(w[s : s + 13]), set()).add(i)
+    want = Counter()
+    for r in rows:
+        w, hit, found = words(r[1]), set(), set()
+        for k in {len(x) for x in window}:
+            for s in range(len(w) - k + 1):
+                if ids := window.get(tuple(w[s : s + k])):
+                    hit |= set(range(s, s + k))
+                    found |= ids
+        want[(r[0], len(w), len(hit), tuple(sorted(map(str, found))), bool(hit) and 20 * len(hit) >= len(w))] += 1
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    for block in (10**6, 30):
+        out = decontam.contamination(docs, frame, block_words=block).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in out) == want
+    assert decontam.contamination(none, frame).count() == 0
+    assert decontam.contamination(docs, frame.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a x b y c"), (2, "c b a"), (3, "a . . . . b1 b2 b3 b4 b5 b c"), (4, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    got = {r.doc_id: [(m.start, m.length) for m in r.matches] for r in decontam.find_items(docs, items, span=5).collect()}
+    assert got == {1: [(0, 5)], 2: [(0, 3)], 3: [], 4: []}
+
+
+def test_line_dedup(spark, none):
+    rows = [(i, f"own {i}\nshared\nfour" if i % 5 < 4 else "shared\n\nshared", f"s{i % 5}", "k") for i in range(20)] + [(50, None, "s1", "k"), (None, "shared", None, "k"), (51, "", "s2", "k"), (3, "shared", "s9", "k")]
+    out = linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, line string"), sites=5).collect()
+    keep = lambda t: None if t is None else "\n".join(x for x in t.split("\n") if x != "shared")
+    n = lambda t: 0 if t is None else t.count("\n") + 1
+    gone = lambda t: 0 if t is None else t.split("\n").count("shared")
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept) for r in out) == Counter((r[0], n(r[1]), gone(r[1]), keep(r[1])) for r in rows)
+    assert linededup.drop_boilerplate(none).count() == 0
+
+
+def test_line_counts_are_exact_near_the_threshold(spark):
+    rows = [(i, f"line {k}", f"s{i}") for k in range(30, 60) for i in range(k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert linededup.boilerplate(df, sites=45).count() == 15
+
+
+def greedy(vocabulary, text, mark=b" "):
+    total = 0
+    for w in WORD.findall(text or ""):
+        b, p, n = mark + w.encode(), 0, 0
+        while p < len(b):
+            q = len(b)
+            while q > p and b[p:q] not in vocabulary:
+                q -= 1
+            if q == p:
+                n = 1
+                break
+            n, p = n + 1, q
+        total += n
+    return total
+
+
+def test_token_counts(docs, rows, none):
+    rng = random.Random(2)
+    small = {bytes(rng.choice(b" abde0123lphagmtz") for _ in range(rng.randrange(1, 6))) for _ in range(900)} | {b" ", b"x", b"xx", b"xxxxx"}
+    for vocabulary in (sorted(small), wordpiece.load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken")):
+        out = wordpiece.count_tokens(docs, vocabulary).collect()
+        known = set(vocabulary)
+        assert Counter((r.doc_id, r.n_words, r.n_tokens) for r in out) == Counter((r[0], len(WORD.findall(r[1] or "")), greedy(known, r[1])) for r in rows)
+    assert wordpiece.count_tokens(none, [b"a"]).count() == 0
+
+
+def test_sharding(spark, docs, rows, none):
+    out = sharding.assign_shards(docs, shards=4).collect()
+    raw = lambda t: (t or "").encode()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((r[0], len(raw(r[1])) + 8, zlib.crc32(raw(r[1]))) for r in rows)
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert sharding.assign_shards(none).count() == 0
+    many = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot " * 30)).otherwise(F.concat(F.lit("t"), F.repeat(F.col("id").cast("string"), 20))).alias("text"))
+    got = sharding.assign_shards(many, shards=24, doc_id="id").groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    mean = sum(r.b for r in got) / 24
+    assert len(got) == 24 and all(abs(r.b / mean - 1) < 0.05 for r in got)
+
+
+@pytest.mark.parametrize("k", [5, 20])
+def test_substring(docs, rows, none, k):
+    key = lambda r: 2**63 if r[0] is None else r[0]
+    first = {}
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        for s in range(len(w) - k + 1):
+            g = tuple(w[s : s + k])
+            first[g] = min(first.get(g, (2**64, 0)), (key(r), s))
+    want = Counter()
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        gone = {s + j for s in range(len(w) - k + 1) if first[tuple(w[s : s + k])] < (key(r), s) for j in range(k)}
+        want[(r[0], len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs, k).collect())
+    assert got == want
+    assert substring.remove_repeats(none, k).count() == 0
+
+
+def test_shared_folder_is_the_sessions(spark):
+    root = storage.shared_root(spark)
+    assert spark.conf.get("spark.checkpoint.dir") == root and storage.shared_root(spark) == root
+
+
+@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("op")])
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in os.listdir(SF):
+        con.execute(f"create view {t.split('.')[0]} as select * from '{SF}/{t}'")
+    cur = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    got = entry.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(cur.fetchall())
