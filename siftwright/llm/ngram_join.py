@@ -37,7 +37,7 @@ from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 #: where the global order is cut into the fragments in which overlaps are counted
 CUTS = np.arange(1, 4, dtype=np.uint64) << np.uint64(62)
 #: pivots of a list, before its members meet
-PIVOTS = 8
+PIVOTS = 3
 #: bits of the filter that spares most other documents the second reading; a full filter only lets more through
 FILTER_BITS = 1 << 25
 
