@@ -11,9 +11,9 @@ cuts every set into segments.
    below the next power also enters the next class).
 3. *Candidates.*  Survivors' n-grams are ranked rarest first by their count
    among survivors; linked sets share an n-gram of both prefixes.  Sizes and
-   positions must allow the threshold.  First each list is joined to a few
-   pivots of its own; then, only across components that are still apart, list
-   members meet each other.  Members of one component are never paired again.
+   positions must allow the threshold.  Members of each list meet one pivot of
+   it, then a few more, then each other, always only across components that
+   are still apart: members of one component are never paired again.
 4. *Overlaps.*  Each candidate's overlap is counted per fragment, apart, and
    summed per pair; exact integer arithmetic decides.
 
@@ -34,10 +34,10 @@ from .components import components
 from .storage import drop, stored
 from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 
-#: where the global order is cut into the fragments in which overlaps are counted
-CUTS = np.arange(1, 4, dtype=np.uint64) << np.uint64(62)
-#: pivots of a list, before its members meet
-PIVOTS = 3
+#: n-grams that a fragment of a set holds on average, at most; a longer set is cut into 2, 4, 8 ... ranges of the global order
+SEGMENT = 4096
+#: pivots of a list in the rounds before its members meet
+PIVOTS = (1, 8)
 #: bits of the filter that spares most other documents the second reading; a full filter only lets more through
 FILTER_BITS = 1 << 25
 
@@ -128,7 +128,13 @@ def _describe(n: int, percent: int):
     return run
 
 
-def _members(n: int, bits: np.ndarray):
+def _levels(n: int, percent: int) -> list[int]:
+    """Cuts (2 ** level ranges) at which a set of n is needed: its own, and that of the largest sets it may link to."""
+    own = ((n - 1) // SEGMENT).bit_length()
+    return [own, own + 1] if 100 * n > percent * (SEGMENT << own) else [own]
+
+
+def _members(n: int, percent: int, bits: np.ndarray):
     """Sets of texts whose name passes the filter, one fragment a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +148,16 @@ def _members(n: int, bits: np.ndarray):
                 keep = (sid != 0) & ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool)
                 _, once = np.unique(sid, return_index=True)
                 for d in (d for d in once if keep[d]):
-                    s = sets[at[d] : at[d + 1]]
-                    cut = np.searchsorted(s, CUTS)
-                    sizes = np.diff(np.r_[0, cut, len(s)])
-                    k = np.flatnonzero(sizes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), tag)), pa.array(np.full(len(k), sid[d].view(np.int64))), pa.array(np.full(len(k), len(s), np.int32)), pa.array(k.astype(np.int32)), _lists(s.view(np.int64), sizes[k])],
-                        ["tag", "sid", "n", "frag", "grams"],
-                    )
+                    own = sets[at[d] : at[d + 1]]
+                    for i, level in enumerate(_levels(len(own), percent)):
+                        cut = np.arange(1, 1 << level, dtype=np.uint64) << np.uint64((64 - level) % 64)
+                        sizes = np.diff(np.r_[0, np.searchsorted(own, cut), len(own)])
+                        k = np.flatnonzero(sizes)
+                        fill = lambda v, t, k=k: pa.array(np.full(len(k), v, t))
+                        yield pa.RecordBatch.from_arrays(
+                            [fill(tag, np.int64), fill(sid[d].view(np.int64), np.int64), fill(len(own), np.int32), fill(level, np.int32), fill(i == 0, bool), pa.array(k.astype(np.int32)), _lists(own.view(np.int64), sizes[k])],
+                            ["tag", "sid", "n", "level", "main", "frag", "grams"],
+                        )
 
     return run
 
@@ -196,10 +204,10 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     bits = _filter_bits(survivors)
     named, seen = seen, stored(seen.select("doc_id", "text_hash", "n_shingles", "sid"), "classes")
     drop(named)
-    sets = stored(rows.mapInArrow(_members(n, bits), "tag long, sid long, n int, frag int, grams array<long>"), "grams")
+    sets = stored(rows.mapInArrow(_members(n, percent, bits), "tag long, sid long, n int, level int, main boolean, frag int, grams array<long>"), "grams")
 
     # prefixes: a 32-bit cut of an n-gram keeps equal ones equal, which is all that order and lists need
-    gram = sets.select("tag", "sid", "n", F.explode("grams").alias("g")).select("tag", "sid", "n", F.shiftright("g", 32).cast("int").alias("g"))
+    gram = sets.where("main").select("tag", "sid", "n", F.explode("grams").alias("g")).select("tag", "sid", "n", F.shiftright("g", 32).cast("int").alias("g"))
     counted = gram.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df > 1")
     ranked = counted.groupBy("tag", "sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
     # n-grams of one set only come first in the order and meet nothing
@@ -217,20 +225,25 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
         need = f"ceil(({p}.n + {q}.n) * {percent}L / {100 + percent}D)"
         return f"100L * least({p}.n, {q}.n) >= {percent}L * greatest({p}.n, {q}.n) and 1 + least({p}.n - {p}.pos, {q}.n - {q}.pos) >= {need}"
 
-    pivots = lists.groupBy("g", F.pmod("sid", F.lit(PIVOTS))).agg(F.min_by(F.struct("sid", "n", "pos"), "sid").alias("p")).select("g", "p.*")
-    near = lists.alias("x").join(pivots.alias("y"), "g").where("x.sid <> y.sid").where(allowed("x", "y"))
-    near = near.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    near = stored(near, "near")
-    links = _verified(near, sets, percent)
-    first = stored(components(links), "comp")
-
-    placed = lists.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    torn = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-    placed = stored(placed.join(torn, "g", "left_semi"), "torn")
-    far = placed.alias("x").join(placed.alias("y"), "g").where("x.comp < y.comp").where(allowed("x", "y"))
-    far = far.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    far = far.join(near, ["a", "b"], "left_anti")
-    links = stored(links.unionByName(_verified(stored(far, "far"), sets, percent)), "links")
+    def pairs(x: DataFrame, y: DataFrame, apart: str) -> DataFrame:
+        met = x.alias("x").join(y.alias("y"), "g").where(apart).where(allowed("x", "y"))
+        ends = [F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")]
+        return met.select(*ends, F.greatest("x.n", "y.n").alias("most")).distinct()
+
+    links = tried = None
+    placed = lists.withColumn("comp", F.col("sid"))
+    for pivots in PIVOTS:
+        hubs = placed.groupBy("g", F.pmod("sid", F.lit(pivots)).alias("c")).agg(F.min_by(F.struct("sid", "n", "pos", "comp"), "sid").alias("p")).select("g", "p.*")
+        near = pairs(placed, hubs, "x.comp <> y.comp")
+        near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "near")
+        found = _verified(near, sets, percent)
+        links = found if links is None else stored(links.unionByName(found), "links")
+        tried = near.select("a", "b") if tried is None else tried.unionByName(near.select("a", "b"))
+        placed = lists.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        torn = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
+        placed = stored(placed.join(torn, "g", "left_semi"), "torn")
+    far = stored(pairs(placed, placed, "x.comp < y.comp").join(tried, ["a", "b"], "left_anti"), "far")
+    links = stored(links.unionByName(_verified(far, sets, percent)), "links")
 
     comp = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
@@ -261,13 +274,14 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: overlaps per fragment, summed per pair."""
+    """Those of the stored pairs (a, b, most: the larger size) that reach the threshold: overlaps per fragment, summed per pair."""
     used = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "used")
-    own = sets.join(used, "sid", "left_semi").dropDuplicates(["sid", "frag"])
-    own = stored(own, "own")
-    left = own.select(F.col("sid").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = own.select(F.col("sid").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, ["b", "frag"])
+    own = stored(sets.join(used, "sid", "left_semi").dropDuplicates(["sid", "level", "frag"]), "own")
+    left = own.select(F.col("sid").alias("a"), "level", "frag", F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = own.select(F.col("sid").alias("b"), "level", "frag", F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    over = f"(most - 1) div {SEGMENT}"
+    cut = pairs.select("a", "b", F.expr(f"case when {over} = 0 then 0 else length(bin({over})) end").alias("level"))
+    both = cut.join(left, ["a", "level"]).join(right, ["b", "level", "frag"])
     part = both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_overlaps, "a long, b long, na int, nb int, part long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
     out = stored(total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "verified")
