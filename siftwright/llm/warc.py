@@ -203,7 +203,8 @@ def read_warc(spark: SparkSession, path: str, http: bool = True, payload: bool =
     # records whose payload holds a magic, and the pieces they own: rare, and joined in the order of the file
     owner = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     torn = marked.where("not whole").withColumn("own", F.last(F.when(F.col("real"), F.struct("start", "end")), True).over(owner)).where("start < own.end")
-    pieces = _chunks(spark, path).join(torn.select(*keys, "start", "own"), keys)
+    torn = stored(torn.select(*keys, "start", "own"), "torn")  # its size is then known: a few rows are broadcast
+    pieces = _chunks(spark, path).join(torn, keys)
     glued = pieces.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p"))
     glued = glued.select("file", F.col("own.start").alias("start"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
     glued = glued.select("file", "start", *[v.alias(k) for k, v in _record(value, http).items() if k in said])
