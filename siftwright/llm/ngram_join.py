@@ -135,19 +135,18 @@ def _levels(n: int, percent: int) -> list[int]:
 
 
 def _members(n: int, percent: int, bits: np.ndarray):
-    """Sets of texts whose name passes the filter, one fragment a row."""
+    """Sets of texts whose key (the set's name and the row's) passes the filter, one fragment a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for _, _, data, off in text_chunks(batch.column("text")):
+            for lo, hi, data, off in text_chunks(batch.column("text")):
                 tag += 1
                 sets, at = shingle_sets(data, off, n)
                 sid = fingerprints(sets, at)
-                slot = (sid % np.uint64(len(bits) * 8)).astype(np.int64)
-                keep = (sid != 0) & ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool)
-                _, once = np.unique(sid, return_index=True)
-                for d in (d for d in once if keep[d]):
+                slot = ((sid ^ batch.column("key")[lo:hi].to_numpy().view(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
+                keep = np.flatnonzero((sid != 0) & ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool))
+                for d in keep[np.unique(sid[keep], return_index=True)[1]]:
                     own = sets[at[d] : at[d + 1]]
                     for i, level in enumerate(_levels(len(own), percent)):
                         cut = np.arange(1, 1 << level, dtype=np.uint64) << np.uint64((64 - level) % 64)
@@ -169,10 +168,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(np.array(n, np.int64))], ["a", "b", "na", "nb", "part"])
 
 
-def _filter_bits(sids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the names' low bits, put together by aggregation."""
-    slot = F.expr(f"(sid & {FILTER_BITS - 1}L) + 1")  # from 1: bucket b then holds slots from (b - 1) * 32768
-    rows = sids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+def _filter_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the keys' low bits, put together by aggregation."""
+    slot = F.expr(f"(key & {FILTER_BITS - 1}L) + 1")  # from 1: bucket b then holds slots from (b - 1) * 32768
+    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in stored(rows, "bits").collect():  # at most FILTER_BITS in all; stored, so that the shuffle behind it is let go
         bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -201,10 +200,13 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     named = seen.where("size(names) > 0").select(F.explode("names").alias("name"), "sid")
     apart = Window.partitionBy("name")
     survivors = named.withColumn("lo", F.min("sid").over(apart)).withColumn("hi", F.max("sid").over(apart)).where("lo < hi").select("sid").distinct()
-    bits = _filter_bits(survivors)
+    # of the rows of one set, one is read again
+    key = F.xxhash64("doc_id", "text_hash").alias("key")
+    first = seen.where("n_shingles > 0").groupBy("sid").agg(F.min(key).alias("first")).join(survivors, "sid")
+    bits = _filter_bits(first.select(F.col("sid").bitwiseXOR(F.col("first")).alias("key")))
     named, seen = seen, stored(seen.select("doc_id", "text_hash", "n_shingles", "sid"), "classes")
     drop(named)
-    sets = stored(rows.mapInArrow(_members(n, percent, bits), "tag long, sid long, n int, level int, main boolean, frag int, grams array<long>"), "grams")
+    sets = stored(rows.select("text", key).mapInArrow(_members(n, percent, bits), "tag long, sid long, n int, level int, main boolean, frag int, grams array<long>"), "grams")
 
     # prefixes: a 32-bit cut of an n-gram keeps equal ones equal, which is all that order and lists need
     gram = sets.where("main").select("tag", "sid", "n", F.explode("grams").alias("g")).select("tag", "sid", "n", F.shiftright("g", 32).cast("int").alias("g"))
