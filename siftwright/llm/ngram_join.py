@@ -11,7 +11,9 @@ cuts every set into segments.
    below the next power also enters the next class).
 3. *Candidates.*  Survivors' n-grams are ranked rarest first by their count
    among survivors; linked sets share an n-gram of both prefixes.  Sizes and
-   positions must allow the threshold.  Members of each list meet one pivot of
+   positions must allow the threshold, and before all members meet also a
+   bitmap of each set: bit i is the parity of the n-grams that hash to i, so
+   two sets differ in at least as many n-grams as their bitmaps do in bits.  Members of each list meet one pivot of
    it, then a few more, then each other, always only across components that
    are still apart: members of one component are never paired again.
 4. *Overlaps.*  Each candidate's overlap is counted per fragment, apart, and
@@ -38,6 +40,8 @@ from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 SEGMENT = 4096
 #: pivots of a list in the rounds before its members meet
 PIVOTS = (1, 8)
+#: 64-bit words of a set's parity bitmap
+PARITY = 8
 #: bits of the filter that spares most other documents the second reading; a full filter only lets more through
 FILTER_BITS = 1 << 25
 
@@ -100,6 +104,12 @@ def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.n
     return (np.concatenate(out_doc), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """A set's parity bitmap, as PARITY words."""
+    odd = np.bincount((own % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
@@ -153,9 +163,10 @@ def _members(n: int, percent: int, bits: np.ndarray):
                         sizes = np.diff(np.r_[0, np.searchsorted(own, cut), len(own)])
                         k = np.flatnonzero(sizes)
                         fill = lambda v, t, k=k: pa.array(np.full(len(k), v, t))
+                        odd = [parity(own) if i == j == 0 else None for j in range(len(k))]
                         yield pa.RecordBatch.from_arrays(
-                            [fill(tag, np.int64), fill(sid[d].view(np.int64), np.int64), fill(len(own), np.int32), fill(level, np.int32), fill(i == 0, bool), pa.array(k.astype(np.int32)), _lists(own.view(np.int64), sizes[k])],
-                            ["tag", "sid", "n", "level", "main", "frag", "grams"],
+                            [fill(tag, np.int64), fill(sid[d].view(np.int64), np.int64), fill(len(own), np.int32), fill(level, np.int32), fill(i == 0, bool), pa.array(k.astype(np.int32)), _lists(own.view(np.int64), sizes[k]), pa.array(odd, pa.list_(pa.int64()))],
+                            ["tag", "sid", "n", "level", "main", "frag", "grams", "odd"],
                         )
 
     return run
@@ -206,7 +217,7 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     bits = _filter_bits(first.select(F.col("sid").bitwiseXOR(F.col("first")).alias("key")))
     named, seen = seen, stored(seen.select("doc_id", "text_hash", "n_shingles", "sid"), "classes")
     drop(named)
-    sets = stored(rows.select("text", key).mapInArrow(_members(n, percent, bits), "tag long, sid long, n int, level int, main boolean, frag int, grams array<long>"), "grams")
+    sets = stored(rows.select("text", key).mapInArrow(_members(n, percent, bits), "tag long, sid long, n int, level int, main boolean, frag int, grams array<long>, odd array<long>"), "grams")
 
     # prefixes: a 32-bit cut of an n-gram keeps equal ones equal, which is all that order and lists need
     gram = sets.where("main").select("tag", "sid", "n", F.explode("grams").alias("g")).select("tag", "sid", "n", F.shiftright("g", 32).cast("int").alias("g"))
@@ -244,7 +255,11 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
         placed = lists.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         torn = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
         placed = stored(placed.join(torn, "g", "left_semi"), "torn")
-    far = stored(pairs(placed, placed, "x.comp < y.comp").join(tried, ["a", "b"], "left_anti"), "far")
+    # whoever may still meet whom: sets that differ in too many n-grams are told by their bitmaps
+    placed = stored(placed.join(sets.where("odd is not null").select("sid", "odd").dropDuplicates(["sid"]), "sid"), "far")
+    differ = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(PARITY))
+    alike = f"x.n + y.n - ({differ}) >= 2 * ceil((x.n + y.n) * {percent}L / {100 + percent}D)"
+    far = stored(pairs(placed, placed, f"x.comp < y.comp and {alike}").join(tried, ["a", "b"], "left_anti"), "far")
     links = stored(links.unionByName(_verified(far, sets, percent)), "links")
 
     comp = components(links)
@@ -278,7 +293,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the stored pairs (a, b, most: the larger size) that reach the threshold: overlaps per fragment, summed per pair."""
     used = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "used")
-    own = stored(sets.join(used, "sid", "left_semi").dropDuplicates(["sid", "level", "frag"]), "own")
+    own = stored(sets.drop("odd").join(used, "sid", "left_semi").dropDuplicates(["sid", "level", "frag"]), "own")
     left = own.select(F.col("sid").alias("a"), "level", "frag", F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = own.select(F.col("sid").alias("b"), "level", "frag", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     over = f"(most - 1) div {SEGMENT}"
