@@ -5,10 +5,13 @@ n-gram order is the order of those hashes; cutting it into ranges (fragments)
 cuts every set into segments.
 
 1. *Classes.*  Documents with equal sets share one class; copies are never paired.
-2. *Survivors.*  Sets with at most d differing n-grams agree wholly in one of
-   d + 1 fragments, so only sets that share a segment with another set go on.
-   d follows from the threshold and a size class (powers of two; a set close
-   below the next power also enters the next class).
+2. *Survivors.*  Linked sets differ in at most d n-grams, so of p > d
+   fragments at least p - d agree wholly.  A set with n-grams in more than d of
+   them has some in one that agrees, so it goes on only if it shares a segment
+   with another set; a set with n-grams in d or fewer (short ones, mostly) may
+   agree in empty fragments alone and always goes on.  p follows from the
+   threshold and a size class (powers of two; a set close below the next power
+   also enters the next class), d also from the set's own size.
 3. *Candidates.*  Survivors' n-grams are ranked rarest first by their count
    among survivors; linked sets share an n-gram of both prefixes.  Sizes and
    positions must allow the threshold, and before all members meet also a
@@ -79,13 +82,14 @@ def fingerprints(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(n == 0, np.uint64(0), np.where(out == 0, np.uint64(1), out))
 
 
-def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, name of a segment) for every segment that must be compared."""
+def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, name of a segment) for every segment that must be compared; for each text, whether it may link to one it shares no name with."""
     size = np.diff(off)
     doc = np.repeat(np.arange(len(size)), size)
     level = np.zeros(len(size), np.int64)
     level[size > 0] = np.log2(size[size > 0]).astype(np.int64)
     hashed = mix(sets)
+    unsure = np.zeros(len(size), bool)
     out_doc, out = [], []
     for up in (0, 1):
         own = level + up
@@ -95,13 +99,16 @@ def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.n
             continue
         d = doc[keep]
         top = 2 ** (own + 1) - 1
-        parts = (2 * top * (100 - percent)) // (100 + percent) + 1
+        differ = (2 * top * (100 - percent)) // (100 + percent)
+        parts = differ + differ // 8 + 2  # more than differ + 1: else one empty fragment makes a set unsure
         frag = ((sets[keep] >> np.uint64(32)) * parts[d].astype(np.uint64)) >> np.uint64(32)
         head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (frag[1:] != frag[:-1])])
         name = np.add.reduceat(hashed[keep], head) + frag[head] * np.uint64(0x2545F4914F6CDD1D) + own[d[head]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        most = (size + np.minimum(top, 100 * size // percent)) * (100 - percent) // (100 + percent)
+        unsure |= in_class & (np.bincount(d[head], minlength=len(size)) <= most)
         out_doc.append(d[head])
         out.append(mix(name))
-    return (np.concatenate(out_doc), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return (np.concatenate(out_doc), np.concatenate(out), unsure) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), unsure)
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -125,14 +132,14 @@ def _describe(n: int, percent: int):
                 sets, at = shingle_sets(data, off, n)
                 sid = fingerprints(sets, at)
                 _, once = np.unique(sid, return_index=True)  # copies at hand name their segments once
-                doc, name = segment_names(sets, at, percent)
+                doc, name, unsure = segment_names(sets, at, percent)
                 mine = np.zeros(hi - lo, bool)
                 mine[once] = True
                 name, doc = name[mine[doc]], doc[mine[doc]]
                 doc_order = np.argsort(doc, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(np.diff(at)), _signed(sid), _lists(name[doc_order].view(np.int64), np.bincount(doc, minlength=hi - lo))],
-                    ["doc_id", "text_hash", "n_shingles", "sid", "names"],
+                    [batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(np.diff(at)), _signed(sid), _lists(name[doc_order].view(np.int64), np.bincount(doc, minlength=hi - lo)), pa.array(unsure)],
+                    ["doc_id", "text_hash", "n_shingles", "sid", "names", "unsure"],
                 )
 
     return run
@@ -207,10 +214,11 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    seen = stored(rows.mapInArrow(_describe(n, percent), "doc_id long, text_hash long, n_shingles long, sid long, names array<long>"), "sets")
+    seen = stored(rows.mapInArrow(_describe(n, percent), "doc_id long, text_hash long, n_shingles long, sid long, names array<long>, unsure boolean"), "sets")
     named = seen.where("size(names) > 0").select(F.explode("names").alias("name"), "sid")
     apart = Window.partitionBy("name")
-    survivors = named.withColumn("lo", F.min("sid").over(apart)).withColumn("hi", F.max("sid").over(apart)).where("lo < hi").select("sid").distinct()
+    survivors = named.withColumn("lo", F.min("sid").over(apart)).withColumn("hi", F.max("sid").over(apart)).where("lo < hi").select("sid")
+    survivors = survivors.unionByName(seen.where("unsure").select("sid")).distinct()
     # of the rows of one set, one is read again
     key = F.xxhash64("doc_id", "text_hash").alias("key")
     first = seen.where("n_shingles > 0").groupBy("sid").agg(F.min(key).alias("first")).join(survivors, "sid")

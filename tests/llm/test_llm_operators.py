@@ -98,6 +98,39 @@ def test_ngram_join_of_many_near_copies(spark):
     assert got == Counter(linked(rows, 4, 85))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_survivor_filter_loses_no_link(percent):
+    rng = np.random.default_rng(percent)
+    sets, pairs = [], 20_000
+    for _ in range(pairs):
+        n = int(rng.integers(2, 41))
+        own = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        most = n * 100 // percent  # the largest set that n may link to
+        m = int(rng.integers(n, most + 1))
+        common = int(rng.integers(-(-percent * (n + m) // (100 + percent)), n + 1))
+        sets += [np.sort(own[:n]), np.sort(np.r_[own[:common], own[n : n + m - common]])]
+    doc, name, unsure = ngram_join.segment_names(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])], percent)
+    names = [set() for _ in sets]
+    for d, x in zip(doc.tolist(), name.tolist(), strict=True):
+        names[d].add(x)
+    assert all(names[i] & names[i + 1] or (unsure[i] and unsure[i + 1]) for i in range(0, 2 * pairs, 2))
+    # in larger sets the filter still decides
+    big = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in rng.integers(100, 1000, 300)]
+    assert ngram_join.segment_names(np.concatenate(big), np.r_[0, np.cumsum([len(x) for x in big])], percent)[2].mean() < 0.05
+
+
+def test_ngram_join_of_short_texts(spark):
+    percent, rng = 80, random.Random(80)
+    rows = []
+    for i in range(0, 6000, 2):
+        w = [f"{i}w{k}" for k in range(rng.randrange(5, 20))]
+        cut = rng.randrange(2)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[cut:] + [f"{i}x"] * rng.randrange(2)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent).collect()}
+    for i in range(0, len(rows), 2):
+        assert [(i, *got[i]), (i + 1, *got[i + 1])] == linked(rows[i : i + 2], 4, percent)
+
+
 def test_one_of_each_keeps_rows_without_words(docs, rows):
     kept = ngram_join.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns
