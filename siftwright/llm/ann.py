@@ -5,8 +5,10 @@ cosine.  Each is put into the cell of its nearest centroid, and what is left is
 coded in 4-bit codes, one for each few dimensions.  Codes and codebooks
 minimise a loss that weighs the error along the vector (which moves its score)
 ``eta`` + 1 times as much as the error across it.  A query looks into the cells
-that score best (as many as the sample shows to be needed), adds up table entries for all codes there, and ranks the best
-``shortlist`` of a cell again on the original vectors in double precision.
+that score best (as many as the sample shows to be needed), adds up table entries for all codes there, and ranks again, on
+the original vectors in double precision, all rows whose sum may still reach
+the k-th best: a sum is off by at most the length of what the row's code
+misses, which is stored with the code.
 
 Centroids and codebooks are fitted on a bounded sample (``Settings.sample``);
 all rows are indexed.  A cell of many rows is split into parts that are
@@ -33,7 +35,7 @@ class Settings:
     found: float = 0.99  # part of true neighbours that lie in the cells looked into, measured on the sample
     width: int = 4  # dimensions in a code
     threshold: float = 0.2  # score, as a part of the length, above which errors along the vector count
-    shortlist: int = 64  # rows of a cell that are ranked exactly
+    shortlist: int = 64  # rows of a cell that are ranked exactly first; their k-th best score tells which others may beat it
     rows: int = 20_000  # most rows of a cell searched in one task
     rounds: int = 8
 
@@ -146,6 +148,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _missed(codec: Codec, x: np.ndarray, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Length of what the codes miss of each row: for a query of length 1 no score is farther off."""
+    told = codec.books[np.arange(code.shape[1])[None, :], code]
+    return np.sqrt(((codec.blocks(x - codec.centroids[cell]) - told) ** 2).sum((1, 2)))
+
+
 def _index(codec: Codec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +162,7 @@ def _index(codec: Codec):
                 x = _unit(_matrix(part.column("v"), codec.dims))
                 cell = codec.cells(x)
                 code = codec.encode(x, cell)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "v", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(_missed(codec, x, cell, code))], ["vec_id", "v", "cell", "code", "missed"])
 
     return run
 
@@ -187,6 +195,7 @@ def _scan(codec: Codec, k: int, shortlist: int):
         norm = np.sqrt((v * v).sum(1))
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         q_ids, q_all = queries.column("query_id").to_numpy(), _matrix(queries.column("v"), codec.dims)
+        missed = rows.column("missed").to_numpy() + 1e-9  # and what rounding adds
         base = codec.centroids[rows.column("cell")[0].as_py()]
         out = []
         for q_id, q in zip(q_ids, q_all, strict=True):
@@ -196,12 +205,15 @@ def _scan(codec: Codec, k: int, shortlist: int):
             for s in range(code.shape[1]):
                 near += tables[s][code[:, s]]
             near[ids == q_id] = -np.inf
-            n = min(shortlist, len(ids))
-            least = np.partition(near, len(ids) - n)[len(ids) - n]
-            at = np.flatnonzero(near > least)
-            at = np.r_[at, np.flatnonzero(near == least)[: n - len(at)]]  # ids are sorted: ties go to the smaller
+            exactly = lambda at, q=q: (v[at] * q).sum(1) / (norm[at] * np.sqrt((q * q).sum()))
+            n = min(max(shortlist, k), len(ids))
+            first = np.argpartition(near, len(ids) - n)[len(ids) - n :]
+            first = first[ids[first] != q_id]
+            # whatever may reach the k-th best of these, ties included
+            least = np.partition(exactly(first), len(first) - k)[len(first) - k] if len(first) > k else -np.inf
+            at = np.flatnonzero(near + missed >= least)
             at = at[ids[at] != q_id]
-            exact = (v[at] * q).sum(1) / (norm[at] * np.sqrt((q * q).sum()))
+            exact = exactly(at)
             best = np.lexsort((ids[at], -exact))[:k]
             out.append((np.full(len(best), q_id), ids[at][best], exact[best]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
@@ -234,10 +246,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
     codec = fit(x, n_rows, settings)
     few = probes(codec, x, k, settings.found)
     float_v = F.col("v").cast("array<double>").alias("v")
-    index = stored(rows.select("vec_id", float_v).mapInArrow(_index(codec), "vec_id long, v array<double>, cell int, code binary"), "ann")
+    index = stored(rows.select("vec_id", float_v).mapInArrow(_index(codec), "vec_id long, v array<double>, cell int, code binary, missed double"), "ann")
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / settings.rows).cast("int").alias("parts"))
     sizes = F.broadcast(stored(sizes, "cells"))  # at most settings.cells rows
-    dealt = index.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("cell", "part", "vec_id", "v", "code")
+    dealt = index.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("cell", "part", "vec_id", "v", "code", "missed")
 
     def search(some: DataFrame, probes: int) -> DataFrame:
         looked = some.mapInArrow(_probe(codec, probes), "query_id long, v array<double>, cell int")

@@ -251,6 +251,24 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_in_a_large_group_of_near_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 24))
+    v[1000:] = v[7] + rng.normal(size=(2000, 24)) * 1e-3
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = []
+    for q in range(0, 3000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        hit.append(len(found[q] & set(np.argsort(-s)[:5].tolist())) / 5)
+    print("recall", np.mean(hit), "in the group", np.mean(hit[20:]))
+    assert np.mean(hit[20:]) >= 0.99 and np.mean(hit) >= 0.9
+
+
 def test_decontamination(spark, docs, rows, none):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
     items = [(1, " ".join(words(rows[2][1])[20:60])), (2, "One, two"), (3, None), (4, "..."), (None, "a"), (5, "e"), (10, rows[0][1]), (1, "tail")]
