@@ -21,8 +21,10 @@ cuts every set into segments.
    are still apart: members of one component are never paired again.
 4. *Overlaps.*  Each candidate's overlap is counted per fragment, apart, and
    summed per pair; exact integer arithmetic decides.
+5. *Links.*  Where their numbers are asked for, all pairs inside a component of
+   three sets or more are compared, one block of its sets with another.
 
-Only step 4's pairs ship whole sets, one fragment at a time.
+Only the pairs of step 4 and the blocks of step 5 ship whole sets.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 SEGMENT = 4096
 #: pivots of a list in the rounds before its members meet
 PIVOTS = (1, 8)
+#: n-grams and sets that a block of a component holds on average, at most, when its links are counted
+BLOCK, BLOCK_SETS = 1 << 16, 512
 #: 64-bit words of a set's parity bitmap
 PARITY = 8
 #: bits of the filter that spares most other documents the second reading; a full filter only lets more through
@@ -196,15 +200,13 @@ def _filter_bits(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    r"""One row per document: doc_id, text_hash, n_shingles, sid (the set's name), comp (the component's), component_id, links (to other sets).
+def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", count: bool = True) -> DataFrame:
+    r"""One row per document: doc_id, text_hash, n_shingles, sid (the set's name), comp (the component's), component_id and, with ``count``, links (to other sets).
 
     Words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased.  Two
     documents link when ``100 * |intersection| >= percent * |union|``.
     ``component_id`` is the smallest doc_id reachable by links, the document's
-    own included; ``links`` counts the distinct other sets that verified pairs
-    link to its set (pairs inside one component are not all tried, so it is a
-    lower bound there).
+    own included; ``links`` counts the distinct other sets that its set links to.
 
     A null or empty text, or one of spaces only, has an empty set and links
     with nothing.  A null doc_id takes part and is never a component's name
@@ -271,14 +273,20 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     links = stored(links.unionByName(_verified(far, sets, percent)), "links")
 
     comp = components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
-    nodes = comp.join(degree, "node", "left").withColumnRenamed("node", "sid")
-    drop(sets, lists, placed)
+    nodes = comp.withColumnRenamed("node", "sid")
+    drop(lists, placed)
+    if count:  # a component of two sets has one link
+        nodes = nodes.join(_counted(nodes, sets, percent), "sid", "left").withColumn("links", F.coalesce("links", F.lit(1)))
+    else:
+        nodes = nodes.withColumn("links", F.lit(None).cast("long"))
+    nodes = stored(nodes, "nodes")
+    drop(sets)
     classes = seen.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(nodes, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named_comp = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = stored(classes.join(named_comp, "comp").select("sid", "comp", "component_id", "links"), "classes")
     out = seen.join(classes, "sid", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", "sid", "comp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = out.select("doc_id", "text_hash", "n_shingles", "sid", "comp", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out if count else out.drop("links")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,7 +294,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
 
     Rows without words are linked with nothing and all stay.
     """
-    linked = link_sets(docs, n, percent, doc_id, text)
+    linked = link_sets(docs, n, percent, doc_id, text, count=False)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("did"), "text_hash")
     keep = linked.where("n_shingles > 0").groupBy("comp").agg(F.min(place).alias("k")).select("k.*", F.lit(True).alias("kept")).distinct()
     empty = linked.where("n_shingles = 0").select(place.alias("k")).select("k.*", F.lit(False).alias("kept")).distinct()
@@ -312,3 +320,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     out = stored(total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "verified")
     drop(own, used)
     return out
+
+
+def _block_links(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        sid, first, who = np.unique(rows.column("sid").to_numpy(), return_index=True, return_inverse=True)
+        n, block = (rows.column(c).to_numpy()[first].astype(np.int64) for c in ("n", "block"))
+        grams = rows.column("grams").combine_chunks()
+        who = np.repeat(who, grams.value_lengths().to_numpy())
+        _, col, times = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[col] > 1
+        who, (_, col) = who[shared], np.unique(col[shared], return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        who, col = who[order], col[order]
+        common = np.zeros((len(sid), len(sid)), np.int64)
+        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            i, j = np.searchsorted(col, [lo, lo + 4096])
+            has = np.zeros((len(sid), 4096), np.float32)
+            has[who[i:j], col[i:j] - lo] = 1
+            common += (has @ has.T).astype(np.int64)
+        linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        np.fill_diagonal(linked, False)
+        if rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py():
+            linked &= block[:, None] != block[None, :]
+        return pa.table({"sid": pa.array(sid), "links": pa.array(linked.sum(1).astype(np.int64))})
+
+    return run
+
+
+def _counted(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, links) for the sets of all components (nodes: sid, comp) of three or more."""
+    big = nodes.groupBy("comp").agg(F.count("*").alias("k")).where("k > 2")
+    own = sets.where("main").select("sid", "n", "frag", "grams").join(nodes.join(big, "comp"), "sid")
+    own = stored(own.dropDuplicates(["sid", "frag"]), "members")
+    parts = F.ceil(F.greatest(F.sum(F.size("grams")) / BLOCK, F.first("k") / BLOCK_SETS)).cast("int")
+    own_parts = own.groupBy("comp").agg(parts.alias("parts"))
+    dealt = own.join(own_parts, "comp").withColumn("block", F.expr("pmod(xxhash64(sid), parts)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "n", "grams")
+    found = dealt.groupBy("comp", "lo", "hi").applyInArrow(_block_links(percent), "sid long, links long")
+    out = stored(found.groupBy("sid").agg(F.sum("links").alias("links")), "counted")
+    drop(own)
+    return out

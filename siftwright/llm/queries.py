@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.link_sets(table(spark, sf_dir, "documents"), n=4, percent=85)
-    return out.select("doc_id", F.col("n_shingles").cast("long"), "component_id")
+    return out.select("doc_id", F.col("n_shingles").cast("long"), "component_id", "links")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

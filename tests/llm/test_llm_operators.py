@@ -131,6 +131,25 @@ def test_ngram_join_of_short_texts(spark):
         assert [(i, *got[i]), (i + 1, *got[i + 1])] == linked(rows[i : i + 2], 4, percent)
 
 
+def test_ngram_join_counts_every_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 1500)  # several blocks
+    monkeypatch.setattr(ngram_join, "SEGMENT", 64)  # and fragments
+    rng = random.Random(9)
+    base = [str(rng.randrange(10**6)) for _ in range(120)]
+    texts = ["lone text of its own", "one two three four five six", "one two three four five six"]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = str(rng.randrange(10**6))
+        texts.append(" ".join(w))
+    pair = [str(i) for i in range(60)]
+    texts += [" ".join(pair), " ".join(pair[1:])]
+    sets = [shingles(x, 4) for x in texts]
+    want = {i: len({b for b in sets if b != a and 100 * len(a & b) >= 85 * len(a | b)}) for i, a in enumerate(sets)}
+    out = ngram_join.link_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85)
+    assert {r.doc_id: r.links for r in out.collect()} == want
+
+
 def test_one_of_each_keeps_rows_without_words(docs, rows):
     kept = ngram_join.one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns
