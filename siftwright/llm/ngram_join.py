@@ -5,22 +5,27 @@ n-gram order is the order of those hashes; cutting it into ranges (fragments)
 cuts every set into segments.
 
 1. *Classes.*  Documents with equal sets share one class; copies are never paired.
-2. *Survivors.*  Linked sets differ in at most d n-grams, so of p > d
-   fragments at least p - d agree wholly.  A set with n-grams in more than d of
-   them has some in one that agrees, so it goes on only if it shares a segment
-   with another set; a set with n-grams in d or fewer (short ones, mostly) may
-   agree in empty fragments alone and always goes on.  p follows from the
-   threshold and a size class (powers of two; a set close below the next power
-   also enters the next class), d also from the set's own size.
-3. *Candidates.*  Survivors' n-grams are ranked rarest first by their count
-   among survivors; linked sets share an n-gram of both prefixes.  Sizes and
-   positions must allow the threshold, and before all members meet also a
-   bitmap of each set: bit i is the parity of the n-grams that hash to i, so
-   two sets differ in at least as many n-grams as their bitmaps do in bits.  Members of each list meet one pivot of
-   it, then a few more, then each other, always only across components that
-   are still apart: members of one component are never paired again.
-4. *Overlaps.*  Each candidate's overlap is counted per fragment, apart, and
-   summed per pair; exact integer arithmetic decides.
+2. *Names.*  Linked sets differ in at most d n-grams, so of p > d fragments at
+   least p - d agree wholly.  A segment's name is a hash of its n-grams.  A set
+   that has n-grams in s + d + 1 fragments shares at least s + 1 names with
+   every set that it links to, so it leaves out its s names of the fewest
+   n-grams: all sets judge a name alike, and the last name that two of them
+   share in that order stays.  p follows from the threshold and a size class
+   (powers of two; a set close below the next power also enters the next
+   class).  A set with n-grams in d fragments or fewer (short ones, mostly) may
+   agree in empty fragments alone; it also names the n-grams of its prefix in
+   the global order, of which two linked sets share one.
+3. *Candidates.*  Sets that share a name form its list.  Each member meets the
+   list's hub, its smallest set: a line of the list, not a join.  Lists whose
+   members are then in one component are done.  In the others the members of
+   different components meet block by block, first the closest two of each two
+   components, then all that are still apart.  Whoever meets compares sizes and
+   parity bitmaps (bit i is the parity of the n-grams that hash to i, so two
+   sets differ in at least as many n-grams as their bitmaps do in bits), and
+   only pairs that may link leave the block.
+4. *Overlaps.*  Each candidate's overlap is counted in every fragment apart (at
+   least two a set, about ``SEGMENT`` n-grams each), and the counts are summed
+   per pair; exact integer arithmetic decides.
 5. *Links.*  Where their numbers are asked for, all pairs inside a component of
    three sets or more are compared, one block of its sets with another.
 
@@ -30,6 +35,7 @@ Only the pairs of step 4 and the blocks of step 5 ship whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +47,15 @@ from .components import components
 from .storage import drop, stored
 from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 
-#: n-grams that a fragment of a set holds on average, at most; a longer set is cut into 2, 4, 8 ... ranges of the global order
-SEGMENT = 4096
-#: pivots of a list in the rounds before its members meet
-PIVOTS = (1, 8)
+#: n-grams that a fragment of a set holds on average, at most; a set is cut into 2, 4, 8 ... ranges of the global order
+SEGMENT = 64
+#: members of a list in one block
+LIST_BLOCK = 1024
 #: n-grams and sets that a block of a component holds on average, at most, when its links are counted
 BLOCK, BLOCK_SETS = 1 << 16, 512
 #: 64-bit words of a set's parity bitmap
-PARITY = 8
-#: bits of the filter that spares most other documents the second reading; a full filter only lets more through
+PARITY = 16
+#: bits of the filters that spare names and texts that meet nothing a shuffle or second reading; a full filter only lets more through
 FILTER_BITS = 1 << 25
 
 
@@ -86,8 +92,8 @@ def fingerprints(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(n == 0, np.uint64(0), np.where(out == 0, np.uint64(1), out))
 
 
-def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, name of a segment) for every segment that must be compared; for each text, whether it may link to one it shares no name with."""
+def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, name) for every name of which two linked sets are sure to share one."""
     size = np.diff(off)
     doc = np.repeat(np.arange(len(size)), size)
     level = np.zeros(len(size), np.int64)
@@ -107,12 +113,22 @@ def segment_names(sets: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.n
         parts = differ + differ // 8 + 2  # more than differ + 1: else one empty fragment makes a set unsure
         frag = ((sets[keep] >> np.uint64(32)) * parts[d].astype(np.uint64)) >> np.uint64(32)
         head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (frag[1:] != frag[:-1])])
-        name = np.add.reduceat(hashed[keep], head) + frag[head] * np.uint64(0x2545F4914F6CDD1D) + own[d[head]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        of, held = d[head], np.diff(np.r_[head, len(d)])
+        name = mix(np.add.reduceat(hashed[keep], head) + frag[head] * np.uint64(0x2545F4914F6CDD1D) + own[of].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        # how many n-grams this set and one that it links to may differ in
         most = (size + np.minimum(top, 100 * size // percent)) * (100 - percent) // (100 + percent)
-        unsure |= in_class & (np.bincount(d[head], minlength=len(size)) <= most)
-        out_doc.append(d[head])
-        out.append(mix(name))
-    return (np.concatenate(out_doc), np.concatenate(out), unsure) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), unsure)
+        unsure |= in_class & (np.bincount(of, minlength=len(size)) <= most)
+        order = np.lexsort((name, (of << 20) - np.minimum(held, (1 << 20) - 1)))
+        of, name = of[order], name[order]
+        stays = np.arange(len(of)) - np.searchsorted(of, of) <= most[of]
+        out_doc.append(of[stays])
+        out.append(name[stays])
+    for d in np.flatnonzero(unsure):
+        own = sets[off[d] : off[d + 1]]
+        prefix = own[: len(own) - -(-len(own) * percent // 100) + 1]
+        out_doc.append(np.full(len(prefix), d))
+        out.append(mix(prefix + np.uint64(0x9FB21C651E98DF25)))
+    return (np.concatenate(out_doc), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def parity(own: np.ndarray) -> np.ndarray:
@@ -136,22 +152,41 @@ def _describe(n: int, percent: int):
                 sets, at = shingle_sets(data, off, n)
                 sid = fingerprints(sets, at)
                 _, once = np.unique(sid, return_index=True)  # copies at hand name their segments once
-                doc, name, unsure = segment_names(sets, at, percent)
+                doc, name = segment_names(sets, at, percent)
                 mine = np.zeros(hi - lo, bool)
                 mine[once] = True
                 name, doc = name[mine[doc]], doc[mine[doc]]
                 doc_order = np.argsort(doc, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(np.diff(at)), _signed(sid), _lists(name[doc_order].view(np.int64), np.bincount(doc, minlength=hi - lo)), pa.array(unsure)],
-                    ["doc_id", "text_hash", "n_shingles", "sid", "names", "unsure"],
+                    [batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(np.diff(at)), _signed(sid), _lists(name[doc_order].view(np.int64), np.bincount(doc, minlength=hi - lo))],
+                    ["doc_id", "text_hash", "n_shingles", "sid", "names"],
                 )
 
     return run
 
 
+def _in_filter(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = (key & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool)
+
+
+def _repeated(bits: np.ndarray):
+    """(name, sid) of names that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("names")
+            name = names.flatten().to_numpy()
+            sid = np.repeat(batch.column("sid").to_numpy(), names.value_lengths().to_numpy())
+            keep = _in_filter(bits, name.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(sid[keep])], ["name", "sid"])
+
+    return run
+
+
 def _levels(n: int, percent: int) -> list[int]:
     """Cuts (2 ** level ranges) at which a set of n is needed: its own, and that of the largest sets it may link to."""
-    own = ((n - 1) // SEGMENT).bit_length()
+    own = max(1, ((n - 1) // SEGMENT).bit_length())
     return [own, own + 1] if 100 * n > percent * (SEGMENT << own) else [own]
 
 
@@ -165,8 +200,7 @@ def _members(n: int, percent: int, bits: np.ndarray):
                 tag += 1
                 sets, at = shingle_sets(data, off, n)
                 sid = fingerprints(sets, at)
-                slot = ((sid ^ batch.column("key")[lo:hi].to_numpy().view(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
-                keep = np.flatnonzero((sid != 0) & ((bits[slot >> 3] >> (slot & 7)) & 1).astype(bool))
+                keep = np.flatnonzero((sid != 0) & _in_filter(bits, sid ^ batch.column("key")[lo:hi].to_numpy().view(np.uint64)))
                 for d in keep[np.unique(sid[keep], return_index=True)[1]]:
                     own = sets[at[d] : at[d + 1]]
                     for i, level in enumerate(_levels(len(own), percent)):
@@ -183,11 +217,79 @@ def _members(n: int, percent: int, bits: np.ndarray):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ga, gb = batch.column("ga"), batch.column("gb")
-        n = [len(np.intersect1d(ga[i].values.to_numpy(), gb[i].values.to_numpy(), assume_unique=True)) for i in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(np.array(n, np.int64))], ["a", "b", "na", "nb", "part"])
+def _ceil(over: str, under: int) -> str:
+    return f"(({over}) + {under - 1}) div {under}"
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """SQL: sizes and parity bitmaps (a and b have n and odd) leave a link possible."""
+    differ = " + ".join(f"bit_count({a}.odd[{i}] ^ {b}.odd[{i}])" for i in range(PARITY))
+    return f"100L * least({a}.n, {b}.n) >= {percent}L * greatest({a}.n, {b}.n) and {a}.n + {b}.n - ({differ}) >= 2 * ({_ceil(f'({a}.n + {b}.n) * {percent}L', 100 + percent)})"
+
+
+def _met(percent: int, name, lo, hi, block, sid, comp, n, odd) -> tuple[np.ndarray, ...]:
+    """(row, row, bits that differ) of the pairs that may link, of different components, inside each group (name, lo, hi) of sorted rows."""
+    group = np.cumsum(np.r_[False, (name[1:] != name[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    two = lo != hi
+    left, right, far = [], [], []
+    i = np.arange(len(name))
+    for k in range(1, len(name)):
+        i = i[i < len(name) - k]
+        i = i[group[i] == group[i + k]]
+        if not len(i):
+            break
+        j = i + k
+        ok = (comp[i] != comp[j]) & (~two[i] | (block[i] != block[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        a, b = i[ok], j[ok]
+        differ = np.bitwise_count(odd[a] ^ odd[b]).sum(1, dtype=np.int64)
+        total = n[a] + n[b]
+        ok = total - differ >= 2 * (-(-total * percent // (100 + percent)))
+        left.append(a[ok])
+        right.append(b[ok])
+        far.append(differ[ok])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]) for x in (left, right, far))
+
+
+def _meet(percent: int, closest: bool):
+    """Pairs that may link of rows sorted by (name, lo, hi); with ``closest``, of each two components the closest at hand only."""
+    columns = ["name", "lo", "hi", "block", "sid", "comp", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rows = [batch.column(c).to_numpy() for c in columns] + [batch.column("odd").flatten().to_numpy().view(np.uint64).reshape(-1, PARITY)]
+                rows[6] = rows[6].astype(np.int64)
+                rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+                if not len(rest[0]):
+                    continue
+                same = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1]) & (rest[2] == rest[2][-1])
+                cut = int(np.flatnonzero(same)[0])  # the last group may go on
+            elif rest is None:
+                return
+            else:
+                cut = len(rest[0])
+            rows, rest = [x[:cut] for x in rest], [x[cut:] for x in rest]
+            if not cut:
+                continue
+            i, j, far = _met(percent, *rows)
+            sid, comp = rows[4], rows[5]
+            swap = sid[i] > sid[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            if closest:
+                u, v = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                order = np.lexsort((sid[j], sid[i], far, v, u))
+                i, j, u, v = i[order], j[order], u[order], v[order]
+                new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.zeros(0, bool)
+            else:
+                order = np.lexsort((sid[j], sid[i]))
+                i, j = i[order], j[order]
+                new = np.r_[True, (sid[i][1:] != sid[i][:-1]) | (sid[j][1:] != sid[j][:-1])] if len(i) else np.zeros(0, bool)
+            i, j = i[new], j[new]
+            yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], ["a", "b"])
+
+    return run
 
 
 def _filter_bits(keys: DataFrame) -> np.ndarray:
@@ -213,74 +315,47 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     unless all its members are null.  Repeated rows come out as often as they
     came in.  An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    seen = stored(rows.mapInArrow(_describe(n, percent), "doc_id long, text_hash long, n_shingles long, sid long, names array<long>, unsure boolean"), "sets")
-    named = seen.where("size(names) > 0").select(F.explode("names").alias("name"), "sid")
-    apart = Window.partitionBy("name")
-    survivors = named.withColumn("lo", F.min("sid").over(apart)).withColumn("hi", F.max("sid").over(apart)).where("lo < hi").select("sid")
-    survivors = survivors.unionByName(seen.where("unsure").select("sid")).distinct()
+    seen = stored(rows.mapInArrow(_describe(n, percent), "doc_id long, text_hash long, n_shingles long, sid long, names array<long>"), "sets")
+    named = seen.select(F.explode("names").alias("name"), "sid")
+    # summed map-side: a name of a third of all sets reaches the shuffle once a task
+    again = stored(named.groupBy("name").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub < last").select("name", "hub"), "names")
+    bits = _filter_bits(again.select(F.col("name").alias("key")))
+    held = seen.select("sid", "names").mapInArrow(_repeated(bits), "name long, sid long")
+    lists = stored(held.join(again, "name").select("name", "sid", "hub").distinct(), "lists")
     # of the rows of one set, one is read again
     key = F.xxhash64("doc_id", "text_hash").alias("key")
-    first = seen.where("n_shingles > 0").groupBy("sid").agg(F.min(key).alias("first")).join(survivors, "sid")
+    first = seen.where("n_shingles > 0").groupBy("sid").agg(F.min(key).alias("first")).join(lists.select("sid").distinct(), "sid")
     bits = _filter_bits(first.select(F.col("sid").bitwiseXOR(F.col("first")).alias("key")))
     named, seen = seen, stored(seen.select("doc_id", "text_hash", "n_shingles", "sid"), "classes")
-    drop(named)
+    drop(named, again)
     sets = stored(rows.select("text", key).mapInArrow(_members(n, percent, bits), "tag long, sid long, n int, level int, main boolean, frag int, grams array<long>, odd array<long>"), "grams")
-
-    # prefixes: a 32-bit cut of an n-gram keeps equal ones equal, which is all that order and lists need
-    gram = sets.where("main").select("tag", "sid", "n", F.explode("grams").alias("g")).select("tag", "sid", "n", F.shiftright("g", 32).cast("int").alias("g"))
-    counted = gram.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df > 1")
-    ranked = counted.groupBy("tag", "sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("common"))
-    # n-grams of one set only come first in the order and meet nothing
-    prefix = F.expr(f"n - cast(ceil(n * {percent} / 100D) as int) + 1")
-    lists = (
-        ranked.select("sid", "n", F.posexplode("common").alias("i", "c"), (F.col("n") - F.size("common")).alias("alone"))
-        .select("sid", "n", F.col("c.g").alias("g"), (F.col("i") + F.col("alone")).alias("pos"))
-        .where(F.col("pos") < prefix)
-        .distinct()
-    )
-    lists = stored(lists, "lists")
-
-    def allowed(p: str, q: str) -> str:
-        """Sizes and positions let the pair reach the threshold."""
-        need = f"ceil(({p}.n + {q}.n) * {percent}L / {100 + percent}D)"
-        return f"100L * least({p}.n, {q}.n) >= {percent}L * greatest({p}.n, {q}.n) and 1 + least({p}.n - {p}.pos, {q}.n - {q}.pos) >= {need}"
-
-    def pairs(x: DataFrame, y: DataFrame, apart: str) -> DataFrame:
-        met = x.alias("x").join(y.alias("y"), "g").where(apart).where(allowed("x", "y"))
-        ends = [F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")]
-        return met.select(*ends, F.greatest("x.n", "y.n").alias("most")).distinct()
-
-    links = tried = None
-    placed = lists.withColumn("comp", F.col("sid"))
-    for pivots in PIVOTS:
-        hubs = placed.groupBy("g", F.pmod("sid", F.lit(pivots)).alias("c")).agg(F.min_by(F.struct("sid", "n", "pos", "comp"), "sid").alias("p")).select("g", "p.*")
-        near = pairs(placed, hubs, "x.comp <> y.comp")
-        near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "near")
-        found = _verified(near, sets, percent)
-        links = found if links is None else stored(links.unionByName(found), "links")
-        tried = near.select("a", "b") if tried is None else tried.unionByName(near.select("a", "b"))
-        placed = lists.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        torn = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("g")
-        placed = stored(placed.join(torn, "g", "left_semi"), "torn")
-    # whoever may still meet whom: sets that differ in too many n-grams are told by their bitmaps
-    placed = stored(placed.join(sets.where("odd is not null").select("sid", "odd").dropDuplicates(["sid"]), "sid"), "far")
-    differ = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(PARITY))
-    alike = f"x.n + y.n - ({differ}) >= 2 * ceil((x.n + y.n) * {percent}L / {100 + percent}D)"
-    far = stored(pairs(placed, placed, f"x.comp < y.comp and {alike}").join(tried, ["a", "b"], "left_anti"), "far")
-    links = stored(links.unionByName(_verified(far, sets, percent)), "links")
-
-    comp = components(links)
-    nodes = comp.withColumnRenamed("node", "sid")
-    drop(lists, placed)
-    if count:  # a component of two sets has one link
-        nodes = nodes.join(_counted(nodes, sets, percent), "sid", "left").withColumn("links", F.coalesce("links", F.lit(1)))
+    # a filter may let two rows of one set through: the tag tells which one counts
+    heads = stored(sets.where("odd is not null").groupBy("sid").agg(F.min_by(F.struct("tag", "n", "odd"), "tag").alias("h")).select("sid", "h.*"), "heads")
+
+    tried = _told(lists.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct(), heads, percent)
+    found = _verified(tried, sets, percent)
+    comp = heads.select("sid").join(components(found).withColumnRenamed("node", "sid"), "sid", "left")
+    comp = stored(comp.select("sid", F.coalesce("comp", "sid").alias("comp")), "comp")
+    for closest in (True, False):
+        met = _across(lists, comp, heads, percent, closest).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        met = _told(met, heads, percent)
+        if met.isEmpty():
+            break
+        found = _verified(met, sets, percent, few=True)
+        tried = tried.unionByName(met)
+        comp = _merged(comp, found)
+    drop(lists)
+
+    comp = comp.join(heads.select("sid", "tag"), "sid")
+    if count:
+        comp = comp.join(_counted(comp, sets, percent), "sid", "left")
+        comp = comp.withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
     else:
-        nodes = nodes.withColumn("links", F.lit(None).cast("long"))
-    nodes = stored(nodes, "nodes")
-    drop(sets)
+        comp = comp.withColumn("links", F.lit(None).cast("long"))
+    nodes = stored(comp.select("sid", "comp", "links"), "nodes")
+    drop(sets, heads)
     classes = seen.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(nodes, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named_comp = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     classes = stored(classes.join(named_comp, "comp").select("sid", "comp", "component_id", "links"), "classes")
@@ -306,19 +381,46 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "d
     return out.where("not __kept or __nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the stored pairs (a, b, most: the larger size) that reach the threshold: overlaps per fragment, summed per pair."""
-    used = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "used")
-    own = stored(sets.drop("odd").join(used, "sid", "left_semi").dropDuplicates(["sid", "level", "frag"]), "own")
-    left = own.select(F.col("sid").alias("a"), "level", "frag", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    right = own.select(F.col("sid").alias("b"), "level", "frag", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    over = f"(most - 1) div {SEGMENT}"
-    cut = pairs.select("a", "b", F.expr(f"case when {over} = 0 then 0 else length(bin({over})) end").alias("level"))
-    both = cut.join(left, ["a", "level"]).join(right, ["b", "level", "frag"])
-    part = both.select("a", "b", "na", "nb", "ga", "gb").mapInArrow(_overlaps, "a long, b long, na int, nb int, part long")
+def _told(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Stored (a, b) that may link, with their sizes and tags."""
+    side = lambda c: heads.select(F.col("sid").alias(c), F.struct("tag", "n", "odd").alias(f"h{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("ha", "hb", percent))
+    return stored(both.select("a", "b", F.col("ha.n").alias("na"), F.col("hb.n").alias("nb"), F.col("ha.tag").alias("ta"), F.col("hb.tag").alias("tb")), "pairs")
+
+
+def _across(lists: DataFrame, comp: DataFrame, heads: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """(a, b) that may link, of lists whose members are in several components: block against block."""
+    placed = stored(lists.select("name", "sid").join(comp, "sid"), "placed")
+    torn = placed.groupBy("name").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("parts")).where("lo < hi").select("name", "parts")
+    rows = placed.join(torn, "name").withColumn("block", F.expr("cast(pmod(xxhash64(sid), parts) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).join(heads.select("sid", "n", "odd"), "sid")
+    rows = rows.select("name", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "odd")
+    rows = rows.repartition("name", "lo", "hi").sortWithinPartitions("name", "lo", "hi")
+    return rows.mapInArrow(_meet(percent, closest), "a long, b long").distinct()
+
+
+def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """comp (sid, comp) after the links ``found``: components of the components."""
+    side = lambda c: comp.select(F.col("sid").alias(c), F.col("comp").alias(f"c{c}"))
+    ends = found.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    up = components(stored(ends.distinct(), "ends")).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return stored(comp.join(up, "comp", "left").select("sid", F.coalesce("up", "comp").alias("comp")), "comp")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """Those of _told's pairs that reach the threshold: overlaps counted in each fragment, summed per pair.  ``few`` pairs: only their sets are shuffled."""
+    if few:
+        used = pairs.select(F.col("a").alias("sid"), F.col("ta").alias("tag")).union(pairs.select("b", "tb")).distinct()
+        sets = stored(sets.join(used, ["sid", "tag"], "left_semi"), "own")
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("tag").alias(f"t{c}"), "level", "frag", F.col("grams").alias(f"g{c}"))
+    over = f"(greatest(na, nb) - 1) div {SEGMENT}"
+    cut = pairs.withColumn("level", F.expr(f"case when {over} = 0 then 1 else length(bin({over})) end"))
+    both = cut.join(side("a"), ["a", "ta", "level"]).join(side("b"), ["b", "tb", "level", "frag"])
+    part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
     out = stored(total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b"), "verified")
-    drop(own, used)
+    if few:
+        drop(sets)
     return out
 
 
@@ -349,15 +451,16 @@ def _block_links(percent: int):
 
 
 def _counted(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, links) for the sets of all components (nodes: sid, comp) of three or more."""
-    big = nodes.groupBy("comp").agg(F.count("*").alias("k")).where("k > 2")
-    own = sets.where("main").select("sid", "n", "frag", "grams").join(nodes.join(big, "comp"), "sid")
-    own = stored(own.dropDuplicates(["sid", "frag"]), "members")
-    parts = F.ceil(F.greatest(F.sum(F.size("grams")) / BLOCK, F.first("k") / BLOCK_SETS)).cast("int")
+    """(sid, links) for the sets of all components (nodes: sid, tag, comp) of two or more."""
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("k")).where("k > 1")
+    placed = stored(nodes.join(sizes, "comp"), "members")
+    pairs = placed.where("k = 2").select("sid", F.lit(1).cast("long").alias("links"))
+    own = stored(sets.where("main").select("sid", "tag", "n", "frag", "grams").join(placed.where("k > 2"), ["sid", "tag"]), "members")
+    parts = F.ceil(F.greatest(F.sum(F.size("grams")) / BLOCK, F.max("k") / BLOCK_SETS)).cast("int")
     own_parts = own.groupBy("comp").agg(parts.alias("parts"))
     dealt = own.join(own_parts, "comp").withColumn("block", F.expr("pmod(xxhash64(sid), parts)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "n", "grams")
     found = dealt.groupBy("comp", "lo", "hi").applyInArrow(_block_links(percent), "sid long, links long")
-    out = stored(found.groupBy("sid").agg(F.sum("links").alias("links")), "counted")
-    drop(own)
+    out = stored(found.groupBy("sid").agg(F.sum("links").alias("links")).unionByName(pairs), "counted")
+    drop(own, placed)
     return out

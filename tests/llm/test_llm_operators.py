@@ -109,14 +109,30 @@ def test_survivor_filter_loses_no_link(percent):
         m = int(rng.integers(n, most + 1))
         common = int(rng.integers(-(-percent * (n + m) // (100 + percent)), n + 1))
         sets += [np.sort(own[:n]), np.sort(np.r_[own[:common], own[n : n + m - common]])]
-    doc, name, unsure = ngram_join.segment_names(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])], percent)
+    doc, name = ngram_join.segment_names(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])], percent)
     names = [set() for _ in sets]
     for d, x in zip(doc.tolist(), name.tolist(), strict=True):
         names[d].add(x)
-    assert all(names[i] & names[i + 1] or (unsure[i] and unsure[i + 1]) for i in range(0, 2 * pairs, 2))
-    # in larger sets the filter still decides
-    big = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in rng.integers(100, 1000, 300)]
-    assert ngram_join.segment_names(np.concatenate(big), np.r_[0, np.cumsum([len(x) for x in big])], percent)[2].mean() < 0.05
+    assert all(names[i] & names[i + 1] for i in range(0, 2 * pairs, 2))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_names_of_larger_sets_lose_no_link(percent):
+    rng = np.random.default_rng(percent + 1)
+    sets, pairs = [], 3_000
+    for _ in range(pairs):
+        n = int(rng.integers(40, 500))
+        own = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        m = int(rng.integers(n, n * 100 // percent + 1))
+        common = -(-percent * (n + m) // (100 + percent))  # as few as still link
+        sets += [np.sort(own[:n]), np.sort(np.r_[own[:common], own[n : n + m - common]])]
+    doc, name = ngram_join.segment_names(np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])], percent)
+    names = [set() for _ in sets]
+    for d, x in zip(doc.tolist(), name.tolist(), strict=True):
+        names[d].add(x)
+    assert all(names[i] & names[i + 1] for i in range(0, 2 * pairs, 2))
+    # and sets that have nothing in common share none
+    assert not any(names[i] & names[i + 2] for i in range(0, 2 * pairs - 2, 2))
 
 
 def test_ngram_join_of_short_texts(spark):
@@ -133,7 +149,8 @@ def test_ngram_join_of_short_texts(spark):
 
 def test_ngram_join_counts_every_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 1500)  # several blocks
-    monkeypatch.setattr(ngram_join, "SEGMENT", 64)  # and fragments
+    monkeypatch.setattr(ngram_join, "SEGMENT", 16)  # many fragments
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 7)  # lists cut too
     rng = random.Random(9)
     base = [str(rng.randrange(10**6)) for _ in range(120)]
     texts = ["lone text of its own", "one two three four five six", "one two three four five six"]
