@@ -3,7 +3,9 @@ r"""WARC archives: writing records of pages and reading any archive back.
 *Writing* uses Spark's own text writer: a record is one row and
 ``\r\n\r\n`` the separator, so archives are written by all tasks, committed as
 usual, to any file system.  Pages whose payloads are equal are written once;
-the others are revisit records that name the first.
+the others are revisit records that name the first.  Digests are counted
+without payloads; of a payload that occurs once the record is written where
+its page is read, and of one that repeats a single copy is shuffled.
 
 *Reading* splits archives at the magic ``WARC/1.1\r\n``.  What follows a magic
 is only a candidate, as payloads may hold the magic too.  Each candidate gives
@@ -26,6 +28,8 @@ from .storage import fresh_path, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 NO_PAGE = "null"
+#: bits of the filters that tell which pages need no shuffle; a full filter only lets more rows be shuffled
+FILTER_BITS = 1 << 25
 
 
 def base32(hexed: Column) -> Column:
@@ -34,21 +38,64 @@ def base32(hexed: Column) -> Column:
     return F.translate(F.concat(*five), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _slot(*of: str) -> Column:
+    return F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS)) + 1
+
+
+def _filter(rows: DataFrame, *of: str) -> DataFrame:
+    """Stored bitmap (bucket, bits) of the columns' hashes: FILTER_BITS in all."""
+    slot = _slot(*of)
+    return stored(rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")), "filter")
+
+
+def _tested(rows: DataFrame, bits: DataFrame, out: str, *of: str) -> DataFrame:
+    """rows with ``out``: whether the filter may hold the columns' values."""
+    slot = _slot(*of)
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket", "left").withColumn(out, held).drop("bucket", "bits")
+
+
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, digest, record_type, refers_to: of equal payloads, the largest page_id is the response.
+    """page_id, url, payload, payload_bytes, digest, record_type, refers_to: of equal payloads, the largest page_id is the response.
 
-    A null payload is empty; null page_ids are smallest, and of rows that
-    repeat the largest page_id the first by url is the response.  Payloads of
-    fewer than ``least_bytes`` bytes are all responses.
+    A revisit's payload is left empty; payload_bytes tells its length.  A null
+    payload is empty; null page_ids are smallest, and of rows that repeat the
+    largest page_id the first by url is the response.  Payloads of fewer than
+    ``least_bytes`` bytes are all responses.  Repeated rows get a record each,
+    other columns are ignored, an empty table has no records.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    top = rows.groupBy("sha", "n").agg(F.max("page_id").alias("top"))
-    again = Window.partitionBy("sha", "n", "page_id").orderBy("url")
-    # numbered without the payloads: only rows that share page_id and payload are ordered among themselves
-    rows = rows.join(top, ["sha", "n"]).withColumn("nth", F.when(F.col("page_id").eqNullSafe(F.col("top")), F.row_number().over(again)))
-    first = (F.coalesce(F.col("nth"), F.lit(0)) == 1) | (F.col("n") < least_bytes)
-    return rows.select("page_id", "url", "payload", base32(F.col("sha")).alias("digest"), F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("top")).alias("refers_to"))
+    large = rows.where(F.col("n") >= least_bytes)
+    ids = large.groupBy("sha", "n", "page_id").agg(F.count("*").alias("c"))
+    # times: how often the largest page_id repeats
+    digests = stored(ids.groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.sum("c").alias("total"), F.coalesce(F.max_by("c", "page_id"), F.sum("c")).alias("times")), "digests")
+    repeats = _filter(digests.where("total > 1"), "sha", "n")
+    # with digests that occur once but look repeated to the filter: whatever it marks is then found here
+    marked = stored(_tested(digests, repeats, "again", "sha", "n").where("again").select("sha", "n", "top", "times"), "repeats")
+    tops = _filter(marked, "sha", "n", "top")
+
+    tested = _tested(large, repeats, "again", "sha", "n")
+    again = tested.where("again").drop("again")
+    none = F.lit(None).cast("long")
+    once = rows.where(F.col("n") < least_bytes).unionByName(tested.where("not again").drop("again")).withColumn("refers_to", none)
+    same, order = F.col("page_id").eqNullSafe(F.col("top")), Window.partitionBy("sha", "n", "page_id").orderBy("url")
+
+    def met(some: DataFrame, response: bool) -> DataFrame:
+        """Responses, or revisits, among rows of marked digests; only rows that repeat a largest page_id are ordered."""
+        both = some.join(marked, ["sha", "n"])
+        alone = both.where(same & (F.col("times") == 1) if response else ~same)
+        several = both.where(same & (F.col("times") > 1)).withColumn("nth", F.row_number().over(order)).where("nth = 1" if response else "nth > 1").drop("nth")
+        return alone.unionByName(several).withColumn("refers_to", none if response else F.col("top")).drop("top", "times")
+
+    # bodies of the largest page_ids only, and keys of all others
+    bodies = _tested(again.withColumn("top", F.col("page_id")), tops, "mine", "sha", "n", "top").where("mine").drop("mine", "top")
+    keys = again.drop("payload")
+    parts = [(once, "response"), (met(bodies, True), "response"), (met(keys, False).withColumn("payload", F.lit(b"")), "revisit")]
+    out = [p.select("page_id", "url", "payload", F.col("n").alias("payload_bytes"), base32(F.col("sha")).alias("digest"), F.lit(kind).alias("record_type"), "refers_to") for p, kind in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def _name(page: Column) -> Column:
@@ -59,8 +106,8 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
     """Writes plan_records' rows as archives under ``path``; line breaks in a url are percent-encoded, a null url is left out."""
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
+    body = F.col("payload")
     revisit = F.when(F.col("record_type") == "revisit", F.concat(field("WARC-Refers-To", _name(F.col("refers_to"))), field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))))
     head = F.concat(
         F.lit(MAGIC),
@@ -212,7 +259,11 @@ def read_warc(spark: SparkSession, path: str, http: bool = True, payload: bool =
 
 
 def round_trip(pages: DataFrame, payload: bool = False, **columns) -> DataFrame:
-    """Pages written as archives in the shared folder and read back: read_warc's rows with page_id and refers_to as numbers."""
+    """Pages written as archives in the shared folder and read back: read_warc's rows with page_id and refers_to as numbers.
+
+    Every row of ``pages`` comes back as one record, nulls, repetitions and
+    ties as plan_records has them; an empty table gives an empty result.
+    """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(plan_records(pages, **columns), path)
