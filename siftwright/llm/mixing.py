@@ -45,18 +45,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     return s.select("source", "nth", "source_size", F.least("cap", F.col("found") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     r"""One row per document: doc_id, source, size, source_size, target, times, taken, finish (its first finish time).
 
     Size is the number of ``[^\x20\x09-\x0D]+`` in the text; a null text has
     none.  ``times`` is how often the mix takes the document (0 to 2) and
     ``taken`` its words.  Null is a source of its own and comes last.  Repeated
     rows and repeated or null doc_ids count as documents of their own, ties in
-    the shuffle being settled by doc_id and size.  An empty table gives an
-    empty result; other columns are ignored.
+    the shuffle being settled by doc_id, size and the columns of ``keep``, which
+    come out too (their names must not be among the above).  An empty table
+    gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
-    rows = stored(rows.select("doc_id", "source", F.coalesce(F.expr(WORDS), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")), "sizes")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"), *keep)
+    rows = stored(rows.select(*keep, "doc_id", "source", F.coalesce(F.expr(WORDS), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h")), "sizes")
     n = rows.count()
     digits = 1
     while n / 16**digits > LAST and digits < 6:
@@ -67,12 +68,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     offsets = cells.withColumn("before", F.sum("in_cell").over(Window.partitionBy("source").orderBy("cell")) - F.col("in_cell"))
     known = offsets.alias("c").join(sources.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.source", "cell", "before", "nth", "source_size", "target")
     known = known.withColumnsRenamed({"source": "source_", "cell": "cell_"})
-    inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("cum", F.sum("size").over(inside))
     placed = placed.join(known, F.col("source").eqNullSafe(F.col("source_")) & (F.col("cell") == F.col("cell_"))).withColumn("cum", F.col("cum") + F.col("before"))
     finish = lambda turn: F.when(F.col("target") > 0, (F.lit(turn) * F.col("source_size") + F.col("cum")) / F.col("target"))
     placed = placed.withColumn("f0", finish(0)).withColumn("f1", finish(1))
-    placed = stored(placed.select("doc_id", "source", "size", "source_size", "target", "nth", "cum", "h", "f0", "f1"), "queue")
+    placed = stored(placed.select(*keep, "doc_id", "source", "size", "source_size", "target", "nth", "cum", "h", "f0", "f1"), "queue")
 
     turns = placed.select("nth", "h", "doc_id", "size", "cum", F.posexplode(F.array("f0", "f1")).alias("turn", "f")).where("f is not null and size > 0")
     limit, everything = _cut(turns, share, placed)
@@ -83,7 +84,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
         last = limit and F.struct(F.lit(limit[0]).alias("f"), *[F.lit(x).cast("long").alias(k) for k, x in zip(("nth", "turn", "cum"), limit[1:], strict=True)])
         taken = F.lit(True) if everything else F.lit(False) if limit is None else key <= last
         times = times + F.when(f.isNotNull() & taken, 1).otherwise(0)
-    return placed.withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), F.col("f0").alias("finish"))
+    return placed.withColumn("times", times).select(*keep, "doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), F.col("f0").alias("finish"))
 
 
 def _cut(turns: DataFrame, share: float, placed: DataFrame) -> tuple[tuple | None, bool]:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import drop, stored
+from .storage import drop, free, stored
 from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
 
 #: n-grams that a fragment of a set holds on average, at most; a set is cut into 2, 4, 8 ... ranges of the global order
@@ -367,18 +367,21 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component of link_sets: of the smallest doc_id (null is largest), then text hash.
 
-    Rows without words are linked with nothing and all stay.
+    Rows without words are linked with nothing and all stay.  Of rows that
+    repeat the doc_id and text that stays, one does, whatever else they hold.
+    Other columns are kept, whatever their names; an empty table stays empty.
     """
+    did, hashed, stays, nth = free(docs.columns, "did", "text_hash", "kept", "nth")
     linked = link_sets(docs, n, percent, doc_id, text, count=False)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("did"), "text_hash")
     keep = linked.where("n_shingles > 0").groupBy("comp").agg(F.min(place).alias("k")).select("k.*", F.lit(True).alias("kept")).distinct()
     empty = linked.where("n_shingles = 0").select(place.alias("k")).select("k.*", F.lit(False).alias("kept")).distinct()
-    names = {"did": "__did", "text_hash": "__hash", "kept": "__kept"}
-    keyed = docs.withColumn("__did", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))).withColumn("__hash", F.xxhash64(F.col(text).cast("string")))
-    out = keyed.join(keep.unionByName(empty).withColumnsRenamed(names), ["__did", "__hash"])
+    names = {"did": did, "text_hash": hashed, "kept": stays}
+    keyed = docs.withColumn(did, F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))).withColumn(hashed, F.xxhash64(F.col(text).cast("string")))
+    out = keyed.join(keep.unionByName(empty).withColumnsRenamed(names), [did, hashed])
     # of rows that repeat one document, one
-    out = out.withColumn("__nth", F.row_number().over(Window.partitionBy("__did", "__hash").orderBy("__kept")))
-    return out.where("not __kept or __nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = out.withColumn(nth, F.row_number().over(Window.partitionBy(did, hashed).orderBy(stays)))
+    return out.where(~F.col(stays) | (F.col(nth) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _told(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import free
 from .textops import NOT_SPACE, text_chunks, windows, words_of
 
 
@@ -186,13 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     return fit(x[order], y[order], settings)
 
 
-def _scores(trees: Trees):
+def _scores(trees: Trees, score: str):
+    """Rows whose last column is the text that is scored; the score takes its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
         for batch in batches:
-            at = batch.schema.get_field_index("__text") if at is None else at
-            scores = [trees.score(statistics(data, off)) for _, _, data, off in text_chunks(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*(x for i, x in enumerate(batch.schema.names) if i != at), "__score"])
+            scores = [trees.score(statistics(data, off)) for _, _, data, off in text_chunks(batch.columns[-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], score])
 
     return run
 
@@ -201,11 +202,13 @@ def score_documents(docs: DataFrame, trees: Trees, text: str = "text", score: st
     """All rows and columns of ``docs`` and a score of 0 to 1 (higher: label 1 likelier).
 
     A null text scores as an empty one.  Rows keep nulls, repetitions and extra
-    columns; an empty table stays empty.  Only the text is looked at.
+    columns; one called like ``score`` is replaced.  An empty table stays
+    empty.  Only the text is looked at.
     """
+    own, = free(docs.columns, "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.withColumn("__text", F.col(text).cast("string")).mapInArrow(_scores(trees), f"{schema}, __score double")
-    return out.withColumn(score, F.col("__score")).drop("__score") if score in docs.columns else out.withColumnRenamed("__score", score)
+    out = docs.withColumn(own, F.col(text).cast("string")).mapInArrow(_scores(trees, own), f"{schema}, `{own}` double")
+    return out if own == score else out.withColumn(score, F.col(own)).drop(own)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

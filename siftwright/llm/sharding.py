@@ -25,18 +25,20 @@ SAMPLES, MOST_RANGES, ROWS = 16, 1 << 16, 200_000
 SPLIT_ABOVE = 0.1
 
 
-def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes + 8), text_crc32, shard, slot, position (in the global order).
 
     Shards are near equal in bytes.  Slots count from 0 without gaps inside a
     shard.  Equal texts share a shard unless they fill over ``SPLIT_ABOVE`` of
     one.  A null text has no bytes and lies with empty ones.  Repeated rows are
     placed apart, one slot each; a null doc_id sorts first among equal texts.
-    An empty table gives an empty result; other columns are ignored.
+    Columns of ``keep`` come out too, and settle ties (their names must not be
+    among the above).  An empty table gives an empty result; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t).cast("long") + 8).alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("h"))
+    base = docs.select(*keep, F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t).cast("long") + 8).alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("h"))
     base = stored(base, "keys")
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(MOST_RANGES, max(8 * shards, math.ceil(n / ROWS)))
@@ -57,13 +59,13 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     rows = rows.join(F.broadcast(parts), "rid")
     by_key = F.floor((F.col("h").cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double")) * F.col("parts"))
     sub = F.when(F.col("parts") == 1, 0).when(F.col("lo") == F.col("hi"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts"))).otherwise(F.least(F.col("parts") - 1, by_key)).cast("int")
-    rows = rows.withColumn("sub", sub).withColumn("alone", (F.col("lo") == F.col("hi")) & (F.col("parts") > 1)).select("rid", "sub", "alone", "h", "crc", "size", "doc_id")
+    rows = rows.withColumn("sub", sub).withColumn("alone", (F.col("lo") == F.col("hi")) & (F.col("parts") > 1)).select(*keep, "rid", "sub", "alone", "h", "crc", "size", "doc_id")
     rows = stored(rows, "ranged")
 
     bins = rows.groupBy("rid", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     ahead = Window.orderBy("rid", "sub").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("rid", "sub", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
-    own = Window.partitionBy("rid", "sub").orderBy("h", "crc", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("rid", "sub").orderBy("h", "crc", "size", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum("size").over(own) - F.col("size")).withColumn("rank", F.row_number().over(own) - 1)
     group = Window.partitionBy("rid", "sub", "h", "crc", "size")
     rows = rows.withColumn("g_start", F.min("start").over(group)).withColumn("g_size", F.sum("size").over(group))
@@ -72,9 +74,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     twice = F.lit(2) * F.col("b0") + F.when(whole, 2 * F.col("g_start") + F.col("g_size")).otherwise(2 * F.col("start") + F.col("size"))
     # whole numbers: a double would round beyond 2**53
     rows = rows.withColumn("twice", twice).withColumn("shard", F.expr(f"cast(least({shards - 1}, twice * {shards}L div {2 * max(total, 1)}L) as int)"))
-    rows = stored(rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("n0") + F.col("rank")).alias("position")), "placed")
+    rows = stored(rows.select(*keep, "doc_id", "size", F.col("crc").alias("text_crc32"), "shard", (F.col("n0") + F.col("rank")).alias("position")), "placed")
     first = rows.groupBy("shard").agg(F.min("position").alias("first"))
-    return rows.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"), "position")
+    return rows.join(F.broadcast(first), "shard").select(*keep, "doc_id", "size", "text_crc32", "shard", (F.col("position") - F.col("first")).alias("slot"), "position")
 
 
 def _ranges(sample: list[tuple[int, float]], ranges: int) -> list[tuple[int, int]]:

@@ -4,23 +4,43 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests), a temporary folder set once."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, in one local process (tests), a temporary folder set once."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores more as set it apart from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """``df``, stored, with a number of its own for each row, which holds however often the table is read."""
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
