@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, tested
 from .components import components
 from .storage import drop, free, stored
 from .textops import NOT_SPACE, mix, text_chunks, windows, words_of
@@ -252,7 +253,7 @@ def _met(percent: int, name, lo, hi, block, sid, comp, n, odd) -> tuple[np.ndarr
 
 
 def _meet(percent: int, closest: bool):
-    """Pairs that may link of rows sorted by (name, lo, hi); with ``closest``, of each two components the closest at hand only."""
+    """Pairs (a, b) that may link of rows sorted by (name, lo, hi); with ``closest``, of each two components the closest at hand only, and the names of lists with pairs held back."""
     columns = ["name", "lo", "hi", "block", "sid", "comp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,17 +278,24 @@ def _meet(percent: int, closest: bool):
             sid, comp = rows[4], rows[5]
             swap = sid[i] > sid[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            if closest:
-                u, v = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-                order = np.lexsort((sid[j], sid[i], far, v, u))
-                i, j, u, v = i[order], j[order], u[order], v[order]
-                new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])] if len(u) else np.zeros(0, bool)
-            else:
-                order = np.lexsort((sid[j], sid[i]))
-                i, j = i[order], j[order]
-                new = np.r_[True, (sid[i][1:] != sid[i][:-1]) | (sid[j][1:] != sid[j][:-1])] if len(i) else np.zeros(0, bool)
-            i, j = i[new], j[new]
-            yield pa.RecordBatch.from_arrays([pa.array(sid[i]), pa.array(sid[j])], ["a", "b"])
+            order = np.lexsort((sid[j], sid[i]))
+            i, j, far = i[order], j[order], far[order]
+            a, b = sid[i], sid[j]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+            pair = np.cumsum(new) - 1  # one number for a pair that meets in several lists
+            told = np.flatnonzero(new)
+            back = np.zeros(0, np.int64)
+            if closest and len(a):
+                u, v = np.minimum(comp[i], comp[j])[told], np.maximum(comp[i], comp[j])[told]
+                order = np.lexsort((far[told], v, u))
+                first = np.r_[True, (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])]
+                told = told[order[first]]
+                kept = np.zeros(pair[-1] + 1, bool)
+                kept[pair[told]] = True
+                back = np.unique(rows[0][i[~kept[pair]]])
+            none = pa.nulls(len(back), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a[told]), pa.array(b[told]), pa.nulls(len(told), pa.int64())], ["a", "b", "name"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(back, pa.int64())], ["a", "b", "name"])
 
     return run
 
@@ -338,15 +346,17 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
     found = _verified(tried, sets, percent)
     comp = heads.select("sid").join(components(found).withColumnRenamed("node", "sid"), "sid", "left")
     comp = stored(comp.select("sid", F.coalesce("comp", "sid").alias("comp")), "comp")
+    lists = _torn(lists, comp)
     for closest in (True, False):
-        met = _across(lists, comp, heads, percent, closest).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        met = _told(met, heads, percent)
-        if met.isEmpty():
-            break
-        found = _verified(met, sets, percent, few=True)
-        tried = tried.unionByName(met)
+        met = stored(_across(lists, heads, percent, closest), "met")
+        pairs = _told(met.where("a is not null").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), heads, percent)
+        found = _verified(pairs, sets, percent, few=True)
+        tried = tried.unionByName(pairs)
         comp = _merged(comp, found)
-    drop(lists)
+        held_back = met.where("name is not null").select("name").distinct()
+        if held_back.isEmpty():
+            break
+        lists = _torn(lists.join(held_back, "name", "left_semi"), comp)
 
     comp = comp.join(heads.select("sid", "tag"), "sid")
     if count:
@@ -391,15 +401,20 @@ def _told(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     return stored(both.select("a", "b", F.col("ha.n").alias("na"), F.col("hb.n").alias("nb"), F.col("ha.tag").alias("ta"), F.col("hb.tag").alias("tb")), "pairs")
 
 
-def _across(lists: DataFrame, comp: DataFrame, heads: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """(a, b) that may link, of lists whose members are in several components: block against block."""
+def _torn(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """Stored (name, sid, comp, parts) of lists whose members are in several components; parts: its blocks.  The others are done."""
     placed = stored(lists.select("name", "sid").join(comp, "sid"), "placed")
     torn = placed.groupBy("name").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("parts")).where("lo < hi").select("name", "parts")
-    rows = placed.join(torn, "name").withColumn("block", F.expr("cast(pmod(xxhash64(sid), parts) as int)"))
+    return stored(placed.join(torn, "name"), "torn")
+
+
+def _across(torn: DataFrame, heads: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """_meet's rows for lists whose members are in several components: block against block."""
+    rows = torn.withColumn("block", F.expr("cast(pmod(xxhash64(sid), parts) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).join(heads.select("sid", "n", "odd"), "sid")
     rows = rows.select("name", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "comp", "n", "odd")
     rows = rows.repartition("name", "lo", "hi").sortWithinPartitions("name", "lo", "hi")
-    return rows.mapInArrow(_meet(percent, closest), "a long, b long").distinct()
+    return rows.mapInArrow(_meet(percent, closest), "a long, b long, name long")
 
 
 def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
@@ -415,7 +430,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, few: bool = False
     if few:
         used = pairs.select(F.col("a").alias("sid"), F.col("ta").alias("tag")).union(pairs.select("b", "tb")).distinct()
         sets = stored(sets.join(used, ["sid", "tag"], "left_semi"), "own")
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("tag").alias(f"t{c}"), "level", "frag", F.col("grams").alias(f"g{c}"))
+
+    def side(c: str) -> DataFrame:
+        own = sets
+        if not few:  # each side's own sets only, by a filter of fixed size
+            bits = bitmap(pairs.select(F.col(c).alias("sid"), F.col(f"t{c}").alias("tag")).distinct(), "sid", "tag")
+            own = tested(sets, bits, "used", "sid", "tag").where("used")
+        return own.select(F.col("sid").alias(c), F.col("tag").alias(f"t{c}"), "level", "frag", F.col("grams").alias(f"g{c}"))
+
     over = f"(greatest(na, nb) - 1) div {SEGMENT}"
     cut = pairs.withColumn("level", F.expr(f"case when {over} = 0 then 1 else length(bin({over})) end"))
     both = cut.join(side("a"), ["a", "ta", "level"]).join(side("b"), ["b", "tb", "level", "frag"])

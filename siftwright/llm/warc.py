@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, tested
 from .storage import fresh_path, stored
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 NO_PAGE = "null"
-#: bits of the filters that tell which pages need no shuffle; a full filter only lets more rows be shuffled
-FILTER_BITS = 1 << 25
 
 
 def base32(hexed: Column) -> Column:
@@ -38,25 +37,6 @@ def base32(hexed: Column) -> Column:
     return F.translate(F.concat(*five), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _slot(*of: str) -> Column:
-    return F.pmod(F.xxhash64(*of), F.lit(FILTER_BITS)) + 1
-
-
-def _filter(rows: DataFrame, *of: str) -> DataFrame:
-    """Stored bitmap (bucket, bits) of the columns' hashes: FILTER_BITS in all."""
-    slot = _slot(*of)
-    return stored(rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")), "filter")
-
-
-def _tested(rows: DataFrame, bits: DataFrame, out: str, *of: str) -> DataFrame:
-    """rows with ``out``: whether the filter may hold the columns' values."""
-    slot = _slot(*of)
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket", "left").withColumn(out, held).drop("bucket", "bits")
-
-
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, payload_bytes, digest, record_type, refers_to: of equal payloads, the largest page_id is the response.
 
@@ -72,15 +52,15 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     ids = large.groupBy("sha", "n", "page_id").agg(F.count("*").alias("c"))
     # times: how often the largest page_id repeats
     digests = stored(ids.groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.sum("c").alias("total"), F.coalesce(F.max_by("c", "page_id"), F.sum("c")).alias("times")), "digests")
-    repeats = _filter(digests.where("total > 1"), "sha", "n")
+    repeats = bitmap(digests.where("total > 1"), "sha", "n")
     # with digests that occur once but look repeated to the filter: whatever it marks is then found here
-    marked = stored(_tested(digests, repeats, "again", "sha", "n").where("again").select("sha", "n", "top", "times"), "repeats")
-    tops = _filter(marked, "sha", "n", "top")
+    marked = stored(tested(digests, repeats, "again", "sha", "n").where("again").select("sha", "n", "top", "times"), "repeats")
+    tops = bitmap(marked, "sha", "n", "top")
 
-    tested = _tested(large, repeats, "again", "sha", "n")
-    again = tested.where("again").drop("again")
+    both = tested(large, repeats, "again", "sha", "n")
+    again = both.where("again").drop("again")
     none = F.lit(None).cast("long")
-    once = rows.where(F.col("n") < least_bytes).unionByName(tested.where("not again").drop("again")).withColumn("refers_to", none)
+    once = rows.where(F.col("n") < least_bytes).unionByName(both.where("not again").drop("again")).withColumn("refers_to", none)
     same, order = F.col("page_id").eqNullSafe(F.col("top")), Window.partitionBy("sha", "n", "page_id").orderBy("url")
 
     def met(some: DataFrame, response: bool) -> DataFrame:
@@ -91,7 +71,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         return alone.unionByName(several).withColumn("refers_to", none if response else F.col("top")).drop("top", "times")
 
     # bodies of the largest page_ids only, and keys of all others
-    bodies = _tested(again.withColumn("top", F.col("page_id")), tops, "mine", "sha", "n", "top").where("mine").drop("mine", "top")
+    bodies = tested(again.withColumn("top", F.col("page_id")), tops, "mine", "sha", "n", "top").where("mine").drop("mine", "top")
     keys = again.drop("payload")
     parts = [(once, "response"), (met(bodies, True), "response"), (met(keys, False).withColumn("payload", F.lit(b"")), "revisit")]
     out = [p.select("page_id", "url", "payload", F.col("n").alias("payload_bytes"), base32(F.col("sha")).alias("digest"), F.lit(kind).alias("record_type"), "refers_to") for p, kind in parts]
