@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 
-TWO_59 = 1 << 59
+TWO_60 = 1 << 60
 
 
 def strip(text: Column) -> Column:
@@ -34,13 +34,20 @@ def ascii_digits(text: Column) -> Column:
 
 
 def round2(x: Column) -> Column:
-    """round(x, 2): half to even on the exact binary value, for 0 and 2**-7 to 2**3.9.
+    """round(x, 2): half to even on the exact binary value, for every double; NaN and infinities stay.
 
-    Scaled by 2**59 such a value is a whole number, so the decimal remainder is exact.
+    The fraction, scaled by 2**60, is a whole number from 2**-8 on, so its
+    hundredths and the remainder are exact.  Smaller ones round to 0 or, from
+    0.005 on, to 0.01.  Doubles of 2**52 and more have no fraction.
     """
-    d = F.lit(TWO_59).cast("decimal(20,0)")
-    n = (x * F.lit(float(TWO_59))).cast("bigint").cast("decimal(20,0)") * 100
+    size = F.abs(x)
+    whole = F.floor(F.when(size < F.lit(float(1 << 52)), size)).cast("bigint")
+    n = ((size - whole) * F.lit(float(TWO_60))).cast("bigint").cast("decimal(20,0)") * 100
+    d = F.lit(TWO_60).cast("decimal(20,0)")
     rem = (n % d).cast("decimal(38,0)")
     q = ((n - rem) / d).cast("decimal(20,0)").cast("bigint")
     up = F.when(rem * 2 > d, 1).when(rem * 2 == d, q % 2).otherwise(0)
-    return (q + up).cast("double") / 100
+    # the nearest double of whole hundredths, as a quotient of exact numbers up to 2**53 and a decimal beyond
+    cents = whole * 100 + q + up
+    near = F.when(cents < F.lit(1 << 53), cents.cast("double") / 100).otherwise((cents.cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("string").cast("double"))
+    return F.when(whole.isNull(), x).otherwise(F.signum(x) * near)

@@ -36,12 +36,6 @@ def render(template: Column, text: Column) -> Column:
     return F.replace(template, F.lit("{text}"), text)
 
 
-def first_prompts(docs: DataFrame, prompts: DataFrame, cfg: EvalConfig) -> DataFrame:
-    """doc_id, dim_ord, dim, system_prompt and prompt of round 1."""
-    dims = dimensions(docs.sparkSession, cfg).join(prompts.select(F.col("name").alias("dim"), "system_prompt", "prompt_template"), "dim")
-    return docs.crossJoin(F.broadcast(dims)).select("doc_id", "dim_ord", "dim", "system_prompt", render(F.col("prompt_template"), F.col("text")).alias("prompt"))
-
-
 def feedback(judgments: DataFrame) -> DataFrame:
     """doc_id, dim, round (the next one) and feedback: all models' last scores and reasons, in the models' order."""
     reason = F.substring(F.replace(strip(F.coalesce("reason", F.lit(""))), F.lit("\n"), F.lit(" ")), 1, C.REFINE_REASON)
@@ -52,11 +46,23 @@ def feedback(judgments: DataFrame) -> DataFrame:
     return judgments.groupBy("doc_id", "dim", (F.col("round") + 1).alias("round")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("feedback"))
 
 
-def refine(first: DataFrame, previous: DataFrame) -> DataFrame:
-    """first_prompts' rows with the prompt of the round after ``previous`` judgments."""
-    told = feedback(previous)
-    tail = F.concat(F.lit(f"\n\n{C.REFINE_HEAD}\n"), F.coalesce("feedback", F.lit("")), F.lit(f"\n\n{C.REFINE_TAIL}"))
-    return first.join(told, ["doc_id", "dim"], "left").withColumn("prompt", F.concat("prompt", tail)).drop("feedback", "round")
+def with_feedback(docs: DataFrame, previous: DataFrame) -> DataFrame:
+    """docs with ``told``: the feedback of the ``previous`` round's judgments by dimension.  One join by doc_id, whatever the number of dimensions."""
+    told = feedback(previous).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "feedback"))).alias("told"))
+    return docs.join(told, "doc_id", "left")
+
+
+def prompt_rows(docs: DataFrame, prompts: DataFrame, cfg: EvalConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, dim_ord, dim, system_prompt and prompt for each document (doc_id, text) and dimension.
+
+    With a column ``told`` (with_feedback) it is the prompt of a later round.
+    Texts are copied here and not before, so no copy is shuffled.
+    """
+    dims = dimensions(docs.sparkSession, cfg).join(prompts.select(F.col("name").alias("dim"), "system_prompt", "prompt_template"), "dim")
+    prompt = render(F.col("prompt_template"), F.col("text"))
+    if "told" in docs.columns:
+        prompt = F.concat(prompt, F.lit(f"\n\n{C.REFINE_HEAD}\n"), F.coalesce(F.try_element_at("told", F.col("dim")), F.lit("")), F.lit(f"\n\n{C.REFINE_TAIL}"))
+    return docs.crossJoin(F.broadcast(dims)).select("doc_id", *keep, "dim_ord", "dim", "system_prompt", prompt.alias("prompt"))
 
 
 def judge_rows(answers: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import json
 import os
 import time
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -75,9 +76,22 @@ def post(url: str, payload: dict, headers: dict, timeout: float, attempts: int =
     raise RuntimeError(last)
 
 
+def load_env(path: str | None) -> None:
+    """NAME=value lines of a file become environment variables; those already set stay.  A missing file is none."""
+    if not path or not os.path.exists(path):
+        return
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, found, value = line.strip().removeprefix("export ").partition("=")
+            if found and name.strip() and not name.startswith("#"):
+                value = value.strip()
+                quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+                os.environ.setdefault(name.strip(), value[1:-1] if quoted else value.split(" #")[0].strip())
+
+
 @dataclass
 class HttpJudge:
-    """Chat completions over HTTP, one task after another in each partition.
+    """Chat completions over HTTP, one task after another in each partition of the tasks (``partitions``: deal them anew).
 
     ``endpoints`` maps a model's key to (url, model name, environment variable
     of the key).  Keys are read on the executors and never enter a plan; a
@@ -86,14 +100,24 @@ class HttpJudge:
     """
 
     endpoints: dict[str, tuple[str, str, str]]
-    partitions: int = 8
+    partitions: int | None = None
     timeout: float = 120.0
     max_tokens: int = 2048
     placeholder: str = "YOUR_"
     transport: Callable[..., dict] = field(default=post)
+    env_file: str | None = None  # read where calls are made, for keys that the environment lacks
+
+    def missing_keys(self) -> list[str]:
+        """Variables that this machine has no key for, each with a warning: their calls will fail."""
+        load_env(self.env_file)
+        gone = sorted({v for *_, v in self.endpoints.values() if os.environ.get(v, self.placeholder).startswith(self.placeholder)})
+        for v in gone:
+            warnings.warn(f"{v} is not set: calls that need it will fail", stacklevel=2)
+        return gone
 
     def call(self, model: str, system: str | None, prompt: str) -> str:
         url, name, variable = self.endpoints[model]
+        load_env(self.env_file)
         key = os.environ.get(variable, self.placeholder)
         if key.startswith(self.placeholder):
             raise RuntimeError(f"{variable} is not set")
@@ -120,4 +144,5 @@ class HttpJudge:
                 yield batch.assign(raw=raw, error=error)
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields)
-        return tasks.repartition(self.partitions).mapInPandas(run, f"{schema}, raw string, error string")
+        dealt = tasks.repartition(self.partitions) if self.partitions else tasks
+        return dealt.mapInPandas(run, f"{schema}, raw string, error string")

@@ -22,8 +22,11 @@ def lines(x: str) -> str:
 
 
 def round2(x: str) -> str:
-    n = f"(({x}) * {D}::double)::hugeint * 100"
-    return f"(({n}) // {D} + CASE WHEN ({n}) % {D} * 2 > {D} THEN 1 WHEN ({n}) % {D} * 2 = {D} THEN ({n}) // {D} % 2 ELSE 0 END)::double / 100"
+    """Whole points are split off first, so that the rest, scaled by 2**59, is a whole number."""
+    size = f"abs({x})"
+    n = f"(({size} - floor({size})) * {D}::double)::hugeint * 100"
+    cents = f"(floor({size})::hugeint * 100 + ({n}) // {D} + CASE WHEN ({n}) % {D} * 2 > {D} THEN 1 WHEN ({n}) % {D} * 2 = {D} THEN ({n}) // {D} % 2 ELSE 0 END)"
+    return f"(sign({x}) * {cents}::double / 100)"
 
 
 def rows(name: str, columns: str, values: list[tuple]) -> str:
@@ -68,9 +71,9 @@ PROMPTS = rows("prompts", "pdim, template", [(d, _TEMPLATES[d]) for d in C.DIMEN
 
 TEXTS = """
 texts AS (
-  SELECT conv_id AS id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE conv_id % 3 <> 1 OR turn % 2 = 0 GROUP BY 1
+  SELECT conv_id AS id, string_agg(CASE WHEN conv_id % 3 = 1 AND turn % 2 = 1 THEN 'user' ELSE role END || ': ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1
   UNION ALL
-  SELECT conv_id + 1000000, string_agg(CASE turn % 3 WHEN 0 THEN 'instruction: ' WHEN 1 THEN 'input：' ELSE 'OUTPUT : ' END || text, chr(10) ORDER BY turn) FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1
+  SELECT conv_id + 1000000, string_agg(CASE turn % 3 WHEN 0 THEN 'instruction: ' WHEN 1 THEN 'input：' ELSE 'OUTPUT : ' END || text, chr(10) ORDER BY turn) FROM conversations GROUP BY 1
   UNION ALL SELECT doc_id + 2000000, text FROM documents)
 """
 
@@ -113,7 +116,9 @@ classes AS (
 dimrows AS (
   SELECT doc_id, 'safety' AS dim, (doc_id * 13 % 41) / 4.0::double AS score, (doc_id * 13 % 41) / 4.0::double AS loose, 0 AS pos FROM d WHERE v < 12
   UNION ALL SELECT doc_id, 'accuracy', CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 11)::double END, CASE WHEN doc_id % 7 = 0 THEN 1.0::double ELSE (doc_id % 11)::double END, 1 FROM d WHERE v < 12
-  UNION ALL SELECT doc_id, 'style', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 5 % 41) / 4.0::double END, NULL, 2 FROM d WHERE v < 12),
+  UNION ALL SELECT doc_id, 'diversity', (doc_id * 29 % 1001) / 10.0::double, (doc_id * 29 % 1001) / 10.0::double, 2 FROM d WHERE v < 12
+  UNION ALL SELECT doc_id, 'format', (doc_id * 17 % 400) / 8.0::double - 25, (doc_id * 17 % 400) / 8.0::double - 25, 3 FROM d WHERE v < 12
+  UNION ALL SELECT doc_id, 'style', CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id * 5 % 41) / 4.0::double END, NULL, 4 FROM d WHERE v < 12),
 dimtable AS (
   SELECT s.dim, s.label, s.std, sum(score) / nullif(count(score), 0) AS average, count(score) AS n, count(*) FILTER (score < 4) AS low, count(*) FILTER (score >= 4 AND score < 7) AS middle, count(*) FILTER (score >= 7) AS high
   FROM (VALUES ('safety', '安全性', 0), ('accuracy', '准确性', 1), ('diversity', '多样性', 2), ('format', '格式', 3), ('style', 'style', 4)) s(dim, label, std)
@@ -124,7 +129,7 @@ flat AS (
 """
 
 FILES = """
-f AS (SELECT doc_id, doc_id % 14 AS v, CASE doc_id % 3 WHEN 0 THEN 'lines-' || doc_id // 30 WHEN 1 THEN 'array-' || doc_id // 30 ELSE 'one-' || doc_id END AS file FROM documents WHERE doc_id % 14 <> 11)
+f AS (SELECT doc_id, doc_id % 14 AS v, CASE doc_id % 3 WHEN 0 THEN 'lines-' || doc_id // 30 || '.jsonl' WHEN 1 THEN 'array-' || doc_id // 30 || '.json' ELSE 'one-' || doc_id || '.json' END AS file FROM documents)
 """
 
 REASON_W = f"regexp_replace(%s, '{W}+', ' ', 'g')"
@@ -155,10 +160,10 @@ ORACLES: dict[str, str] = {
     "judge_errors": JUDGED + "SELECT dim, model, error, count(*) AS n, count(*) FILTER (reason = '') AS without_reason FROM flagged WHERE error IS NOT NULL GROUP BY ALL",
     "score_extract": JUDGED + "SELECT doc_id, round, dim, model, score FROM flagged",
     "reason_extract": rf"""WITH r AS (SELECT doc_id, CASE doc_id % 4
-          WHEN 0 THEN '精炼理由：' || substr(text, 1, 150) || chr(10) || '完整分析：x' || chr(10) || '分数：[[8]]'
-          WHEN 1 THEN substr(text, 1, 130) || ' [[7.5]] tail'
-          WHEN 2 THEN '精炼理由: 。' || substr(text, 1, 40) || '。；分数：[[3]]'
-          ELSE '精炼理由： 。[[4]]' || substr(text, 1, 20) END AS raw FROM documents),
+          WHEN 0 THEN '精炼理由：' || text || chr(10) || '完整分析：x' || chr(10) || '分数：[[8]]'
+          WHEN 1 THEN text || ' [[7.5]] tail'
+          WHEN 2 THEN '精炼理由: 。' || text || '。；分数：[[3]]'
+          ELSE '精炼理由： 。[[4]]' || text END AS raw FROM documents),
         p AS (SELECT doc_id, trim({REASON_W % _NAMED}, ' 。.；;，,') AS named, {strip(REASON_W % ("(" + _BEFORE + ")"))} AS before FROM r)
         SELECT doc_id, CASE WHEN named <> '' THEN {_SHORT.format("named")} ELSE {_SHORT.format("before")} END AS reason FROM p""",
     "eval_dim_scores": JUDGED + "SELECT doc_id, dim, score FROM lasts",
@@ -190,31 +195,37 @@ ORACLES: dict[str, str] = {
     "report_nested": JUDGED
     + """SELECT doc_id, length(text)::int AS text_length, overall_score, conclusion, f.format AS format_score, 3 AS third_round,
              (SELECT score FROM flagged g WHERE g.doc_id = f.doc_id AND g.round = 1 AND g.dim_ord = 0 AND g.model_ord = 0) AS first_score,
-             (SELECT r2 FROM trend t WHERE t.doc_id = f.doc_id AND t.dim = 'diversity') AS second_diversity
+             (SELECT r2 FROM trend t WHERE t.doc_id = f.doc_id AND t.dim = 'diversity') AS second_diversity,
+             (SELECT count(*)::int FROM flagged g WHERE g.doc_id = f.doc_id AND g.error IS NOT NULL) AS n_errors,
+             (SELECT count(*)::int FROM flagged g WHERE g.doc_id = f.doc_id AND g.error IS NOT NULL) AS n_error_keys, md5(text) AS text_md5
       FROM finals f JOIN documents USING (doc_id)""",
     "reports_merge": JUDGED + "SELECT doc_id AS ord, overall_score, CASE WHEN overall_score >= 5 THEN 0 WHEN overall_score < 5 THEN 1 ELSE 2 END AS part FROM finals",
     "reports_flatten": DIRTY + "SELECT doc_id, round, dim, model, score FROM flat",
     "reports_scan_strict": f"WITH {FILES} SELECT file, CASE WHEN file LIKE 'one-%' AND max(v) = 13 THEN 2 ELSE count(*) END AS n FROM f GROUP BY file",
     "reports_scan_objects": f"WITH {FILES} SELECT file, count(*) AS n FROM f WHERE v <> 13 GROUP BY file",
-    "reports_scan_lenient": f"WITH {FILES} SELECT file, count(*) AS n FROM f WHERE file LIKE 'lines-%' GROUP BY file",
+    "reports_scan_lenient": f"WITH {FILES} SELECT file, CASE WHEN file LIKE 'one-%' AND max(v) = 13 THEN 2 ELSE count(*) END AS n FROM f GROUP BY file",
+    "reports_scan_scores": DIRTY
+    + """SELECT convert_class, view_class, count(*) AS n, count(*) FILTER (c.v = 11) AS nan, round(sum(CASE WHEN c.v = 7 THEN 1.0::double WHEN c.v < 7 THEN x END), 6) AS total,
+             sum(length(coalesce(text, '')) + CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 0 END)::bigint AS chars
+      FROM classes c JOIN d USING (doc_id) JOIN documents USING (doc_id) WHERE c.v <> 13 GROUP BY ALL""",
     "jsonl_preview": f"""WITH {FILES}, n AS (SELECT file, count(*) AS k FROM f WHERE file LIKE 'lines-%' GROUP BY file)
-        SELECT file, least(k, 4) AS n_values, 1 AS n_raw, (2 * least(k, 4))::int AS last_pos FROM n""",
+        SELECT file, least(k, 4) AS n_values, 2 AS n_raw, (1 + 2 * least(k, 4))::int AS last_pos FROM n""",
     "viz_summary": DIRTY
     + """SELECT count(*) AS total, count(*) FILTER (view_class = 'passed') AS passed, count(*) FILTER (view_class = 'failed') AS failed, count(*) FILTER (view_class = 'invalid') AS invalid,
              100.0::double * count(*) FILTER (view_class = 'passed') / count(*) AS passed_percent, 100.0::double * count(*) FILTER (view_class = 'failed') / count(*) AS failed_percent,
              100.0::double * count(*) FILTER (view_class = 'invalid') / count(*) AS invalid_percent FROM classes WHERE view_class <> 'dropped'""",
-    "viz_dim_avg": DIRTY + "SELECT (row_number() OVER (ORDER BY std))::int AS place, label, average, n FROM dimtable",
+    "viz_dim_avg": DIRTY + "SELECT (row_number() OVER (ORDER BY std))::int AS place, label, round(average, 9) AS average, n FROM dimtable",
     "viz_dim_buckets": DIRTY + "SELECT dim, low, middle, high FROM dimtable",
     "viz_model_consistency": DIRTY
     + """, g AS (SELECT *, sum(score) OVER w AS t, count(*) OVER w AS k FROM flat WINDOW w AS (PARTITION BY doc_id, round, dim))
       SELECT model, count(*) AS n, round(sum(score) / count(*), 9) AS mean, round(coalesce(stddev_samp(score), 0), 9) AS std, round(avg(abs(score - (t - score) / nullif(k - 1, 0))), 9) AS mean_diff FROM g GROUP BY model""",
-    "viz_bars": DIRTY + "SELECT dim, repeat('█', coalesce(round_even(average, 0), 0)::int) || repeat('·', 10 - coalesce(round_even(average, 0), 0)::int) AS bar FROM dimtable",
+    "viz_bars": DIRTY + "SELECT dim, repeat('█', b) || repeat('·', 10 - b) AS bar FROM (SELECT dim, coalesce(round_even(least(10, greatest(0, average)), 0), 0)::int AS b FROM dimtable)",
     "web_summary": DIRTY
-    + f"""SELECT total, passed, passed / total * 100 AS pass_rate, safety, accuracy, 0.0::double AS diversity, 0.0::double AS format
+    + f"""SELECT total, passed, passed / total * 100 AS pass_rate, safety, accuracy, diversity, format
       FROM (SELECT count(*) AS total, count(*) FILTER (web_passed) AS passed FROM classes WHERE view_class <> 'dropped'),
-           (SELECT {round2("avg(loose) FILTER (dim = 'safety')")} AS safety, {round2("avg(loose) FILTER (dim = 'accuracy')")} AS accuracy FROM dimrows)""",
+           (SELECT {", ".join(f"{round2('a_' + x)} AS {x}" for x in C.DIMENSIONS)} FROM (SELECT {", ".join(f"sum(loose) FILTER (dim = '{x}') / count(loose) FILTER (dim = '{x}') AS a_{x}" for x in C.DIMENSIONS)} FROM dimrows))""",
     "pipeline_summary": DIRTY
-    + """SELECT (SELECT count(*) FROM documents) AS total, count(*) FILTER (view_class = 'passed') AS passed, count(*) FILTER (view_class = 'failed') AS failed, count(*) FILTER (view_class = 'invalid') AS invalid FROM classes WHERE doc_id % 9 <> 4""",
+    + """SELECT (SELECT count(*) FROM documents) AS total, count(*) FILTER (view_class = 'passed') AS passed, count(*) FILTER (view_class = 'failed') AS failed, count(*) FILTER (view_class = 'invalid') AS invalid FROM classes""",
     "history_topk": """SELECT (row_number() OVER (ORDER BY id DESC))::int AS place, id, page, substr(log, 1, 1500) AS log
         FROM (SELECT strftime(ts, '%Y%m%d_%H%M%S') || '_' || lpad(event_id::varchar, 9, '0') AS id, event_type AS page, repeat(props, 100) AS log FROM events) ORDER BY id DESC LIMIT 20""",
 }

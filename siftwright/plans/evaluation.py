@@ -17,25 +17,36 @@ from ..sources.reports import write_merged, write_records
 STORED = [*KEYS, "dim_ord", "model_ord", "model_label", "raw", "score", "reason", "error"]
 
 
+#: tasks in a partition, at most on average: a lost executor repeats no more calls than that a core
+TASKS = 96
+
+
 def judge_round(docs: DataFrame, judge: Judge, cfg: EvalConfig, prompts: DataFrame, rnd: int, previous: DataFrame | None, path: str) -> DataFrame:
     """Judgments of one round, appended as Parquet under ``path``; tasks found there already are not asked again.
 
     Answers are written before anything reads them, so no later action calls a
-    judge a second time.
+    judge a second time.  Documents are dealt first, each once, in partitions of
+    a bounded number of tasks; prompts are made where the judge is asked.
     """
     spark = docs.sparkSession
     where = f"{path}/round={rnd}"
-    first = evaluate.first_prompts(docs, prompts, cfg)
-    asked = first if previous is None else evaluate.refine(first, previous)
-    tasks = asked.crossJoin(F.broadcast(evaluate.models(spark, cfg))).withColumn("round", F.lit(rnd))
-    if "n_chars" in docs.columns:
-        tasks = tasks.join(docs.select("doc_id", "n_chars"), "doc_id")
+    keep = ("n_chars",) * ("n_chars" in docs.columns)
+    left = docs.select("doc_id", "text", *keep)
     try:
-        done = spark.read.parquet(where).withColumn("round", F.lit(rnd))
-        tasks = tasks.join(done.select(*KEYS), KEYS, "left_anti")
+        done = spark.read.parquet(where).groupBy("doc_id").agg(F.collect_set(F.struct("dim", "model")).alias("done"))
+        left = left.join(done, "doc_id", "left").withColumn("done", F.coalesce("done", F.array().cast("array<struct<dim:string,model:string>>")))
+        left = left.where(F.size("done") < len(cfg.dimensions) * len(cfg.models))
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+    if previous is not None:
+        left = evaluate.with_feedback(left, previous)
+    each = len(cfg.dimensions) * len(cfg.models)
+    left = left.repartition(max(1, -(-left.select("doc_id").count() * each // TASKS)))
+    tasks = evaluate.prompt_rows(left, prompts, cfg, keep + ("done",) * ("done" in left.columns))
+    tasks = tasks.crossJoin(F.broadcast(evaluate.models(spark, cfg))).withColumn("round", F.lit(rnd))
+    if "done" in left.columns:
+        tasks = tasks.where(~F.array_contains("done", F.struct("dim", "model"))).drop("done")
     rows = evaluate.judge_rows(judge.answer(tasks)).select(*STORED)
     rows.drop("round").write.mode("append").parquet(where)
     return spark.read.parquet(where).withColumn("round", F.lit(rnd)).select(*STORED)
@@ -61,12 +72,18 @@ class Run:
 
 
 def run(docs: DataFrame, judge: Judge, cfg: EvalConfig, path: str, kind: str = "alpaca", threshold: float | None = None) -> Run:
-    """The whole run.  Stored verdicts use cfg.threshold; filtering and statistics use ``threshold`` if it is given."""
+    """The whole run.  Stored verdicts use cfg.threshold; filtering and statistics use ``threshold`` if it is given.
+
+    A document whose calls all fail has a report without a score and drops out
+    of the training records alone; a run without any report fails.
+    """
     limit = cfg.threshold if threshold is None else threshold
     judged = run_rounds(docs, judge, cfg, f"{path}/judgments")
     finals = evaluate.final_scores(evaluate.dim_scores(judged.where(F.col("round") == cfg.rounds)), cfg)
     nested = reports.as_json(reports.nested(docs, judged, finals, evaluate.round_trend(judged, cfg), cfg, stamp=True))
     write_merged(nested, f"{path}/reports", "doc_id")
+    if finals.isEmpty():
+        raise ValueError("no report at all: nothing to convert or to count")
     classified = reports.classify(nested, limit)
     kept = parse.parse(classified.where("convert_class = 'kept'").select("doc_id", "text"))
     records = (parse.to_alpaca if kind == "alpaca" else parse.to_sharegpt)(kept)

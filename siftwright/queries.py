@@ -47,47 +47,61 @@ def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text: conversations as marked lines (of every third one each other turn), as instruction texts, and documents as they are."""
+    """id, text: all conversations as marked lines (odd turns of every third one are the user's too, so that neighbours share a role), as instruction texts, and documents as they are."""
     turns = table(spark, sf_dir, "conversations")
-    talk = turns.where("conv_id % 3 <> 1 or turn % 2 = 0").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    role = F.expr("case when conv_id % 3 = 1 and turn % 2 = 1 then 'user' else role end")
+    talk = turns.select("conv_id", "turn", F.concat(role, F.lit(": "), "text").alias("line"))
     marks = F.expr("case turn % 3 when 0 then 'instruction: ' when 1 then 'input：' else 'OUTPUT : ' end")
-    asked = turns.where("conv_id % 2 = 0").select((F.col("conv_id") + 1_000_000).alias("conv_id"), "turn", F.concat(marks, "text").alias("line"))
+    asked = turns.select((F.col("conv_id") + 1_000_000).alias("conv_id"), "turn", F.concat(marks, "text").alias("line"))
     joined = talk.union(asked).groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("t"))
     joined = joined.select("id", F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("text"))
     return joined.union(documents(spark, sf_dir, (F.col("doc_id") + 2_000_000).alias("id"), "text"))
 
 
-def dirty_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, report: JSON strings with numbers, booleans, strings, nulls, NaN, missing keys and values that are no objects."""
-    return documents(spark, sf_dir, "doc_id").select(
+def marked_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, report: JSON strings with numbers, booleans, strings, nulls, NaN, missing keys, values that are no objects, whole texts; a control character wherever white space may stand."""
+    text = F.get_json_object(F.to_json(F.struct(F.concat(F.expr("case when doc_id % 2 = 0 then 'user: ' else '' end"), F.coalesce("text", F.lit(""))).alias("t"))), "$")
+    quoted = F.regexp_extract(text, r'(?s)^\{"t":(.*)\}$', 1)
+    return documents(spark, sf_dir, "doc_id", quoted.alias("quoted")).select(
         "doc_id",
         F.expr("""
         case when doc_id % 14 = 13 then '[1, 2]' else concat(
-          '{"meta": {"text": "', case when doc_id % 2 = 0 then 'user: q' else 'p' end, doc_id, '"}, "final": ',
+          '{~"meta": {~"text": ', quoted, '}, ~"final": ',
           case when doc_id % 14 = 12 then 'null' else concat(
-            '{', case when doc_id % 5 = 0 then '"passed": true, ' else '' end,
+            '{~', case when doc_id % 5 = 0 then '"passed": true, ' else '' end,
             case doc_id % 14 when 10 then '' when 7 then '"overall_score": true, ' when 8 then '"overall_score": "7", ' when 9 then '"overall_score": null, ' when 11 then '"overall_score": NaN, '
               when 6 then concat('"overall_score": ', doc_id * 37 % 101 div 10, ', ')
               else concat('"overall_score": ', doc_id * 37 % 101 div 10, '.', doc_id * 37 % 101 % 10, ', ') end,
-            '"dimension_scores": {"safety": ', doc_id * 13 % 41 / 4, ', "accuracy": ', case when doc_id % 7 = 0 then 'true' else string(doc_id % 11) end,
-            ', "style": ', case when doc_id % 3 = 0 then '"x"' else string(doc_id * 5 % 41 / 4) end, '}}') end,
-          ', "rounds": [', array_join(transform(sequence(1, 2), r -> concat('{"round": ', r, ', "dimensions": {"safety": {',
-            array_join(transform(sequence(0, 2), m -> concat('"m', m, '": {"score": ', case when (doc_id + r + m) % 5 = 0 then 'null' when (doc_id + m) % 17 = 0 then 'true' else string((doc_id * (r + 2) + m * 7) % 41 / 4) end, '}')), ', '), '}}}')), ', '),
-          ']}') end""").alias("report"),
+            '~"dimension_scores": {~"safety": ', doc_id * 13 % 41 / 4, ', ~"accuracy": ', case when doc_id % 7 = 0 then 'true' else string(doc_id % 11) end,
+            ', ~"diversity": ', string(doc_id * 29 % 1001 / 10D), ', ~"format": ', string(doc_id * 17 % 400 / 8D - 25),
+            ', ~"style": ', case when doc_id % 3 = 0 then '"x"' else string(doc_id * 5 % 41 / 4) end, '}}') end,
+          ', ~"rounds": [~', array_join(transform(sequence(1, 2), r -> concat('{~"round": ', r, ', ~"dimensions": {~"safety": {~',
+            array_join(transform(sequence(0, 2), m -> concat('"m', m, '": {~"score": ', case when (doc_id + r + m) % 5 = 0 then 'null' when (doc_id + m) % 17 = 0 then 'true' else string((doc_id * (r + 2) + m * 7) % 41 / 4) end, '}')), ', ~'), '}}}')), ', ~'),
+          '~]}') end""".replace("~", "\x01")).alias("report"),
     )
 
 
+def dirty_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, report on one line."""
+    return marked_reports(spark, sf_dir).withColumn("report", F.replace("report", F.lit("\x01"), F.lit("")))
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.classify(dirty_reports(spark, sf_dir), CFG.threshold)
 
 
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, content: dirty reports grouped in files of JSON lines (with blank lines), arrays and single objects."""
-    rows = dirty_reports(spark, sf_dir).where("doc_id % 14 <> 11").withColumn("file", F.expr("case doc_id % 3 when 0 then concat('lines-', doc_id div 30) when 1 then concat('array-', doc_id div 30) else concat('one-', doc_id) end"))
+    """file, content: dirty reports grouped in files of JSON lines (with blank lines), arrays (indented) and single indented objects."""
+    rows = marked_reports(spark, sf_dir).withColumn("file", F.expr("case doc_id % 3 when 0 then concat('lines-', doc_id div 30, '.jsonl') when 1 then concat('array-', doc_id div 30, '.json') else concat('one-', doc_id, '.json') end"))
+    rows = rows.withColumn("report", F.replace("report", F.lit("\x01"), F.expr("case when doc_id % 3 = 0 then '' else '\n  ' end")))
     got = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("doc_id", "report"))).alias("r")).withColumn("r", F.transform("r", lambda x: x["report"]))
     return got.select("file", F.expr("case when file like 'lines-%' then concat('\n', array_join(r, '\n\n'), '\n') when file like 'array-%' then concat('[', array_join(r, ', '), ']') else r[0] end").alias("content"))
 
 
+#: lines that are not JSON, though they begin like it
+HOSTILE = ("{broken", '{"a": 1} trailing', '{"b": 2}{"c": 3}', '"meta": {', "1 2")
+
+
 # sources and text functions
 
 
@@ -139,19 +153,21 @@ def task_grid(spark, sf_dir):
     return evaluate.task_grid(documents(spark, sf_dir, "doc_id"), CFG).select("doc_id", "round", "dim", "model")
 
 
-def _first(spark, sf_dir):
-    return evaluate.first_prompts(documents(spark, sf_dir, "doc_id", "text"), corpus.check_prompts(corpus.read_prompts(spark, CFG.prompts), CFG.dimensions), CFG)
+def _prompts(spark):
+    return corpus.check_prompts(corpus.read_prompts(spark, CFG.prompts), CFG.dimensions)
 
 
 @query
 def prompt_render_r1(spark, sf_dir):
-    return _first(spark, sf_dir).select("doc_id", "dim", F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
+    rows = evaluate.prompt_rows(documents(spark, sf_dir, "doc_id", "text"), _prompts(spark), CFG)
+    return rows.select("doc_id", "dim", F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query
 def prompt_refine(spark, sf_dir):
-    out = evaluate.refine(_first(spark, sf_dir), judgments(spark, sf_dir, [1]))
-    return out.select("doc_id", "dim", F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
+    told = evaluate.with_feedback(documents(spark, sf_dir, "doc_id", "text"), judgments(spark, sf_dir, [1]))
+    rows = evaluate.prompt_rows(told, _prompts(spark), CFG)
+    return rows.select("doc_id", "dim", F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -175,10 +191,10 @@ def score_extract(spark, sf_dir):
 @query
 def reason_extract(spark, sf_dir):
     raw = F.expr("""case doc_id % 4
-        when 0 then concat('精炼理由：', substring(text, 1, 150), '\n完整分析：x\n分数：[[8]]')
-        when 1 then concat(substring(text, 1, 130), ' [[7.5]] tail')
-        when 2 then concat('精炼理由: 。', substring(text, 1, 40), '。；分数：[[3]]')
-        else concat('精炼理由： 。[[4]]', substring(text, 1, 20)) end""")
+        when 0 then concat('精炼理由：', text, '\n完整分析：x\n分数：[[8]]')
+        when 1 then concat(text, ' [[7.5]] tail')
+        when 2 then concat('精炼理由: 。', text, '。；分数：[[3]]')
+        else concat('精炼理由： 。[[4]]', text) end""")
     return documents(spark, sf_dir, "doc_id", raw.alias("raw")).select("doc_id", extract_reason(F.col("raw")).alias("reason"))
 
 
@@ -269,6 +285,9 @@ def report_nested(spark, sf_dir):
         get("$.rounds[2].round", "int").alias("third_round"),
         get(f"$.rounds[0].dimensions.safety['{CFG.models[0][1]}'].score", "double").alias("first_score"),
         get("$.final.round_trend.diversity[1]", "double").alias("second_diversity"),
+        F.regexp_count("report", F.lit('"error":"')).alias("n_errors"),
+        F.regexp_count("report", F.lit('"error":')).alias("n_error_keys"),
+        F.md5(get("$.meta.text", "string")).alias("text_md5"),
     )
 
 
@@ -295,14 +314,23 @@ def reports_scan_objects(spark, sf_dir):
 
 @query
 def reports_scan_lenient(spark, sf_dir):
-    broken = report_files(spark, sf_dir).withColumn("content", F.concat("content", F.lit("\n{broken\n")))
-    return files.explode_files(broken.where("file like 'lines-%'"), strict=False).groupBy("file").agg(F.count("*").alias("n"))
+    bad = F.lit("\n" + "\n".join(HOSTILE) + "\n")
+    broken = report_files(spark, sf_dir).withColumn("content", F.when(F.col("file").endswith(".jsonl"), F.concat("content", bad)).otherwise(F.col("content")))
+    return files.explode_files(broken, strict=False).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query
+def reports_scan_scores(spark, sf_dir):
+    """What stands in reports of every kind of file, NaN included, is what was written."""
+    rows = files.explode_files(report_files(spark, sf_dir), objects=True)
+    seen = reports.classify(rows, CFG.threshold)
+    return seen.groupBy("convert_class", "view_class").agg(F.count("*").alias("n"), F.count_if(F.isnan("overall")).alias("nan"), F.round(F.sum(F.when(~F.isnan("overall"), F.col("overall"))), 6).alias("total"), F.sum(F.length("text")).alias("chars"))
 
 
 @query
 def jsonl_preview(spark, sf_dir):
-    lines = report_files(spark, sf_dir).where("file like 'lines-%'").withColumn("content", F.concat(F.lit("not json\n"), "content"))
-    return files.preview(lines, limit=9).groupBy("file").agg(F.count("value").alias("n_values"), F.count("raw").alias("n_raw"), F.max("pos").alias("last_pos"))
+    lines = report_files(spark, sf_dir).where("file like '%.jsonl'").withColumn("content", F.concat(F.lit("not json\n" + HOSTILE[1] + "\n"), "content"))
+    return files.preview(lines, limit=10).groupBy("file").agg(F.count("value").alias("n_values"), F.count("raw").alias("n_raw"), F.max("pos").alias("last_pos"))
 
 
 # statistics
@@ -319,7 +347,7 @@ def _dims(spark, sf_dir):
 
 @query
 def viz_dim_avg(spark, sf_dir):
-    return stats.dim_table(_dims(spark, sf_dir), CFG).select("place", "label", "average", "n")
+    return stats.dim_table(_dims(spark, sf_dir), CFG).select("place", "label", F.round("average", 9).alias("average"), "n")
 
 
 @query
@@ -346,8 +374,7 @@ def web_summary(spark, sf_dir):
 
 @query
 def pipeline_summary(spark, sf_dir):
-    done = classified(spark, sf_dir).where("doc_id % 9 <> 4")
-    return stats.run_summary(documents(spark, sf_dir, "doc_id"), done)
+    return stats.run_summary(documents(spark, sf_dir, "doc_id"), classified(spark, sf_dir))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob as globber
 import os
 import warnings
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,3 +100,14 @@ def latest_runs(history: DataFrame, n: int = 20, log_chars: int = 1500) -> DataF
     rank = Window.orderBy(F.desc("id"))
     top = history.orderBy(F.desc("id")).limit(n)
     return top.withColumn("place", F.row_number().over(rank)).withColumn("log", F.substring("log", 1, log_chars))
+
+
+def clear_history(spark: SparkSession, path: str) -> None:
+    """Deletes all run records."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stamped(prefix: str, suffix: str = ".json", now: datetime | None = None) -> str:
+    """A name with the local time to the second, such as eval_report_20240131_235959.json."""
+    return f"{prefix}_{(now or datetime.now()):%Y%m%d_%H%M%S}{suffix}"

@@ -15,33 +15,67 @@ OBJECT = "map<string,variant>"
 ROUNDS = "struct<rounds:array<variant>>"
 
 
+# a JSON string, and the words that Python reads as numbers
+STRING = r'"(?:[^"\\]|\\.)*+"'
+WORDS = r"-?Infinity|NaN"
+
+
+def valid(j: Column) -> Column:
+    """Whether json.loads takes the whole text: no more, no less; numbers of over 1,000 digits aside.
+
+    The text is set between two keys.  The second, a hash of the text, is met
+    only if the text is one value and nothing else.
+    """
+    last = F.md5(j)
+    whole = F.from_json(F.concat(F.lit('{"v":'), j, F.lit(',"'), last, F.lit('":0}')), "map<string,string>", {"allowSingleQuotes": "false"})
+    one = (F.size(whole) == 2) & F.map_contains_key(whole, last)
+    odd = F.when(j.contains("INF") | j.contains("+I"), F.regexp_replace(j, STRING, "").rlike(r"INF|\+I")).otherwise(False)
+    return F.coalesce(one & ~odd, F.lit(False))
+
+
 def is_object(j: Column) -> Column:
-    return F.from_json(j, OBJECT).isNotNull() & F.trim(j).startswith("{")
+    return valid(j) & F.ltrim(j, F.lit(" \t\r\n")).startswith("{")
 
 
-def _valid(j: Column) -> Column:
-    """Valid JSON value; NaN counts as one, as Python reads and writes it."""
-    return F.try_parse_json(j).isNotNull() | F.coalesce(is_object(j), F.lit(False)) | (strip(j) == "null")
+def members(array: Column) -> Column:
+    """JSON strings of an array's members; NaN and infinities stay bare words, as Python writes them."""
+    mark = F.md5(array)
+    pieces = F.regexp_extract_all(array, F.lit(rf'{STRING}|[^"]+'), 0)
+    quoted = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(x, F.lit(f"({WORDS})"), F.concat(F.lit('"'), mark, F.lit('$1"'))))), "")
+    words = array.contains("NaN") | array.contains("Infinity")
+    source = F.when(words, quoted).otherwise(array)
+    # as text, objects keep the order of their keys and may repeat one; variants tell strings from what only looks like something else
+    text, typed = F.from_json(source, "array<string>"), F.transform(F.from_json(source, "array<variant>"), lambda x: F.to_json(x))
+    got = F.coalesce(F.zip_with(text, typed, lambda x, v: F.when(v.rlike(r"^[\[{]"), x).otherwise(v)), text)
+    bare = F.transform(got, lambda x: F.regexp_replace(x, F.concat(F.lit('"'), mark, F.lit(f'({WORDS})"')), F.lit("$1")))
+    return F.when(words, bare).otherwise(got)
 
 
 def explode_files(files: DataFrame, strict: bool = True, objects: bool = False) -> DataFrame:
     """files (file, content): one object, an array, or JSON lines; gives file, ord, report (a JSON string).
 
-    A line that is not JSON fails the query if ``strict`` and is left out
-    otherwise; ``objects`` keeps objects only.  Lines end at line feeds alone,
-    so separators inside strings do no harm.
+    Strict: a file that is no object or array as a whole is read by lines, and
+    one that is not JSON fails the query.  Lenient: files named ``.jsonl`` are
+    read by lines, others as a whole, and what is not JSON is left out.
+    ``objects`` keeps objects only.  Lines end at line feeds alone, so
+    separators inside strings do no harm.
     """
-    c = strip(F.col("content"))
-    array = F.from_json(c, "array<variant>")
-    whole = F.when(c.startswith("[") & array.isNotNull(), F.transform(array, lambda x: F.to_json(x))).when(c.startswith("{") & F.coalesce(is_object(c), F.lit(False)) & ~c.rlike(r"\n\s*\{"), F.array(c))
+    c = F.col("content")
+    body = F.ltrim(c, F.lit(" \t\r\n"))
+    parts = F.when(body.startswith("["), members(c)).when(body.startswith("{"), F.array(strip(c)))
+    whole = F.when(valid(c), parts)
     lines = F.filter(F.transform(F.split("content", "\n"), strip), lambda x: x != "")
-    out = files.select("file", F.posexplode(F.coalesce(whole, lines)).alias("ord", "report"))
-    ok = F.coalesce(_valid(F.col("report")), F.lit(False))
+    if strict:
+        items = F.coalesce(whole, lines)
+    else:
+        items = F.when(F.col("file").endswith(".jsonl"), lines).otherwise(whole)
+    out = files.select("file", F.posexplode(items).alias("ord", "report"))
+    ok = valid(F.col("report"))
     if strict:
         out = out.withColumn("report", F.when(ok, F.col("report")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" item "), F.col("ord")))))
     else:
         out = out.where(ok)
-    return out.where(F.coalesce(is_object(F.col("report")), F.lit(False))) if objects else out
+    return out.where(is_object(F.col("report"))) if objects else out
 
 
 def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -71,10 +105,31 @@ def preview(files: DataFrame, limit: int = 100) -> DataFrame:
     """file, pos, value, raw: the first ``limit`` physical lines; blank ones are left out but counted, a bad line stays as raw."""
     lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("pos", "line")).where(F.col("pos") < limit)
     lines = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
-    ok = F.coalesce(_valid(F.col("line")), F.lit(False))
+    ok = valid(F.col("line"))
     return lines.select("file", "pos", F.when(ok, F.col("line")).alias("value"), F.when(~ok, F.col("line")).alias("raw"))
 
 
+def discover_reports(spark: SparkSession, folder: str) -> list[str]:
+    """Report files of a folder on any store: the merged ones first, then single evaluations, then those of the user interface, each by name."""
+    return [f for pattern in ("_merged_reports.jsonl", "eval_report_*.json", "ui_eval_*.json") for f in _listed(spark, f"{folder}/{pattern}")]
+
+
+def convertible(spark: SparkSession, folder: str) -> list[str]:
+    """Everything that can be converted: JSON lines first, then JSON files, by name."""
+    return [f for pattern in ("*.jsonl", "*.json") for f in _listed(spark, f"{folder}/{pattern}")]
+
+
+def artifacts(spark: SparkSession, folder: str, n: int = 5) -> list[str]:
+    """The last ``n`` converted outputs in reverse order of their names."""
+    return _listed(spark, f"{folder}/output_*.jsonl")[::-1][:n]
+
+
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(f.getPath().toString() for f in found)
+
+
 def merge(*reports: DataFrame) -> DataFrame:
     """Reports of several inputs in their order: part and ord, then all columns; missing ones are null."""
     parts = [r.withColumn("part", F.lit(i)) for i, r in enumerate(reports)]

@@ -21,9 +21,13 @@ def test_reason(spark):
 
 def test_round_half_even_on_the_binary_value(spark):
     rng = random.Random(1)
-    xs = [2.675, 0.125, 1.005, 8.165, 5.335, 0.0, 10.0, 1.365] + [rng.randrange(0, 1_000_000) / 100_000 for _ in range(3000)] + [a / b for a in range(1, 60) for b in (2, 3, 6, 8) if 0.01 <= a / b <= 10]
-    df = spark.createDataFrame([(x,) for x in xs if x == 0 or x >= 2**-7], "x double").withColumn("got", pytext.round2(F.col("x")))
-    assert [(r.x, r.got) for r in df.collect() if r.got != round(r.x, 2)] == []
+    xs = [2.675, 0.125, 1.005, 8.165, 5.335, 0.0, 10.0, 1.365, 0.005, 0.004999999999999999, 0.015, 1e-9, 5e-324, 16.0, 99.995, 100.125, 1e6 + 0.125, 2.0**51 + 0.5, 2.0**52 + 1, 2.0**53, 1e15 + 0.125, 1e17, 1e300, 123456789012.345, 9007199254740.993]
+    xs += [rng.randrange(0, 1_000_000) / 100_000 for _ in range(2000)] + [a / b for a in range(1, 60) for b in (2, 3, 6, 8)] + [rng.uniform(0, 10 ** rng.randrange(1, 16)) for _ in range(2000)] + [rng.randrange(1, 10**7) / 1000 for _ in range(1000)]
+    xs += [-x for x in xs]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("got", pytext.round2(F.col("x")))
+    assert [(r.x, r.got, round(r.x, 2)) for r in df.collect() if r.got != round(r.x, 2)] == []
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(pytext.round2(F.col("x")).alias("r")).collect()
+    assert odd[0].r != odd[0].r and odd[1].r == float("inf") and odd[2].r is None
 
 
 @pytest.mark.parametrize("text", ["", "a", "　a b\xa0\x1c", " \n\t ", "a\r\nb\rc\x0bd\x0ce\x1cf\x85g h i\n", "\n", "a\n\n", "​x"])

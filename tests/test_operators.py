@@ -1,4 +1,6 @@
 import json
+import os
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwright.config import EvalConfig
 from siftwright.operators import evaluate, parse, reports, stats
 from siftwright.operators.judging import HttpJudge, SyntheticJudge, post
-from siftwright.plans import evaluation
+from siftwright.plans import batch, evaluation
 from siftwright.sources import corpus
 from siftwright.sources import reports as files
 from siftwright.streaming import scores as streaming
@@ -86,6 +88,99 @@ def test_readers(spark, tmp_path):
     assert [(r.value, r.raw) for r in sorted(got, key=lambda r: r.pos)] == [('{"a": 1}', None), (None, "{oops")]
 
 
+JSONS = [
+    '{"a": 1}', '{"a": 1} trailing', "1 2", '"meta": {', '{"b": 2}{"c": 3}', "1, 2", "1], [2", "1] , [2", "NaN", '{"a": NaN}', "[Infinity, -Infinity]", "INF", '{"x": -INF}', "+Infinity", "{'a': 1}", '{"a":1,}', "01", "1.", ".5", "-",
+    "null", "true", "tru", '"x"', '"x', '"a\\u00zz"', '"\\ud800"', '{"a":1,"a":2}', '1,"v":2', "", "{", "[", "[1,]", '[{"a": {"b": [1, {"c": NaN}]}}, 3, "s"]', '"tab\there"', '"\\x"', "1 // c", '{"a" 1}', '"INF"', '{"k": "a, INF, b"}', "1e400",
+    "123456789012345678901234567890", "-0", "- 1", "nan", ' 1', '{"a":1} ', "1}", '{"a":1}}', '{"":1}', "0x1", '"a\nb"', "{1: 2}", '1 }, {"q": 1', '"a" "b"', "-NaN", '{"a":-Infinity}', "\xa01", '{"a": "\\"", "b": [{"c": "}"}]}',
+]
+
+
+def test_json_is_told_as_python_tells_it(spark):
+    def loads(x):
+        try:
+            json.loads(x)
+            return True
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(x,) for x in JSONS], "x string").select("x", files.valid(F.col("x")).alias("ok")).collect()
+    assert [(r.x, r.ok) for r in got] == [(x, loads(x)) for x in JSONS]
+
+
+def test_report_files_as_they_are_written(spark, tmp_path):
+    report = {"meta": {"text": 'a "NaN" b\n{', "n": 1}, "rounds": [{"round": 1, "dimensions": {"safety": {"m": {"score": 7.5}}}}, {"round": 2, "dimensions": {}}], "final": {"overall_score": float("nan")}}
+    indented = json.dumps(report, ensure_ascii=False, indent=2)
+    (tmp_path / "one.json").write_text(indented, encoding="utf-8")
+    (tmp_path / "many.json").write_text(json.dumps([report, 3, report], indent=2), encoding="utf-8")
+    (tmp_path / "l.jsonl").write_text(json.dumps(report) + "\n" + '{"a": 1} x\n"meta": {\n{"b": 2}{"c": 3}\n' + json.dumps(report) + "\n", encoding="utf-8")
+    for mode, one, many in (("strict", 1, 3), ("objects", 1, 2), ("lenient", 1, 3)):
+        rows = files.read_reports(spark, str(tmp_path / "one.json"), mode).collect()
+        assert len(rows) == one and repr(json.loads(rows[0].report)) == repr(report)
+        rows = files.read_reports(spark, str(tmp_path / "many.json"), mode).collect()
+        assert [repr(json.loads(r.report)) for r in rows] == [repr(x) for x in [report, 3, report] if many == 3 or x != 3]
+    assert len(files.read_reports(spark, str(tmp_path / "l.jsonl"), "lenient").collect()) == 2
+    with pytest.raises(Exception, match="not JSON"):
+        files.read_reports(spark, str(tmp_path / "l.jsonl")).collect()
+    kinds = reports.classify(files.read_reports(spark, str(tmp_path / "many.json"), "objects"), 5.0).collect()
+    assert [(r.convert_class, r.view_class) for r in kinds] == [("kept", "failed")] * 2
+
+
+def test_discovery_and_history(spark, tmp_path):
+    for name in ("ui_eval_1.json", "eval_report_2.json", "eval_report_1.json", "_merged_reports.jsonl", "output_a.jsonl", "output_b.jsonl"):
+        (tmp_path / name).write_text("{}")
+    base = lambda found: [f.rsplit("/", 1)[1] for f in found]
+    assert base(files.discover_reports(spark, str(tmp_path))) == ["_merged_reports.jsonl", "eval_report_1.json", "eval_report_2.json", "ui_eval_1.json"]
+    assert base(files.artifacts(spark, str(tmp_path), 1)) == ["output_b.jsonl"] and base(files.convertible(spark, str(tmp_path)))[-1] == "ui_eval_1.json"
+    assert files.discover_reports(spark, str(tmp_path / "none")) == []
+    where = str(tmp_path / "history")
+    corpus.append_history(spark.createDataFrame([("1", "p")], "id string, page string"), where)
+    assert spark.read.json(where).count() == 1
+    corpus.clear_history(spark, where)
+    assert not (tmp_path / "history").exists()
+    assert corpus.stamped("eval_report", now=datetime(2024, 1, 31, 23, 59, 58)) == "eval_report_20240131_235958.json"
+
+
+def test_keys_from_a_file(tmp_path, monkeypatch):
+    monkeypatch.setenv("KEY_A", "set")
+    monkeypatch.delenv("KEY_B", raising=False)
+    monkeypatch.delenv("KEY_C", raising=False)
+    (tmp_path / ".env").write_text("# keys\nKEY_A=other\nexport KEY_B='b c'\nKEY_C=YOUR_KEY # todo\nnothing\n")
+    judge = HttpJudge({m: ("http://x", m, f"KEY_{m}") for m in "ABC"}, env_file=str(tmp_path / ".env"))
+    with pytest.warns(UserWarning, match="KEY_C"):
+        assert judge.missing_keys() == ["KEY_C"]
+    assert (os.environ["KEY_A"], os.environ["KEY_B"]) == ("set", "b c")
+    for k in ("KEY_B", "KEY_C"):
+        os.environ.pop(k)
+
+
+def test_batch_command(spark, tmp_path, capsys):
+    (tmp_path / "c.txt").write_text("\n".join(f"user: q{i} gpt: a" for i in range(1, 14)) + "\n\n", encoding="utf-8")
+    batch.main(["--input", str(tmp_path / "c.txt"), "--output", str(tmp_path / "o"), "--format", "sharegpt", "--rounds", "1"])
+    out = capsys.readouterr().out
+    assert "共处理 13" in out and "安全性" in out and spark.read.text(str(tmp_path / "o/sharegpt")).count() > 0
+    text = spark.read.text(str(tmp_path / "o/reports")).first().value
+    assert '"error":null' not in text and json.loads(text)["meta"]["text"].startswith("user:")
+    (tmp_path / "blank.txt").write_text("\n \n")
+    with pytest.raises(ValueError, match="no items"):
+        batch.main(["--input", str(tmp_path / "blank.txt"), "--output", str(tmp_path / "p"), "--format", "alpaca"])
+    with pytest.raises(ValueError, match="no report"):
+        evaluation.run(spark.createDataFrame([], "doc_id long, text string, n_chars long"), SyntheticJudge(), CFG, str(tmp_path / "q"))
+
+
+def test_a_dimension_and_a_judge_more(spark):
+    cfg = EvalConfig(dimensions=(*CFG.dimensions, "style"), models=(*CFG.models, ("own", "Own")))
+    docs = spark.createDataFrame([(1, 5), (2, 9)], "doc_id long, n_chars long")
+    rows = evaluate.judge_rows(SyntheticJudge().answer(evaluate.task_grid(docs, cfg)))
+    assert rows.count() == 2 * 3 * 5 * 4
+    finals = evaluate.final_scores(evaluate.dim_scores(rows.where("round = 3")), cfg)
+    assert "style" in finals.columns and finals.count() == 2  # without a weight it counts 0
+
+
+def test_rows_that_repeat_a_doc_id_ask_no_more_than_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3)], "doc_id long, text string, n_chars long")
+    assert evaluation.run_rounds(docs, SyntheticJudge(), EvalConfig(rounds=1), str(tmp_path / "r")).count() == 3 * 12
+
+
 def test_corpus_sources(spark, tmp_path):
     (tmp_path / "c.txt").write_text("  a \n\n　\nb\x0bc\n", encoding="utf-8")
     rows = corpus.read_corpus(spark, str(tmp_path / "c.txt")).orderBy("item").collect()
