@@ -358,7 +358,7 @@ def link_sets(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc
             break
         lists = _torn(lists.join(held_back, "name", "left_semi"), comp)
 
-    comp = comp.join(heads.select("sid", "tag"), "sid")
+    comp = comp.join(heads.select("sid", "tag", "n"), "sid")
     if count:
         comp = comp.join(_counted(comp, sets, percent), "sid", "left")
         comp = comp.withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
@@ -476,14 +476,13 @@ def _block_links(percent: int):
 
 
 def _counted(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, links) for the sets of all components (nodes: sid, tag, comp) of two or more."""
-    sizes = nodes.groupBy("comp").agg(F.count("*").alias("k")).where("k > 1")
-    placed = stored(nodes.join(sizes, "comp"), "members")
+    """(sid, links) for the sets of all components (nodes: sid, tag, n, comp) of two or more."""
+    sizes = nodes.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("grams")).where("k > 1")
+    sizes = sizes.select("comp", "k", F.ceil(F.greatest(F.col("grams") / BLOCK, F.col("k") / BLOCK_SETS)).cast("int").alias("parts"))
+    placed = stored(nodes.select("sid", "tag", "comp").join(sizes, "comp"), "members")
     pairs = placed.where("k = 2").select("sid", F.lit(1).cast("long").alias("links"))
     own = stored(sets.where("main").select("sid", "tag", "n", "frag", "grams").join(placed.where("k > 2"), ["sid", "tag"]), "members")
-    parts = F.ceil(F.greatest(F.sum(F.size("grams")) / BLOCK, F.max("k") / BLOCK_SETS)).cast("int")
-    own_parts = own.groupBy("comp").agg(parts.alias("parts"))
-    dealt = own.join(own_parts, "comp").withColumn("block", F.expr("pmod(xxhash64(sid), parts)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = own.withColumn("block", F.expr("pmod(xxhash64(sid), parts)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "n", "grams")
     found = dealt.groupBy("comp", "lo", "hi").applyInArrow(_block_links(percent), "sid long, links long")
     out = stored(found.groupBy("sid").agg(F.sum("links").alias("links")).unionByName(pairs), "counted")
