@@ -1,16 +1,17 @@
 r"""Benchmark decontamination over a distributed positional inverted index.
 
 The index is cut by document into segments of about a megabyte of text, as
-search engines do: a segment holds, for each test term that it contains, the
-sorted list of the term's word positions.  It is stored as a table, so several
-searches share it.  A search reads one segment a row: a phrase's lists are
-intersected from the segment's rarest term to its most common one, each list
-moved by the term's offset; no list of one term is ever gathered across
-segments, however common it is.  Words are compared as 64-bit hashes, all of a
-window's words each.
-
-Test items travel to the executors in blocks of at most ``BLOCK_WORDS`` words
-(a larger benchmark makes more blocks, each searched apart).
+search engines do: a segment holds, for each of its terms, the sorted list of
+the term's word positions.  It is stored as a table and knows of no test item,
+so any number of searches share it.  A search reads one segment a row: all
+windows whose terms the segment has are looked up together, each beginning with
+the positions of its rarest term, moved by the term's offset, which are then
+intersected with the lists of the other terms from the rarest to the commonest.
+No list of one term is ever gathered across segments, however common it is.
+Words are compared as 64-bit hashes, all of a window's words each.
+
+Test items travel to the executors in blocks of about ``BLOCK_WORDS`` words;
+the blocks of a larger benchmark search the same index in turn.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .textops import ALNUM, text_chunks, words_of
 
 #: words of test items sent to executors at once
 BLOCK_WORDS = 1_000_000
+#: positions of rarest terms that are looked at together
+AT_ONCE = 1 << 21
 INDEX = "seg long, doc_id array<long>, first array<int>, term array<long>, cut array<int>, at array<int>"
 MATCHES = "seg long, ord int, doc_id long, n_words int, matches array<struct<item_id:long,start:int,length:int>>"
 
@@ -45,39 +48,36 @@ def term_hashes(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def _segments(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids = batch.column("doc_id")
-            for lo, hi, data, off in text_chunks(batch.column("text")):
-                w = words_of(data, off, ALNUM, lower=True)
-                h = w.hashes()
-                slot = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-                known = vocabulary[slot] == h if len(vocabulary) else np.zeros(len(h), bool)
-                at = np.flatnonzero(known)
-                order = np.argsort(slot[at], kind="stable")
-                at, slot = at[order], slot[at][order]
-                head = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([seg]), pa.array([ids[lo:hi].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), _ints(w.first), pa.array([vocabulary[slot[head]].view(np.int64)]), _ints(np.r_[head, len(at)]), _ints(at)],
-                    ["seg", "doc_id", "first", "term", "cut", "at"],
-                )
-                seg += 1
-
-    return run
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored postings of ``vocabulary`` (sorted distinct word hashes), one segment a row."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seg = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for lo, hi, data, off in text_chunks(batch.column("text")):
+            w = words_of(data, off, ALNUM, lower=True)
+            h = w.hashes()
+            at = np.argsort(h, kind="stable")
+            term = h[at]
+            head = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([seg]), pa.array([ids[lo:hi].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), _ints(w.first), pa.array([term[head].view(np.int64)]), _ints(np.r_[head, len(at)]), _ints(at)],
+                ["seg", "doc_id", "first", "term", "cut", "at"],
+            )
+            seg += 1
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored postings of every word, one segment a row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(_segments(vocabulary), INDEX), "index")
+    return stored(rows.mapInArrow(_segments, INDEX), "index")
 
 
 class _Segment:
     def __init__(self, row: dict) -> None:
-        self.first, self.cut, self.at = row["first"], row["cut"], row["at"]
+        self.first, self.cut, self.at = row["first"], row["cut"].astype(np.int64), row["at"].astype(np.int64)
         self.term = row["term"].view(np.uint64)
+        self.size = np.diff(self.cut)
+        # sorted, as terms are and positions are within each: a place in one list is found by one search
+        self.key = np.repeat(np.arange(len(self.term)) * max(len(self.at), 1), self.size) + self.at
 
     def slots(self, h: np.ndarray) -> np.ndarray:
         """Places of terms in this segment, -1 for absent ones."""
@@ -89,18 +89,37 @@ class _Segment:
     def positions(self, slot: int) -> np.ndarray:
         return self.at[self.cut[slot] : self.cut[slot + 1]]
 
-    def phrase(self, slots: np.ndarray) -> np.ndarray:
-        """Positions at which the terms follow each other inside one document."""
-        rare = np.argsort(self.cut[slots + 1] - self.cut[slots], kind="stable")
-        found = self.positions(slots[rare[0]]) - rare[0]
-        for k in rare[1:]:
-            own = self.positions(slots[k])
-            i = np.minimum(np.searchsorted(own, found + k), len(own) - 1)
-            found = found[own[i] == found + k]
-            if not len(found):
-                return found
-        found = found[found >= 0]
-        return found[self.doc(found) == self.doc(found + len(slots) - 1)]
+    def has(self, slot: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each term stands at each position."""
+        want = slot * len(self.at) + at
+        i = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return (self.key[i] == want) & (at >= 0) & (at < len(self.at))
+
+    def phrases(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, position) of each row of terms that follow each other inside one document."""
+        width = slots.shape[1]
+        order = np.argsort(self.size[slots], axis=1, kind="stable")
+        slots = np.take_along_axis(slots, order, 1)
+        n = self.size[slots[:, 0]]
+        rows, found = [], []
+        upto = np.cumsum(n)
+        for lo, hi in _cuts(upto):
+            many = n[lo:hi]
+            row = np.repeat(np.arange(lo, hi), many)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = self.at[self.cut[slots[row, 0]] + inside] - order[row, 0]
+            keep = at >= 0
+            row, at = row[keep], at[keep]
+            for k in range(1, width):
+                keep = self.has(slots[row, k], at + order[row, k])
+                row, at = row[keep], at[keep]
+                if not len(row):
+                    break
+            keep = self.doc(at) == self.doc(at + width - 1)
+            rows.append(row[keep])
+            found.append(at[keep])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *rows]), np.concatenate([none, *found])
 
     def near(self, slots: np.ndarray, span: int) -> list[tuple[int, int]]:
         """(first position, length) of the shortest stretches, at most ``span`` words, that hold all the terms in any order."""
@@ -130,44 +149,69 @@ class _Segment:
         return np.searchsorted(self.first, at, "right") - 1
 
 
+def _cuts(upto: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most about ``AT_ONCE`` positions each, given the positions' running total."""
+    lo = 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _search(item_ids: list[int], items: list[np.ndarray], width: int, span: int | None):
     every = np.concatenate(items) if items else np.zeros(0, np.uint64)
-    begin = np.r_[0, np.cumsum([len(x) for x in items])].astype(np.int64)
-
-    def windows_of(seg: _Segment, slots: np.ndarray, item: int) -> list[tuple[int, int]]:
-        own = slots[begin[item] : begin[item + 1]]
-        if span is not None:
-            return seg.near(own, span) if (own >= 0).all() else []
-        k = min(width, len(own))
-        gap = np.r_[0, np.cumsum(own < 0)]
-        whole = np.flatnonzero(gap[k:] == gap[:-k])
-        found = [seg.phrase(own[i : i + k]) for i in whole]
-        at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        out: list[tuple[int, int]] = []
-        for p in at.tolist():
-            if out and p <= out[-1][0] + out[-1][1] and seg.doc(p) == seg.doc(out[-1][0]):
-                out[-1] = (out[-1][0], p + k - out[-1][0])
-            else:
-                out.append((p, k))
-        return out
+    vocabulary, term = np.unique(every, return_inverse=True)
+    lengths = np.array([len(x) for x in items], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    ids = np.array(item_ids, np.int64)
+    # windows by their length: first word's place and item
+    by_width = []
+    for k in np.unique(np.minimum(lengths, width)):
+        own = np.flatnonzero(np.minimum(lengths, width) == k)
+        n = lengths[own] - k + 1
+        item = np.repeat(own, n)
+        by_width.append((int(k), np.repeat(begin[own], n) + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n), item))
+
+    def exact(seg: _Segment, slots: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, start, length) of runs of words that windows of one item cover."""
+        gap = np.r_[0, np.cumsum(slots < 0)]
+        out = []
+        for k, start, item in by_width:
+            whole = gap[start + k] == gap[start]
+            first, own = start[whole], item[whole]
+            for lo in range(0, len(first), 1 << 16):
+                row, at = seg.phrases(slots[first[lo : lo + (1 << 16), None] + np.arange(k)])
+                out.append((own[lo + row], at, np.full(len(at), k)))
+        item, at, k = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), (), ())))
+        order = np.lexsort((at, item))
+        item, at, k = item[order], at[order], k[order]
+        if not len(at):
+            return item, at, k
+        doc = seg.doc(at)
+        head = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + k[:-1])])
+        last = np.r_[head[1:], len(at)] - 1
+        return item[head], at[head], at[last] + k[last] - at[head]
+
+    def near(seg: _Segment, slots: np.ndarray) -> tuple[np.ndarray, ...]:
+        absent = np.r_[0, np.cumsum(slots < 0)]
+        out = [(i, p, n) for i in np.flatnonzero(absent[begin + lengths] == absent[begin]) for p, n in seg.near(slots[begin[i] : begin[i] + lengths[i]], span)]
+        return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                row = {c: batch.column(c)[r].values.to_numpy() for c in ("first", "term", "cut", "at")}
-                ids = batch.column("doc_id")[r].values
-                seg = _Segment(row)
-                slots = seg.slots(every)
-                present = np.add.reduceat((slots >= 0).astype(np.int64), begin[:-1]) if len(items) else np.zeros(0, np.int64)
-                by_doc: list[list[dict]] = [[] for _ in range(len(ids))]
-                for i in np.flatnonzero(present >= (np.minimum(np.diff(begin), width) if span is None else np.diff(begin))) if len(items) else ():
-                    for p, length in windows_of(seg, slots, i):
-                        d = int(seg.doc(p))
-                        by_doc[d].append({"item_id": item_ids[i], "start": int(p - seg.first[d]), "length": length})
-                n = len(ids)
-                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32())]))
+                seg = _Segment({c: batch.column(c)[r].values.to_numpy() for c in ("first", "term", "cut", "at")})
+                docs = batch.column("doc_id")[r].values
+                n = len(docs)
+                slots = seg.slots(vocabulary)[term]
+                item, at, length = (exact if span is None else near)(seg, slots)
+                doc = seg.doc(at)
+                order = np.lexsort((at, item, doc))
+                item, at, length, doc = item[order], at[order], length[order], doc[order]
+                match = pa.StructArray.from_arrays([pa.array(ids[item]), pa.array((at - seg.first[doc]).astype(np.int32)), pa.array(length.astype(np.int32))], ["item_id", "start", "length"])
+                cut = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column("seg")[r].as_py())), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(np.diff(seg.first).astype(np.int32)), pa.array(by_doc, kind)],
+                    [pa.array(np.full(n, batch.column("seg")[r].as_py())), pa.array(np.arange(n, dtype=np.int32)), docs, pa.array(np.diff(seg.first).astype(np.int32)), pa.ListArray.from_arrays(cut, match)],
                     ["seg", "ord", "doc_id", "n_words", "matches"],
                 )
 
@@ -189,6 +233,11 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 13, span: int | N
     without words match nothing; an item id given twice stands for both texts.
     Empty tables give no matches; other columns are ignored.
     """
+    return search_index(build_index(docs, doc_id, text), items, width, span, item_id, item_text, block_words)
+
+
+def search_index(index: DataFrame, items: DataFrame, width: int = 13, span: int | None = None, item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """find_items' rows, of the documents of an index that is at hand."""
     picked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     size = picked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 4
     blocks = max(1, -int(-size // block_words))
@@ -197,12 +246,9 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 13, span: int | N
         part = picked if blocks == 1 else picked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         got = part.orderBy("item_id", "text").collect()  # about block_words words
         hashed = [(r.item_id, h) for r, h in zip(got, term_hashes([r.text for r in got]), strict=True) if len(h)]
-        ids, own = [i for i, _ in hashed], [h for _, h in hashed]
-        index = build_index(docs, np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64), doc_id, text)
-        found = index.mapInArrow(_search(ids, own, width, span), MATCHES)
+        found = index.mapInArrow(_search([i for i, _ in hashed], [h for _, h in hashed], width, span), MATCHES)
         out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        # segments are cut alike for every block, so (seg, ord) names a document
+    if blocks > 1:  # one index: (seg, ord) names a document in every block
         out = out.groupBy("seg", "ord", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))
     return out
 
