@@ -44,7 +44,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-_POW = _powers(_MULT, 4096)
+_POW = {_MULT: _powers(_MULT, 4096)}
 
 
 @dataclass
@@ -57,15 +57,16 @@ class Words:
     doc: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
+    def hashes(self, mult: int = _MULT) -> np.ndarray:
+        """64-bit hash of each word; another odd ``mult``, another hash."""
         lens = self.end - self.start
         if not len(lens):
             return np.zeros(0, np.uint64)
         at = np.cumsum(lens) - lens
         inside = np.arange(int(lens.sum())) - np.repeat(at, lens)
         byte = self.data[inside + np.repeat(self.start, lens)]
-        pow_ = _POW if lens.max() <= len(_POW) else _powers(_MULT, int(lens.max()))
+        pow_ = _POW.setdefault(mult, _powers(mult, 4096))
+        pow_ = pow_ if lens.max() <= len(pow_) else _powers(mult, int(lens.max()))
         term = (byte.astype(np.uint64) + np.uint64(1)) * pow_[inside]
         return mix(np.add.reduceat(term, at) + lens.astype(np.uint64) * np.uint64(_WORD))
 
@@ -115,3 +116,18 @@ def windows(h: np.ndarray, doc: np.ndarray, k: int, base: int = 0xA24BAED4963EE4
         for j in range(k):
             out = out * np.uint64(base) + h[j : len(h) - k + 1 + j]
     return start, mix(out[start] + np.uint64(k))
+
+
+#: an odd multiplier and its inverse modulo 2**64
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_OTHER = 0xD1B54A32D192ED03
+
+
+def range_hashes(w: Words, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of ``n`` words from word ``first``, by other hashes of the words than Words.hashes() gives."""
+    h = w.hashes(_OTHER)
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)]
+    return mix((total[first + n] - total[first]) * _powers(_INVERSE, len(h) + 1)[first] + n.astype(np.uint64))
