@@ -3,8 +3,11 @@ r"""Cross-site boilerplate lines, by the number of distinct sites that hold a li
 Each line hash gets a HyperLogLog sketch of its sites; sketches merge by
 aggregation, so a line of a third of all documents reaches the shuffle as one
 sketch a task.  Lines whose estimate lies within ``MARGIN`` of the threshold
-are counted exactly.  A document's removed lines come back as an array of
-hashes and are filtered out of its text in place.
+are counted exactly, after a bitmap of fixed size has dropped the others and
+each task has dropped its repetitions.  A document's removed lines come back as
+an array of hashes and are filtered out of its text in place; the list of
+removed lines is repeated under ``SALTS`` salts, so that the occurrences of a
+common one are spread.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, tested
 from .storage import stored
 
 #: estimates from (1 - MARGIN) * threshold - 1 to (1 + MARGIN) * threshold + 1 are counted again; with 2**LG_K registers an error that large is over 6 standard errors out
 MARGIN, LG_K = 0.2, 10
+SALTS = 16
 
 
 def _key(line):
@@ -37,8 +42,10 @@ def boilerplate(docs: DataFrame, sites: int = 5, text: str = "text", site: str =
         sketched = sketched.where("lo < hi")
     estimates = stored(sketched.select("line", F.hll_sketch_estimate("sketch").alias("n")), "estimates")
     low, high = (1 - MARGIN) * sites - 1, (1 + MARGIN) * sites + 1
-    near = estimates.where(F.col("n").between(low, high)).select("line")
-    exact = lines.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
+    near = stored(estimates.where(F.col("n").between(low, high)).select("line"), "near")
+    # each task's repetitions go before anything is shuffled
+    held = tested(lines, bitmap(near, "line"), "near", "line").where("near").select("line", "site").distinct()
+    exact = held.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("n_sites"))
     sure = estimates.where(F.col("n") > high).select("line", F.col("n").alias("n_sites"))
     return exact.where(F.col("n_sites") >= sites).unionByName(sure)
 
@@ -56,7 +63,9 @@ def drop_boilerplate(docs: DataFrame, sites: int = 5, doc_id: str = "doc_id", te
     t = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("text")).withColumn("th", _key(F.coalesce(F.col("text"), F.lit(""))))
     held = rows.select("doc_id", "th", F.explode(F.array_distinct(F.split("text", "\n"))).alias("text")).select("doc_id", "th", _key(F.col("text")).alias("line"))
-    gone = held.join(found.select("line"), "line", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
+    held = tested(held, bitmap(found, "line"), "found", "line").where("found").withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+    salted = found.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    gone = held.join(salted, ["line", "salt"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_"), "gone")
     out = rows.join(gone, rows.doc_id.eqNullSafe(gone.doc_id_) & (rows.th == gone.th_), "left")
     lines = F.split("text", "\n")
