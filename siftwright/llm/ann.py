@@ -5,14 +5,16 @@ cosine.  Each is put into the cell of its nearest centroid, and what is left is
 coded in 4-bit codes, one for each few dimensions.  Codes and codebooks
 minimise a loss that weighs the error along the vector (which moves its score)
 ``eta`` + 1 times as much as the error across it.  A query looks into the cells
-that score best (as many as the sample shows to be needed), adds up table entries for all codes there, and ranks again, on
-the original vectors in double precision, all rows whose sum may still reach
+that score best (as many as the sample shows to be needed), adds up table
+entries for all codes there (two codes are packed in a byte, and their tables
+paired, so one look-up serves both), and ranks again, on the original vectors in double precision, all rows whose sum may still reach
 the k-th best: a sum is off by at most the length of what the row's code
 misses, which is stored with the code.
 
 Centroids and codebooks are fitted on a bounded sample (``Settings.sample``);
-all rows are indexed.  A cell of many rows is split into parts that are
-searched apart, so a vector that holds a third of the table fills no task.
+all rows are indexed.  A cell of many rows is split into parts, and its queries
+into blocks; each part meets each block apart, so a vector that holds a third
+of the table fills no task.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ class Settings:
     threshold: float = 0.2  # score, as a part of the length, above which errors along the vector count
     shortlist: int = 64  # rows of a cell that are ranked exactly first; their k-th best score tells which others may beat it
     rows: int = 20_000  # most rows of a cell searched in one task
+    queries: int = 20_000  # most queries that a part meets in one task
     rounds: int = 8
 
 
@@ -148,6 +151,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def packed(code: np.ndarray) -> np.ndarray:
+    """Two codes a byte, an odd one alone."""
+    out = code[:, ::2] << 4
+    out[:, : code.shape[1] // 2] |= code[:, 1::2]
+    return out
+
+
+def paired(tables: np.ndarray) -> np.ndarray:
+    """Tables of 256 entries for packed codes, of tables of 16 entries for each code."""
+    m = len(tables)
+    if m % 2:
+        tables = np.concatenate([tables, np.zeros((1, 16))])
+    return (tables[::2, :, None] + tables[1::2, None, :]).reshape(-1, 256)
+
+
 def _missed(codec: Codec, x: np.ndarray, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Length of what the codes miss of each row: for a query of length 1 no score is farther off."""
     told = codec.books[np.arange(code.shape[1])[None, :], code]
@@ -162,7 +180,7 @@ def _index(codec: Codec):
                 x = _unit(_matrix(part.column("v"), codec.dims))
                 cell = codec.cells(x)
                 code = codec.encode(x, cell)
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(_missed(codec, x, cell, code))], ["vec_id", "v", "cell", "code", "missed"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in packed(code)], pa.binary()), pa.array(_missed(codec, x, cell, code))], ["vec_id", "v", "cell", "code", "missed"])
 
     return run
 
@@ -200,7 +218,7 @@ def _scan(codec: Codec, k: int, shortlist: int):
         out = []
         for q_id, q in zip(q_ids, q_all, strict=True):
             u = q / np.sqrt((q * q).sum())
-            tables = np.einsum("mw,mkw->mk", codec.blocks(u[None])[0], codec.books)
+            tables = paired(np.einsum("mw,mkw->mk", codec.blocks(u[None])[0], codec.books))
             near = np.full(len(ids), u @ base)
             for s in range(code.shape[1]):
                 near += tables[s][code[:, s]]
@@ -253,8 +271,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
 
     def search(some: DataFrame, probes: int) -> DataFrame:
         looked = some.mapInArrow(_probe(codec, probes), "query_id long, v array<double>, cell int")
-        looked = looked.join(sizes, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("cell", "part", "query_id", "v")
-        found = dealt.groupBy("cell", "part").cogroup(looked.groupBy("cell", "part")).applyInArrow(_scan(codec, k, settings.shortlist), "query_id long, vec_id long, score double")
+        looked = stored(looked, "looked")
+        blocks = stored(looked.groupBy("cell").agg(F.ceil(F.count("*") / settings.queries).cast("int").alias("blocks")), "blocks")
+        blocks = F.broadcast(blocks)  # at most settings.cells rows
+        asking = looked.join(sizes, "cell").join(blocks, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+        asking = asking.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("cell", "part", "block", "query_id", "v")
+        rows = dealt.join(blocks, "cell").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
+        found = rows.groupBy("cell", "part", "block").cogroup(asking.groupBy("cell", "part", "block")).applyInArrow(_scan(codec, k, settings.shortlist), "query_id long, vec_id long, score double")
         best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
         return best
 
