@@ -174,11 +174,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
-    """Fits the labelled rows for which ``learn`` (of ``doc_id``) holds, up to ``settings.sample``."""
+    """Fits the labelled rows for which ``learn`` (of ``doc_id``) holds, up to ``settings.sample``.
+
+    Rows without a label or an id are not learned from; of rows that repeat a
+    doc_id the smallest text is, so the sample is bounded whatever repeats.
+    """
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learn)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(settings.sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(known), "doc_id").select("label", "text")  # at most settings.sample ids
+    rows = rows.join(F.broadcast(known), "doc_id")  # at most settings.sample ids
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     got = rows.mapInArrow(_measure, "label int, x array<double>").toPandas()
     if got.empty:
         return fit(np.zeros((0, FEATURES)), np.zeros(0), settings)
