@@ -62,3 +62,48 @@ SELECT doc_id, coalesce(len(lines), 0)::bigint AS n_lines, coalesce(len(lines) -
        sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
 FROM k
 """
+
+#: words of ASCII letters, digits and whatever lies beyond ASCII, A-Z lower-cased
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op6_decontamination"] = rf"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT item_id, w, least(13, len(w)) AS k FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+sizes AS (SELECT DISTINCT k FROM items),
+placed AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, sizes WHERE len(w) >= k)),
+met AS (SELECT r, k, i, item_id FROM placed JOIN win USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, item_id::varchar AS x FROM met) GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(x, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS did, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+placed AS (SELECT r, did, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM (SELECT r, did, w, unnest(range(1, len(w) - 18)) AS i FROM dw WHERE len(w) >= 20)),
+firsts AS (SELECT g, min((did, i)) AS f FROM placed GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM placed JOIN firsts USING (g) WHERE f < (did, i)),
+cut AS (SELECT r, list(p) AS p FROM gone GROUP BY r),
+kept AS (SELECT doc_id, w, coalesce(len(p), 0) AS n_removed, list_filter(w, lambda x, i: NOT coalesce(list_contains(p, i), false)) AS k FROM dw LEFT JOIN cut USING (r))
+SELECT doc_id, len(w)::bigint AS n_words, n_removed::bigint AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+ORACLES["op1_ngram_jaccard_join"] = rf"""
+WITH RECURSIVE dw AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+grams AS (SELECT DISTINCT r, md5(array_to_string(w[i:i + k - 1], ' ')) AS g FROM (SELECT r, w, least(4, len(w)) AS k, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM dw WHERE len(w) > 0)),
+sets AS (SELECT r, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS s FROM grams GROUP BY r),
+classes AS (SELECT s, min(r) AS r, min(n) AS n FROM sets GROUP BY s),
+own AS (SELECT s, g FROM grams JOIN classes USING (r)),
+shared AS (SELECT a.s AS a, b.s AS b, count(*) AS c FROM own a JOIN own b ON a.g = b.g AND a.s < b.s GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN classes x ON x.s = a JOIN classes y ON y.s = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(s, t) AS (SELECT s, s FROM classes UNION SELECT reach.s, b FROM reach JOIN both_ways ON t = a),
+least_of AS (SELECT s, min(doc_id) AS d FROM sets JOIN dw USING (r) GROUP BY s),
+comp AS (SELECT reach.s, min(d) AS component_id FROM reach JOIN least_of ON least_of.s = t GROUP BY reach.s),
+counted AS (SELECT a AS s, count(*) AS links FROM both_ways GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(links, 0)::bigint AS links
+FROM dw LEFT JOIN sets USING (r) LEFT JOIN comp USING (s) LEFT JOIN counted USING (s)
+"""

@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -411,6 +412,142 @@ def test_substring(docs, rows, none, k):
     assert substring.remove_repeats(none, k).count() == 0
 
 
+def naive_statistics(t):
+    b = t.encode()
+    w = [x.encode() for x in WORD.findall(t)]
+    size, n = len(b), len(w)
+    kinds = [range(97, 123), range(65, 91), range(48, 58), b".,;:!?", b"'\"()-", [c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,;:!?'\"()-"], range(128, 256), b" \t\r\x0b\x0c", b"\n"]
+    symbol, letter = set(kinds[5]), {*kinds[0], *kinds[1], *kinds[6]}
+    out = [np.log1p(size), np.log1p(n)] + [sum(c in set(k) for c in b) / max(size, 1) for k in kinds]
+    lens = [len(x) for x in w]
+    mean = sum(lens) / max(n, 1)
+    out += [mean, max(0.0, sum(x * x for x in lens) / max(n, 1) - mean**2) ** 0.5, np.log1p(max(lens, default=0))]
+    share = lambda f: sum(map(f, w)) / max(n, 1)
+    out += [share(lambda x: x[0] in kinds[1]), share(lambda x: x[-1] in b".!?"), share(lambda x: bool(symbol & set(x))), share(lambda x: not letter & set(x)), share(lambda x: len(x) == 1), share(lambda x: len(x) <= 3)]
+    out += [len(set(w)) / max(n, 1), max(Counter(w).values(), default=0) / max(n, 1)]
+    return out + [len({tuple(w[i : i + k]) for i in range(n - k + 1)}) / max(n - k + 1, 1) for k in (2, 5)]
+
+
+def test_quality_statistics_and_trees_by_hand(rows):
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 5000]
+    x = np.concatenate([quality.statistics(data, off) for _, _, data, off in quality.text_chunks(pa.array(texts))])
+    assert x.shape == (len(texts), quality.FEATURES) and np.allclose(x, [naive_statistics(t) for t in texts], atol=1e-6)
+    rng = np.random.default_rng(3)
+    y = (rng.random(len(x)) < 0.5).astype(float)
+    trees = quality.fit(x, y, quality.Settings(trees=7))
+
+    def walk(row):
+        z = trees.base
+        for f, above, leaf in zip(trees.feature, trees.above, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > above[node] else 1)
+            z += leaf[node - len(f)]
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(trees.score(x), [walk(r) for r in x])
+
+
+def test_quality_query(spark):
+    out = {r.doc_id: r for r in entry.queries()["op4_quality"](spark, SF).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(out) == set(docs)
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for d, r in out.items())
+    labels = [(r.quality, out[r.doc_id].score) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if out[r.doc_id].held_out]
+    good, bad = ([s for q, s in labels if q == k] for k in (1, 0))
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.95 * len(good) * len(bad) > 0
+
+
+def test_quality_keeps_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (2, None, "x", "z")], "doc_id long, text string, score string, _score string")
+    trees = quality.fit(np.zeros((0, quality.FEATURES)), np.zeros(0))
+    out = quality.score_documents(docs, trees, score="q")
+    assert sorted(map(tuple, out.collect())) == [(1, "a b", "x", "y", 0.5), (2, None, "x", "z", 0.5)]
+    assert sorted(r.score for r in quality.score_documents(docs, trees).collect()) == [0.5, 0.5]
+
+
+def test_nearest_query(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    v = np.array([r.embedding for r in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    found = {}
+    for r in entry.queries()["op5_nearest_neighbours"](spark, SF).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(found) == sorted(int(i) for i in ids if i % 50 == 0)
+    hit = 0
+    for q, own in found.items():
+        s = v @ v[ids == q][0]
+        s[ids == q] = -9
+        best = ids[np.lexsort((ids, -s))[:5]]
+        assert [k for k, _, _ in sorted(own)] == [1, 2, 3, 4, 5] and all(abs(s[ids == i][0] - c) < 1e-12 for _, i, c in own)
+        hit += len({i for _, i, _ in own} & set(best.tolist()))
+    assert hit >= 0.9 * 5 * len(found)
+
+
+def test_nearest_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(rng.normal(size=(1200, 7)))], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0")
+    want = Counter(map(tuple, ann.nearest(df, asked).collect()))
+    assert Counter(map(tuple, ann.nearest(df, asked, settings=ann.Settings(rows=20, queries=3)).collect())) == want
+
+
+def test_token_counts_query(spark):
+    known = set(wordpiece.load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in entry.queries()["op8_token_counts"](spark, SF).collect())
+    assert got == Counter((r.doc_id, len(WORD.findall(r.text or "")), greedy(known, r.text)) for r in docs)
+
+
+def well_sharded(docs, out, shards):
+    """docs: (doc_id, text); out: rows of the query."""
+    raw = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        raw.setdefault(d, []).append((len(b) + 8, zlib.crc32(b)))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter((d, *x) for d, xs in raw.items() for x in xs)
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(shards)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    total = sum(r.size for r in out)
+    groups, held = {}, Counter()
+    for r in out:
+        groups.setdefault((r.text_crc32, r.size), []).append(r)
+        held[r.shard] += r.size
+    largest = max(r.size for r in out)
+    for g in groups.values():
+        own = sum(r.size for r in g)
+        if own <= sharding.SPLIT_ABOVE * total / shards:
+            assert len({r.shard for r in g}) == 1  # equal texts lie together
+            largest = max(largest, own)
+    assert all(abs(held[s] - total / shards) <= 2 * largest for s in range(shards))
+
+
+def test_sharding_query(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    out = entry.queries()["op9_sharding"](spark, SF).collect()
+    well_sharded(docs, out, 24)
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)}
+    assert sorted(map(tuple, out)) == sorted(map(tuple, entry.queries()["op9_sharding"](spark, SF).collect()))
+
+
+def test_sharding_of_hot_and_small_groups(spark):
+    texts = ["hot " * 30] * 900 + ["warm"] * 90 + [f"pair {i // 2} " * 5 for i in range(800)] + [None, "", None]
+    docs = list(enumerate(texts))
+    out = sharding.assign_shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shards=10).collect()
+    well_sharded(docs, out, 10)
+    assert len({r.shard for r in out if r.size == 128}) > 1
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(x for i in range(3000) for x in (f"own {i}", "shared"))
+    rows = [(i, f"own {i}\nshared", f"s{i}") for i in range(6)] + [(9, long, "s9")]
+    out = {r.doc_id: r for r in linededup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), sites=5).collect()}
+    assert (out[9].n_lines, out[9].n_removed) == (6000, 3000) and out[9].kept == "\n".join(f"own {i}" for i in range(3000))
+
+
 def test_shared_folder_is_the_sessions(spark):
     root = storage.shared_root(spark)
     assert spark.conf.get("spark.checkpoint.dir") == root and storage.shared_root(spark) == root
