@@ -31,8 +31,8 @@ from .textops import ALNUM, text_chunks, words_of
 BLOCK_WORDS = 1_000_000
 #: positions of rarest terms that are looked at together
 AT_ONCE = 1 << 21
-INDEX = "seg long, doc_id array<long>, first array<int>, term array<long>, cut array<int>, at array<int>"
-MATCHES = "seg long, ord int, doc_id long, n_words int, matches array<struct<item_id:long,start:int,length:int>>"
+INDEX = "seg long, doc_id array<{}>, first array<int>, term array<long>, cut array<int>, at array<int>"
+MATCHES = "seg long, ord int, doc_id {}, n_words int, matches array<struct<item_id:long,start:int,length:int>>"
 
 
 def _ints(values, kind=np.int32) -> pa.Array:
@@ -59,16 +59,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             term = h[at]
             head = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([seg]), pa.array([ids[lo:hi].cast(pa.int64()).to_pylist()], pa.list_(pa.int64())), _ints(w.first), pa.array([term[head].view(np.int64)]), _ints(np.r_[head, len(at)]), _ints(at)],
+                [pa.array([seg]), pa.array([ids[lo:hi].to_pylist()], pa.list_(ids.type)), _ints(w.first), pa.array([term[head].view(np.int64)]), _ints(np.r_[head, len(at)]), _ints(at)],
                 ["seg", "doc_id", "first", "term", "cut", "at"],
             )
             seg += 1
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", id_type: str = "long") -> DataFrame:
     """Stored postings of every word, one segment a row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(_segments, INDEX), "index")
+    rows = docs.select(F.col(doc_id).cast(id_type).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return stored(rows.mapInArrow(_segments, INDEX.format(id_type)), "index")
 
 
 class _Segment:
@@ -218,7 +218,7 @@ def _search(item_ids: list[int], items: list[np.ndarray], width: int, span: int
     return run
 
 
-def find_items(docs: DataFrame, items: DataFrame, width: int = 13, span: int | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, width: int = 13, span: int | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, id_type: str = "long") -> DataFrame:
     r"""One row per document: seg, ord (its place in the index), doc_id, n_words, matches (item_id, start, length).
 
     Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` with A-Z lower-cased.  With
@@ -231,9 +231,10 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 13, span: int | N
     A null text has no words; documents without words come out without
     matches, repeated rows as often as they came in.  Items with a null id or
     without words match nothing; an item id given twice stands for both texts.
-    Empty tables give no matches; other columns are ignored.
+    Empty tables give no matches; other columns are ignored.  doc_id is taken
+    as ``id_type`` (long or string).
     """
-    return search_index(build_index(docs, doc_id, text), items, width, span, item_id, item_text, block_words)
+    return search_index(build_index(docs, doc_id, text, id_type), items, width, span, item_id, item_text, block_words)
 
 
 def search_index(index: DataFrame, items: DataFrame, width: int = 13, span: int | None = None, item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -241,12 +242,13 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 13, span: int
     picked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     size = picked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 4
     blocks = max(1, -int(-size // block_words))
+    schema = MATCHES.format(index.schema["doc_id"].dataType.elementType.simpleString())
     out = None
     for b in range(blocks):
         part = picked if blocks == 1 else picked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         got = part.orderBy("item_id", "text").collect()  # about block_words words
         hashed = [(r.item_id, h) for r, h in zip(got, term_hashes([r.text for r in got]), strict=True) if len(h)]
-        found = index.mapInArrow(_search([i for i, _ in hashed], [h for _, h in hashed], width, span), MATCHES)
+        found = index.mapInArrow(_search([i for i, _ in hashed], [h for _, h in hashed], width, span), schema)
         out = found if out is None else out.unionByName(found)
     if blocks > 1:  # one index: (seg, ord) names a document in every block
         out = out.groupBy("seg", "ord", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))

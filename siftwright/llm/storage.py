@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +37,18 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def numbered(df: DataFrame, row: str) -> DataFrame:
-    """``df``, stored, with a number of its own for each row, which holds however often the table is read."""
-    return stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+def identified(df: DataFrame, row: str) -> DataFrame:
+    """``df`` with a string of its own for each row that holds however often the table is read: its file and its place there.
+
+    A table of Parquet files is taken as it is, any other is stored first.
+    """
+    name = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return df.withColumn(row, name)
+        except AnalysisException:  # of a format that does not count its rows
+            pass
+    return stored(df, "rows").withColumn(row, name)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
