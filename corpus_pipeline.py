@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.llm import decontam, mixing, ngram_join, quality, sharding
-from siftwright.llm.storage import free, numbered, stored
+from siftwright.llm.storage import free, identified, stored
 
 #: a document below this score is rejected
 LEAST_SCORE = 0.7
@@ -53,8 +53,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     columns are kept, whatever their names; an empty table stays empty.
     """
     row, = free(docs.columns, "row")
-    rows = numbered(docs, row)
-    found = decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=13, share=20, doc_id=row)
+    rows = identified(docs, row)
+    found = decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=13, share=20, doc_id=row, id_type="string")
     bad = found.where("contaminated").select(F.col("doc_id").alias(row))
     return _plain(rows.join(bad, row, "left_anti"), docs.columns)
 
@@ -69,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept, whatever their names; an empty table stays empty.
     """
     row, tie, times, copy = free([*docs.columns, "doc_id", "source", "size", "source_size", "target", "taken", "finish"], "row", "tie", "times_", "copy")
-    rows = numbered(docs.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])), row)
+    rows = identified(docs.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])), row)
     taken = mixing.mix_sources(rows, weights=(5, 2, 1), share=1.5, most=2.0, keep=(tie, row))
     taken = taken.where("times > 0").select(row, F.col("times").cast("int").alias(times))
     copies = rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
@@ -88,7 +88,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apart = [c if c.lower() not in new else free([*docs.columns, *new], c)[0] for c in docs.columns]
     docs = docs.toDF(*apart)
     row, = free([*docs.columns, "doc_id", *new, "position"], "row")
-    rows = numbered(docs, row)
+    rows = identified(docs, row)
     placed = sharding.assign_shards(rows, shards=SHARDS, keep=(row,)).select(row, *new)
     return rows.join(placed, row).select(*[F.col(f"`{c}`") for c in docs.columns], *new)
 
