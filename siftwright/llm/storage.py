@@ -7,6 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +59,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: rows of one Arrow batch while a table is written: texts are long, and each batch stands in memory several times over
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH rows; a smaller bound that the session has stays."""
+    key, most = BATCH
+    had = spark.conf.get(key)
+    if not 0 < int(had) <= most:
+        spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: its lineage ends here, and a lost executor costs a re-read only."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     # Spark drops shuffle files once the driver, both its Python and its JVM, has collected what refers to them
     gc.collect()
     spark._jvm.System.gc()
