@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import drop, stored
 from .textops import ALNUM, text_chunks, words_of
 
 #: words of test items sent to executors at once
@@ -261,8 +261,21 @@ def covered(matches: str = "matches") -> Column:
     return F.expr(f"aggregate({runs}, struct(0 as n, 0 as upto), (s, m) -> struct(s.n + greatest(0, m.b - greatest(m.a, s.upto)) as n, greatest(s.upto, m.b) as upto), s -> s.n)").cast("long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, **columns) -> DataFrame:
+def judged(found: DataFrame, share: int = 20) -> DataFrame:
     """find_items' rows with n_hit, item_ids (distinct, sorted as strings) and contaminated: n_hit > 0 and share * n_hit >= n_words."""
-    out = find_items(docs, items, width, **columns).withColumn("n_hit", covered())
+    out = found.withColumn("n_hit", covered())
     ids = F.expr("array_sort(array_distinct(transform(matches, m -> cast(m.item_id as string))))")
     return out.withColumn("item_ids", ids).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, **columns) -> DataFrame:
+    """judged() of find_items()."""
+    return judged(find_items(docs, items, width, **columns), share)
+
+
+def contaminated_ids(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20, doc_id: str = "doc_id", text: str = "text", id_type: str = "long") -> DataFrame:
+    """Stored doc_ids of contaminated documents; the index is gone when this returns."""
+    index = build_index(docs, doc_id, text, id_type)
+    out = stored(judged(search_index(index, items, width), share).where("contaminated").select("doc_id"), "contaminated")
+    drop(index)
+    return out
