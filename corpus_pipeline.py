@@ -54,8 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     row, = free(docs.columns, "row")
     rows = identified(docs, row)
-    found = decontam.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=13, share=20, doc_id=row, id_type="string")
-    bad = found.where("contaminated").select(F.col("doc_id").alias(row))
+    bad = decontam.contaminated_ids(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=13, share=20, doc_id=row, id_type="string").withColumnRenamed("doc_id", row)
     return _plain(rows.join(bad, row, "left_anti"), docs.columns)
 
 
