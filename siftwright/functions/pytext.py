@@ -40,14 +40,10 @@ def round2(x: Column) -> Column:
     hundredths and the remainder are exact.  Smaller ones round to 0 or, from
     0.005 on, to 0.01.  Doubles of 2**52 and more have no fraction.
     """
-    size = F.abs(x)
+    size, d = F.abs(x), F.lit(TWO_60).cast("decimal(20,0)")
     whole = F.floor(F.when(size < F.lit(float(1 << 52)), size)).cast("bigint")
-    n = ((size - whole) * F.lit(float(TWO_60))).cast("bigint").cast("decimal(20,0)") * 100
-    d = F.lit(TWO_60).cast("decimal(20,0)")
-    rem = (n % d).cast("decimal(38,0)")
-    q = ((n - rem) / d).cast("decimal(20,0)").cast("bigint")
-    up = F.when(rem * 2 > d, 1).when(rem * 2 == d, q % 2).otherwise(0)
-    # the nearest double of whole hundredths, as a quotient of exact numbers up to 2**53 and a decimal beyond
-    cents = whole * 100 + q + up
-    near = F.when(cents < F.lit(1 << 53), cents.cast("double") / 100).otherwise((cents.cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("string").cast("double"))
-    return F.when(whole.isNull(), x).otherwise(F.signum(x) * near)
+    m = ((size - whole) * F.lit(float(TWO_60))).cast("bigint").cast("decimal(20,0)") * 200 + d
+    up = F.call_function("div", m, d * 2)  # to nearest, ties up
+    down = F.when((m % (d * 2) == 0) & (up % 2 == 1), 1).otherwise(0)  # ties to even
+    cents = whole.cast("decimal(20,0)") * 100 + up - down
+    return F.when(whole.isNull(), x).otherwise(F.signum(x) * (cents / F.lit(100).cast("decimal(3,0)")).cast("double"))
