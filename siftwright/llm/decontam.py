@@ -234,11 +234,14 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 13, span: int | N
     Empty tables give no matches; other columns are ignored.  doc_id is taken
     as ``id_type`` (long or string).
     """
-    return search_index(build_index(docs, doc_id, text, id_type), items, width, span, item_id, item_text, block_words)
+    index = build_index(docs, doc_id, text, id_type)
+    out = search_index(index, items, width, span, item_id, item_text, block_words)
+    drop(index)
+    return out
 
 
 def search_index(index: DataFrame, items: DataFrame, width: int = 13, span: int | None = None, item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """find_items' rows, of the documents of an index that is at hand."""
+    """find_items' rows, stored, of the documents of an index that is at hand."""
     picked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     size = picked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 4
     blocks = max(1, -int(-size // block_words))
@@ -248,7 +251,8 @@ def search_index(index: DataFrame, items: DataFrame, width: int = 13, span: int
         part = picked if blocks == 1 else picked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         got = part.orderBy("item_id", "text").collect()  # about block_words words
         hashed = [(r.item_id, h) for r, h in zip(got, term_hashes([r.text for r in got]), strict=True) if len(h)]
-        found = index.mapInArrow(_search([i for i, _ in hashed], [h for _, h in hashed], width, span), schema)
+        # stored, as segments are large and the batches of a table that is written are small
+        found = stored(index.mapInArrow(_search([i for i, _ in hashed], [h for _, h in hashed], width, span), schema), "found")
         out = found if out is None else out.unionByName(found)
     if blocks > 1:  # one index: (seg, ord) names a document in every block
         out = out.groupBy("seg", "ord", "doc_id", "n_words").agg(F.flatten(F.collect_list("matches")).alias("matches"))

@@ -59,21 +59,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: rows of one Arrow batch while a table is written: texts are long, and each batch stands in memory several times over
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: rows and bytes of one Arrow batch while a table is written: texts are long, and each batch stands in memory several times over
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH rows; a smaller bound that the session has stays."""
-    key, most = BATCH
-    had = spark.conf.get(key)
-    if not 0 < int(had) <= most:
-        spark.conf.set(key, most)
+    """Arrow batches of at most BATCH rows and bytes; a smaller bound that the session has stays."""
+    had = {key: spark.conf.get(key) for key in BATCH}
+    for key, most in BATCH.items():
+        now = had[key].lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
     try:
         yield
     finally:
-        spark.conf.set(key, had)
+        for key, was in had.items():
+            spark.conf.set(key, was)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
