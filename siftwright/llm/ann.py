@@ -1,8 +1,9 @@
 r"""Approximate nearest neighbours by cosine, with score-aware anisotropic quantisation.
 
 Vectors are scaled to length 1, so the largest inner product is the largest
-cosine.  Each is put into the cell of its nearest centroid, and what is left is
-coded in 4-bit codes, one for each few dimensions.  Codes and codebooks
+cosine.  Each is put into the cell of its nearest centroid and, where a table
+has more cells than centroids, of the inner centroid nearest to what is left
+(every pair of the two is a cell), and what is left then is coded in 4-bit codes, one for each few dimensions.  Codes and codebooks
 minimise a loss that weighs the error along the vector (which moves its score)
 ``eta`` + 1 times as much as the error across it.  A query looks into the cells
 that score best (as many as the sample shows to be needed), adds up table
@@ -33,7 +34,8 @@ from .storage import stored
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20_000  # most rows that centroids and codebooks are fitted on
-    cells: int = 1_024  # most cells; there are about as many as the root of the rows
+    cells: int = 1_024  # most centroids; there are about as many cells as the root of the rows
+    inner: int = 256  # most inner centroids, by which a centroid's rows are parted where the root of the rows is larger
     found: float = 0.99  # part of true neighbours that lie in the cells looked into, measured on the sample
     width: int = 4  # dimensions in a code
     threshold: float = 0.2  # score, as a part of the length, above which errors along the vector count
@@ -46,12 +48,29 @@ class Settings:
 @dataclass
 class Codec:
     centroids: np.ndarray
+    inner: np.ndarray  # a single zero where centroids alone make the cells
     books: np.ndarray  # (codes, 16, width)
     eta: float
     dims: int
 
+    @property
+    def n_cells(self) -> int:
+        return len(self.centroids) * len(self.inner)
+
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([(x[i : i + 4096] @ self.centroids.T).argmax(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+        out = np.zeros(len(x), np.int64)
+        for i in range(0, len(x), 4096):
+            part = x[i : i + 4096]
+            first = (part @ self.centroids.T).argmax(1)
+            out[i : i + 4096] = first * len(self.inner) + _nearest(part - self.centroids[first], self.inner)
+        return out
+
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return self.centroids[cell // len(self.inner)] + self.inner[cell % len(self.inner)]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Inner products with the centres of all cells."""
+        return ((x @ self.centroids.T)[:, :, None] + (x @ self.inner.T)[:, None, :]).reshape(len(x), -1)
 
     def blocks(self, x: np.ndarray) -> np.ndarray:
         m, _, width = self.books.shape
@@ -59,7 +78,7 @@ class Codec:
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """Coordinate descent on |e|^2 + eta (e.x)^2, e what the codes miss of the residual."""
-        r, xs = self.blocks(x - self.centroids[cell]), self.blocks(x)
+        r, xs = self.blocks(x - self.centre(cell)), self.blocks(x)
         plain = ((r[:, :, None, :] - self.books[None]) ** 2).sum(3)
         along = np.einsum("nmw,mkw->nmk", xs, self.books)
         code = plain.argmin(2)
@@ -89,18 +108,38 @@ def _centroids(x: np.ndarray, n: int, rounds: int, rng: np.random.Generator) ->
     return c
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (2 * (x @ c.T) - (c**2).sum(1)).argmax(1)
+
+
+def _inner(rest: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Plain k-means of what the centroids leave."""
+    if n <= 1:
+        return np.zeros((1, rest.shape[1]))
+    c = rest[rng.choice(len(rest), n, replace=False)]
+    for _ in range(rounds):
+        own = _nearest(rest, c)
+        total = np.zeros_like(c)
+        np.add.at(total, own, rest)
+        size = np.bincount(own, minlength=n)
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
+    return c
+
+
 def fit(x: np.ndarray, n_rows: int, s: Settings = Settings()) -> Codec:
     """x: a sample of vectors of length 1, of a table of n_rows."""
     rng = np.random.default_rng(7)
     dims = x.shape[1]
-    n = int(max(1, min(s.cells, len(x) // 8, round(n_rows**0.5) if n_rows > 1000 else 1)))
+    wanted = n_rows**0.5 if n_rows > 1000 else 1
+    n = int(max(1, min(s.cells, len(x) // 8, round(wanted))))
     c = _centroids(x, n, s.rounds, rng)
+    inner = _inner(x - c[(x @ c.T).argmax(1)], int(min(s.inner, len(x) // 8, round(wanted / n))), s.rounds, rng)
     m = -(-dims // s.width)
     eta = (dims - 1) * s.threshold**2 / (1 - s.threshold**2)
-    out = Codec(c, np.zeros((m, 16, s.width)), eta, dims)
+    out = Codec(c, inner, np.zeros((m, 16, s.width)), eta, dims)
     x = x[rng.permutation(len(x))[:8192]]
     cell = out.cells(x)
-    r, xs = out.blocks(x - c[cell]), out.blocks(x)
+    r, xs = out.blocks(x - out.centre(cell)), out.blocks(x)
     out.books = np.stack([r[rng.choice(len(r), 16, replace=len(r) < 16), i] for i in range(m)])
     code = ((r[:, :, None, :] - out.books[None]) ** 2).sum(3).argmin(2)
     for turn in range(s.rounds):
@@ -135,10 +174,13 @@ def probes(codec: Codec, x: np.ndarray, k: int, found: float) -> int:
     """
     some = x[:: max(1, len(x) // 256)]
     near = np.argsort(-(some @ x.T), axis=1)[:, 1 : k + 1]
-    order = np.argsort(-(some @ codec.centroids.T), axis=1)
-    place = np.argsort(order, axis=1)
-    at = np.take_along_axis(place, codec.cells(x)[near], 1)
-    return int(np.quantile(at, found, method="higher")) + 1 if at.size else len(codec.centroids)
+    own = codec.cells(x)
+    at = np.zeros(near.shape, np.int64)
+    for i, u in enumerate(some):
+        place = np.empty(codec.n_cells, np.int64)
+        place[np.argsort(-codec.scores(u[None])[0])] = np.arange(codec.n_cells)
+        at[i] = place[own[near[i]]]
+    return int(np.quantile(at, found, method="higher")) + 1 if at.size else codec.n_cells
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -169,7 +211,7 @@ def paired(tables: np.ndarray) -> np.ndarray:
 def _missed(codec: Codec, x: np.ndarray, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Length of what the codes miss of each row: for a query of length 1 no score is farther off."""
     told = codec.books[np.arange(code.shape[1])[None, :], code]
-    return np.sqrt(((codec.blocks(x - codec.centroids[cell]) - told) ** 2).sum((1, 2)))
+    return np.sqrt(((codec.blocks(x - codec.centre(cell)) - told) ** 2).sum((1, 2)))
 
 
 def _index(codec: Codec):
@@ -186,11 +228,13 @@ def _index(codec: Codec):
 
 
 def _probe(codec: Codec, probes: int):
+    step = max(1, min(2048, (1 << 22) // codec.n_cells))  # about 32 MB of scores
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.slice(lo, 2048)
-                score = _unit(_matrix(part.column("v"), codec.dims)) @ codec.centroids.T
+            for lo in range(0, len(batch), step):
+                part = batch.slice(lo, step)
+                score = codec.scores(_unit(_matrix(part.column("v"), codec.dims)))
                 n = min(probes, score.shape[1])
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 rows = pa.array(np.repeat(np.arange(len(part)), n))
@@ -214,7 +258,7 @@ def _scan(codec: Codec, k: int, shortlist: int):
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         q_ids, q_all = queries.column("query_id").to_numpy(), _matrix(queries.column("v"), codec.dims)
         missed = rows.column("missed").to_numpy() + 1e-9  # and what rounding adds
-        base = codec.centroids[rows.column("cell")[0].as_py()]
+        base = codec.centre(np.array([rows.column("cell")[0].as_py()]))[0]
         out = []
         for q_id, q in zip(q_ids, q_all, strict=True):
             u = q / np.sqrt((q * q).sum())
@@ -246,7 +290,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
     null, or whose vector is zero, holds null or non-finite components, or has
     another length than most (the longer of two as common), takes no part.  A
     query's own id is not among its candidates.  A query that finds fewer than
-    k in its cells looks into all cells.  Repeated rows count apart.  Empty
+    k in its cells looks into 32 times as many, in the end into all.  Repeated rows count apart.  Empty
     tables give an empty result; other columns are ignored.
     """
     good = f"{vec_id} is not null and {embedding} is not null and forall({embedding}, c -> c is not null and not isnan(c) and abs(c) < double('infinity')) and exists({embedding}, c -> c <> 0)"
@@ -266,14 +310,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
     float_v = F.col("v").cast("array<double>").alias("v")
     index = stored(rows.select("vec_id", float_v).mapInArrow(_index(codec), "vec_id long, v array<double>, cell int, code binary, missed double"), "ann")
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / settings.rows).cast("int").alias("parts"))
-    sizes = F.broadcast(stored(sizes, "cells"))  # at most settings.cells rows
+    sizes = F.broadcast(stored(sizes, "cells"))  # a row a cell: at most settings.cells * settings.inner
     dealt = index.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("cell", "part", "vec_id", "v", "code", "missed")
 
     def search(some: DataFrame, probes: int) -> DataFrame:
         looked = some.mapInArrow(_probe(codec, probes), "query_id long, v array<double>, cell int")
         looked = stored(looked, "looked")
         blocks = stored(looked.groupBy("cell").agg(F.ceil(F.count("*") / settings.queries).cast("int").alias("blocks")), "blocks")
-        blocks = F.broadcast(blocks)  # at most settings.cells rows
+        blocks = F.broadcast(blocks)  # a row a cell: at most settings.cells * settings.inner
         asking = looked.join(sizes, "cell").join(blocks, "cell").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
         asking = asking.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("cell", "part", "block", "query_id", "v")
         rows = dealt.join(blocks, "cell").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks")
@@ -283,9 +327,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settin
 
     some = asked.dropDuplicates(["vec_id"])
     best = stored(search(some, few), "found")
-    short = some.join(best.where(F.size("best") >= min(k, n_rows - 1)).withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
-    if n_rows > 1 and len(codec.centroids) > few and not short.isEmpty():
-        again = stored(search(short, len(codec.centroids)), "found")
+    while n_rows > 1 and few < codec.n_cells:
+        short = some.join(best.where(F.size("best") >= min(k, n_rows - 1)).withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
+        if short.isEmpty():
+            break
+        few = min(32 * few, codec.n_cells)
+        again = stored(search(short, few), "found")
         best = best.join(again, "query_id", "left_anti").unionByName(again)
     out = best.select("query_id", F.posexplode("best").alias("i", "b"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

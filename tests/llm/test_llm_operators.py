@@ -493,6 +493,39 @@ def test_nearest_in_blocks_of_queries(spark):
     assert Counter(map(tuple, ann.nearest(df, asked, settings=ann.Settings(rows=20, queries=3)).collect())) == want
 
 
+def test_nearest_in_pairs_of_centroids(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(300, 12))
+    v = middle[rng.integers(0, 300, 4000)] + 0.3 * rng.normal(size=(4000, 12))
+    v[50:60] = v[50]
+    few = ann.Settings(cells=8)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    codec = ann.fit(u, len(u), few)
+    assert codec.n_cells == 64 and len(set(codec.cells(u).tolist())) > 40
+    cell = codec.cells(u)
+    assert np.allclose(codec.scores(u[:9])[np.arange(9), cell[:9]], (u[:9] * codec.centre(cell[:9])).sum(1))
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), settings=few).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 4000, 50):
+        s = u @ u[q]
+        s[q] = -9
+        own = sorted(found[q])
+        assert [k for k, _, _ in own] == [1, 2, 3, 4, 5] and all(abs(s[i] - c) < 1e-9 for _, i, c in own)
+        hit += len({i for _, i, _ in own} & set(np.lexsort((np.arange(4000), -s.round(12)))[:5].tolist()))
+    assert hit >= 0.9 * 400
+
+
+def test_nearest_looks_farther_until_it_finds_enough(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(rng.normal(size=(2500, 5)))], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 250 = 0")
+    got = ann.nearest(df, asked, k=200, settings=ann.Settings(found=0.0)).collect()
+    assert Counter(r.query_id for r in got) == {i: 200 for i in range(0, 2500, 250)}
+
+
 def test_token_counts_query(spark):
     known = set(wordpiece.load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
