@@ -8,11 +8,13 @@ any cut every source has had its share to within about one document.
 
 Nothing sorts in one task: cumulative sums are taken inside small hash ranges
 and joined to the ranges' own totals, and the cut is found by narrowing an
-interval of finish times.
+interval of finish times, as the level of the targets is by one of sources.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,26 +25,62 @@ WORDS = r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"
 PARTS, LAST = 2048, 20_000
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with nth, the place (from 0) in code-point order, null last; counted apart in each part of a range partitioning."""
+    by_name = F.col("source").asc_nulls_last()
+    parts = stored(sources.repartitionByRange(by_name).withColumn("part", F.spark_partition_id()), "by-name")
+    ahead = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    ahead = ahead.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(by_name)) - 1 + F.col("ahead")
+    return stored(parts.join(F.broadcast(ahead), "part").withColumn("nth", nth).drop("part", "ahead"), "sources")
+
+
+def _level(s: DataFrame, share: float) -> float:
+    """The level at which min(cap, level * w) adds up to ``share`` of all sizes; s holds source_size, nth, w, cap and r = cap / w.
+
+    Sources fill in the order of r.  The stretch of r that holds the level is
+    narrowed until at most LAST sources, or those of one r, are left in it.
+    """
+    total, weight, hi = s.agg(F.sum("source_size"), F.sum("w"), F.max("r")).first()
+    if total is None:
+        return math.inf
+    budget, full, lo, narrowed = total * share, 0.0, -1.0, False
+    inside, held = s, weight  # held: weights of the stretch; weight: those beyond its beginning
+    while inside.limit(LAST + 1).count() > LAST:
+        width = (hi - lo) / PARTS
+        if lo + width <= lo:
+            break
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("r") - F.lit(lo)) / F.lit(width)).cast("int"))
+        sums = inside.groupBy(part.alias("p")).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.min("r").alias("a"), F.max("r").alias("b")).collect()
+        for x in sorted(sums, key=lambda x: x.p):
+            if full + x.cap + x.b * (weight - x.w) >= budget:
+                break
+            full, weight, lo = full + x.cap, weight - x.w, x.b
+        else:
+            return math.inf if not narrowed else hi
+        if x.a == x.b:
+            return (budget - full) / weight
+        hi, held, narrowed = x.b, x.w, True
+        inside = s.where((F.col("r") > lo) & (F.col("r") <= hi))
+    order = Window.orderBy("r", "nth")
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    after = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)) + F.lit(weight - held)
+    levels = inside.select("r", "nth", ((F.lit(budget) - (F.lit(full) + before)) / after).alias("level"))
+    found = levels.where("level <= r").agg(F.min(F.struct("r", "nth", "level"))["level"]).first()[0]
+    return found if found is not None else hi if narrowed else math.inf
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """sources (source, source_size) with target: weights repeat by source in code-point order, null last.
+    """sources (source, source_size) with nth and target: weights repeat by source in code-point order, null last.
 
     Targets share ``share`` of all sizes by weight; none exceeds ``most`` times
-    its source's size, and the excess goes to the others by weight (the level
-    that fills the room is found in closed form).  One row per source.
+    its source's size, and the excess goes to the others by weight.  One row
+    per source; no task or driver holds all sources, however many there are.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
-    s = sources.withColumn("nth", F.row_number().over(by_name) - 1).withColumn("w", w)
+    s = _numbered(sources.select("source", "source_size")).withColumn("w", w)
     s = s.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("r", F.col("cap") / F.col("w"))
-    order = Window.orderBy("r", "nth")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(0))
-    room = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    s = s.withColumn("level", room / F.sum("w").over(after))
-    s = s.withColumn("k", F.row_number().over(order))
-    s = s.withColumn("found", F.min(F.when(F.col("level") <= F.col("r"), F.struct("k", "level"))).over(everything)["level"])
-    return s.select("source", "nth", "source_size", F.least("cap", F.col("found") * F.col("w")).alias("target"))
+    return s.select("source", "nth", "source_size", F.least("cap", F.lit(_level(s, share)) * F.col("w")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:

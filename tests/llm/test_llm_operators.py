@@ -244,6 +244,27 @@ def test_mixing_targets(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("share", (1.5, 0.3, 1.99, 2.0, 2.5))
+def test_mixing_targets_of_many_sources(spark, monkeypatch, share):
+    rng = random.Random(5)
+    sizes = [(f"s{i}" if i else None, rng.choice((0, 3, 10, rng.randrange(1, 5000)))) for i in range(700)]
+    names = sorted((s for s, _ in sizes if s is not None)) + [None]
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    budget = share * sum(n for _, n in sizes)
+    lo, hi = 0.0, 1e5
+    for _ in range(200):  # the level by halving
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2.0 * n, mid * w[s]) for s, n in sizes) < budget else (lo, mid)
+    want = {s: min(2.0 * n, hi * w[s]) for s, n in sizes}
+    df = spark.createDataFrame(sizes, "source string, source_size long").repartition(3)
+    for last in (20_000, 5, 1):
+        monkeypatch.setattr(mixing, "LAST", last)
+        monkeypatch.setattr(mixing, "PARTS", 2048 if last > 5 else 4)
+        got = mixing.targets(df, (5, 2, 1), share, 2.0).collect()
+        assert [r.source for r in sorted(got, key=lambda r: r.nth)] == names and sorted(r.nth for r in got) == list(range(700))
+        assert {r.source: r.target for r in got} == pytest.approx(want)
+
+
 def test_quality(spark, docs, rows, none):
     sf = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     trees = quality.train(*sf, learn=~quality.held_out())
