@@ -3,10 +3,11 @@
 Rows are ordered by a hash of their text, so equal texts lie together.
 Splitters are quantiles of a size-weighted sample of keys.  Ranges are counted
 exactly and an overfull one is subdivided: by key, or, where one key alone
-fills it (a hot group of copies), by a hash of doc_id.  Byte and row positions
-are cumulative sums inside a range plus the ranges before it, so no task holds
-more than a range and the law ``bytes`` is met exactly up to one document or
-one small group.
+fills it (a hot group of copies), by a hash of doc_id, and where one doc_id
+repeats that often too, by the rows' places.  Byte and row positions are
+cumulative sums inside a range plus the ranges before it, so no task holds more
+than a range and the law ``bytes`` is met exactly up to one document or one
+small group.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(*keep, F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(t).cast("long") + 8).alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t).alias("h"))
-    base = stored(base, "keys")
+    base = stored(base, "keys").withColumn("place", F.col("_metadata.row_index"))
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = min(MOST_RANGES, max(8 * shards, math.ceil(n / ROWS)))
     m = ranges * SAMPLES
@@ -59,17 +60,21 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     rows = rows.join(F.broadcast(parts), "rid")
     by_key = F.floor((F.col("h").cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double")) * F.col("parts"))
     sub = F.when(F.col("parts") == 1, 0).when(F.col("lo") == F.col("hi"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts"))).otherwise(F.least(F.col("parts") - 1, by_key)).cast("int")
-    rows = rows.withColumn("sub", sub).withColumn("alone", (F.col("lo") == F.col("hi")) & (F.col("parts") > 1)).select(*keep, "rid", "sub", "alone", "h", "crc", "size", "doc_id")
+    rows = rows.withColumn("sub", sub).withColumn("alone", (F.col("lo") == F.col("hi")) & (F.col("parts") > 1)).select(*keep, "rid", "sub", "alone", "h", "crc", "size", "doc_id", "place")
     rows = stored(rows, "ranged")
+    # equal or null doc_ids share a sub: one that is still overfull is dealt by place
+    heavy = rows.where("alone").groupBy("rid", "sub").agg(F.ceil(F.sum("size") / F.lit(2 * limit)).cast("int").alias("pieces")).where("pieces > 1")
+    piece = F.coalesce(F.pmod(F.xxhash64("place", F.lit(seed)), F.col("pieces")).cast("int"), F.lit(0))
+    rows = rows.join(F.broadcast(heavy), ["rid", "sub"], "left").withColumn("piece", piece).drop("pieces", "place")
 
-    bins = rows.groupBy("rid", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    ahead = Window.orderBy("rid", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("rid", "sub", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
-    own = Window.partitionBy("rid", "sub").orderBy("h", "crc", "size", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, 0)
+    bins = rows.groupBy("rid", "sub", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    ahead = Window.orderBy("rid", "sub", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("rid", "sub", "piece", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
+    own = Window.partitionBy("rid", "sub", "piece").orderBy("h", "crc", "size", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum("size").over(own) - F.col("size")).withColumn("rank", F.row_number().over(own) - 1)
-    group = Window.partitionBy("rid", "sub", "h", "crc", "size")
+    group = Window.partitionBy("rid", "sub", "piece", "h", "crc", "size")
     rows = rows.withColumn("g_start", F.min("start").over(group)).withColumn("g_size", F.sum("size").over(group))
-    rows = rows.join(F.broadcast(bins), ["rid", "sub"])
+    rows = rows.join(F.broadcast(bins), ["rid", "sub", "piece"])
     whole = ~F.col("alone") & (F.col("g_size") <= F.lit(SPLIT_ABOVE * total / shards))
     twice = F.lit(2) * F.col("b0") + F.when(whole, 2 * F.col("g_start") + F.col("g_size")).otherwise(2 * F.col("start") + F.col("size"))
     # whole numbers: a double would round beyond 2**53

@@ -595,6 +595,14 @@ def test_sharding_of_hot_and_small_groups(spark):
     assert len({r.shard for r in out if r.size == 128}) > 1
 
 
+@pytest.mark.parametrize("ids", ([None], [7], [None, 7]))
+def test_sharding_of_a_hot_text_whose_ids_repeat(spark, ids):
+    docs = [(ids[i % len(ids)], "hot " * 30) for i in range(900)] + [(1000 + i, f"own {i} " * 5) for i in range(800)]
+    out = sharding.assign_shards(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shards=10).collect()
+    well_sharded(docs, out, 10)
+    assert len({r.shard for r in out if r.size == 128}) > 1
+
+
 def test_line_dedup_of_a_very_long_text(spark):
     long = "\n".join(x for i in range(3000) for x in (f"own {i}", "shared"))
     rows = [(i, f"own {i}\nshared", f"s{i}") for i in range(6)] + [(9, long, "s9")]
