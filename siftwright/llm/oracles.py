@@ -107,3 +107,27 @@ counted AS (SELECT a AS s, count(*) AS links FROM both_ways GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(links, 0)::bigint AS links
 FROM dw LEFT JOIN sets USING (r) LEFT JOIN comp USING (s) LEFT JOIN counted USING (s)
 """
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Every distance of every round, then the nearest entry by distance and index."""
+    ctes = [f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::double))) = 0)""",
+        f"""pieces AS (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p))""",
+        f"""book0 AS (SELECT p, e, v AS c FROM pieces JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept) USING (r) WHERE e < {entries})"""]
+    met = "SELECT r, pieces.p AS p, min((list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, e)) AS b, any_value(v) AS v FROM pieces JOIN {book} USING (p) GROUP BY r, pieces.p"
+    field = "b[1]" if False else "struct_extract(b, 1)"
+    for i in range(rounds):
+        ctes.append(f"near{i} AS ({met.format(book=f'book{i}')})")
+        ctes.append(f"""mean{i} AS (SELECT p, e, list(s ORDER BY i) AS c FROM (
+  SELECT p, struct_extract(b, 2) AS e, i, (sum(v[i])::hugeint - ((sum(v[i])::hugeint % count(*)) + count(*)) % count(*)) // count(*) AS s
+  FROM near{i}, range(1, (SELECT max(len(v)) + 1 FROM pieces)) t(i) GROUP BY p, struct_extract(b, 2), i) GROUP BY p, e)""")
+        ctes.append(f"book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(list_transform(m.c, lambda x: x::bigint), o.c) AS c FROM book{i} o LEFT JOIN mean{i} m USING (p, e))")
+    ctes.append(f"last AS ({met.format(book=f'book{rounds}')})")
+    ctes.append(f"codes AS (SELECT r, string_agg(printf('%02x', struct_extract(b, 2)::int), '' ORDER BY p) AS code, sum({field})::bigint AS error FROM last GROUP BY r)")
+    ctes.append(f"sha AS (SELECT sha256(coalesce(string_agg(x::varchar, ',' ORDER BY p, e, i), '')) AS h FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM book{rounds}))")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (r), sha"
+
+
+ORACLES["op13_vector_codes"] = _vector_codes()

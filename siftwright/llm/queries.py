@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, linededup, mixing, ngram_join, quality, sharding, substring, warc, wordpiece
+from . import ann, decontam, linededup, mixing, ngram_join, quality, sharding, substring, vectorcodes, warc, wordpiece
+from .storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +70,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"), carry=("label",))
+    rows = stored(codes, "vector-codes")
+    # sums of labels are made where rows are read; a label that holds a third of all rows reaches the shuffle as one sum a task
+    sums = stored(rows.groupBy("label").agg(F.sum(F.col("error").cast("decimal(20,0)")).alias("total")), "label-errors")
+    sums = sums.select(F.col("label").alias("label_"), F.least("total", F.lit(vectorcodes.LONG)).cast("long").alias("label_error"))
+    out = rows.join(sums, rows.label.eqNullSafe(sums.label_))
+    spelled = F.lower(F.hex("codes"))
+    listed = hashlib.sha256(vectorcodes.listed(books).encode()).hexdigest()
+    return out.select("vec_id", spelled.alias("code"), "error", "label_error", F.lit(listed).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +95,6 @@ QUERIES = {
         op8_token_counts,
         op9_sharding,
         op10_substring_dedup,
+        op13_vector_codes,
     )
 }
