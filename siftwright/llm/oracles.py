@@ -131,3 +131,45 @@ def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int
 
 
 ORACLES["op13_vector_codes"] = _vector_codes()
+
+
+def _conversation_repair() -> str:
+    """Conversations from their last row to the first: the cheapest (cost, audit, lines) from each state of the pattern."""
+    crc = "list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({s}, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::bigint[]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))"
+    one = lambda c: f"coalesce({c}::varchar, ' ')"
+    joined = one("conv_id") + " || ':' || " + one("turn")
+    best = lambda letter, cost, state, line=None: f"""{{'c': v{state}.c + {cost}, 'a': '{letter}' || v{state}.a, 't': {f"list_prepend({line}, v{state}.t)" if line else f"v{state}.t"}}}"""
+    fill = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    step = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    least = []
+    for q in range(4):
+        to, who = fill[q]
+        own = [best("D", 3, q)]
+        own += [f"CASE WHEN NOT must AND sign = '{s}' THEN {best('K', 'late', t, 'line')} END" for (p, s), t in step.items() if p == q]
+        own.append(f"CASE WHEN NOT must THEN {best('R', '2 + late', to, chr(39) + who + ':' + chr(39) + ' || text')} END")
+        least.append(f"least({', '.join(own)}) AS w{q}")
+    add = lambda v, who: f"{{'c': {v}.c + 2, 'a': 'I' || {v}.a, 't': list_prepend('{who}:', {v}.t)}}"
+    u, a = f"least(w2, {add('w3', 'assistant')})", f"least(w3, {add('w2', 'user')})"
+    end = "{{'c': {c}::bigint, 'a': '{a}', 't': {t}::varchar[]}}"
+    ends = [end.format(c=0, a="", t="[]"), end.format(c=4, a="II", t="['user:', 'assistant:']"), end.format(c=2, a="I", t="['assistant:']"), end.format(c=0, a="", t="[]")]
+    return f"""
+WITH RECURSIVE hashed AS (SELECT conv_id, turn, {one('role')} AS role, {one('text')} AS text, xor({crc.format(s=joined)}, 4294967295) % 20 AS h FROM conversations),
+hurt AS (SELECT coalesce(conv_id::varchar, ' ') AS conv, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM hashed, range(2) t(i) WHERE h <> 0 AND (i = 0 OR h = 3)),
+numbered AS (SELECT *, left(role, 1) AS sign, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv) AS rows,
+  lag(left(role, 1)) OVER w AS ahead, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1, 's') AS last FROM hurt WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text))),
+faults AS (SELECT *, last = '' AS blank, last <> '' AND nth > 1 AS again, last <> '' AND nth = 1 AND last NOT IN ('.', '!', '?') AS cut, i > 1 AND ahead || sign NOT IN ('su', 'ua', 'au') AS bad FROM (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) AS nth FROM numbered)),
+plain AS (SELECT conv, i, rows, sign, text, role || ':' || text AS line, blank OR again AS must, cut::int AS late FROM faults),
+walk(conv, i, v0, v1, v2, v3) AS (
+  SELECT DISTINCT conv, rows + 1, {', '.join(ends)} FROM plain
+  UNION ALL
+  SELECT conv, i, least(w0, {{'c': u.c + 2, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}}), least(w1, {{'c': u.c + 2, 'a': 'I' || u.a, 't': list_prepend('user:', u.t)}}), u, a
+  FROM (SELECT conv, i, w0, w1, {u} AS u, {a} AS a FROM (SELECT p.conv, p.i, {', '.join(least)} FROM walk JOIN plain p ON p.conv = walk.conv AND p.i = walk.i - 1))),
+counted AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::int) AS blank, sum(again::int) AS duplicate, sum(cut::int) AS truncated, sum(bad::int) AS illegal FROM faults GROUP BY conv),
+done AS (SELECT conv, v0.c AS cost, v0.a AS audit, sha256(array_to_string(v0.t, chr(10))) AS h FROM walk WHERE i = 1)
+SELECT conv_id, {', '.join(f"coalesce({c}, 0)::bigint AS {c}" for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal', 'cost'))}, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::varchar, ' ') AS conv FROM conversations) LEFT JOIN counted USING (conv) LEFT JOIN done USING (conv)
+"""
+
+
+ORACLES["op12_conversation_repair"] = _conversation_repair()
