@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, linededup, mixing, ngram_join, quality, sharding, substring, vectorcodes, warc, wordpiece
+from . import ann, decontam, linededup, mixing, ngram_join, quality, repair, sharding, substring, toxicity, vectorcodes, warc, wordpiece
 from .storage import stored
 
 
@@ -70,6 +70,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out())
+    out = toxicity.score_documents(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    done = repair.repair(repair.damaged(rows))
+    ids = rows.groupBy("conv_id").agg(F.lit(1).alias("one")).select("conv_id", repair.key(F.col("conv_id")).alias("conv"))
+    out = ids.join(done.summary, "conv", "left").join(repair.digests(done.turns), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", nothing).alias("repaired_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"), carry=("label",))
     rows = stored(codes, "vector-codes")
@@ -95,6 +112,8 @@ QUERIES = {
         op8_token_counts,
         op9_sharding,
         op10_substring_dedup,
+        op11_toxicity,
+        op12_conversation_repair,
         op13_vector_codes,
     )
 }
