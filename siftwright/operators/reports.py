@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EvalConfig
 from ..functions.typed import is_number_loose, is_number_strict, is_string, number
-from ..sources.reports import OBJECT
+from ..sources.reports import NO_LIMITS, OBJECT
 
 
 def nested(docs: DataFrame, judgments: DataFrame, finals: DataFrame, trends: DataFrame, cfg: EvalConfig, source: str = "cli", stamp: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def as_json(reports: DataFrame) -> DataFrame:
 
 
 def _open(j: Column) -> dict[str, Column]:
-    top = F.from_json(j, OBJECT)
+    top = F.from_json(j, OBJECT, NO_LIMITS)
     final, meta = top["final"], top["meta"]
     get = lambda v, path: F.try_variant_get(v, path, "variant")
     return {"top": top, "overall": get(final, "$.overall_score"), "text": get(meta, "$.text"), "passed": F.try_variant_get(final, "$.passed", "boolean")}
@@ -77,7 +77,7 @@ def flatten(reports: DataFrame, report: str = "report") -> DataFrame:
     """Judgments of report strings: all other columns, round_pos, round, dim, model, score; strict numbers only."""
     keep = [c for c in reports.columns if c != report]
     shape = "struct<rounds:array<struct<round:int,dimensions:map<string,map<string,variant>>>>>"
-    rows = reports.select(*keep, F.from_json(report, shape)["rounds"].alias("r"))
+    rows = reports.select(*keep, F.from_json(report, shape, NO_LIMITS)["rounds"].alias("r"))
     rows = rows.select(*keep, F.posexplode("r").alias("round_pos", "r"))
     rows = rows.select(*keep, "round_pos", F.col("r.round").alias("round"), F.posexplode("r.dimensions").alias("dim_pos", "dim", "m"))
     rows = rows.select(*keep, "round_pos", "round", "dim_pos", "dim", F.explode("m").alias("model", "v"))
@@ -88,6 +88,6 @@ def flatten(reports: DataFrame, report: str = "report") -> DataFrame:
 def dimension_rows(reports: DataFrame, report: str = "report") -> DataFrame:
     """Stored dimension scores: all other columns, pos, dim, loose (booleans as numbers) and score (strict numbers)."""
     keep = [c for c in reports.columns if c != report]
-    final = F.from_json(report, "struct<final:struct<dimension_scores:map<string,variant>>>")["final"]
+    final = F.from_json(report, "struct<final:struct<dimension_scores:map<string,variant>>>", NO_LIMITS)["final"]
     rows = reports.select(*keep, F.posexplode(final["dimension_scores"]).alias("pos", "dim", "v"))
     return rows.select(*keep, "pos", "dim", F.when(is_number_strict(F.col("v")), number(F.col("v"))).alias("score"), F.when(is_number_loose(F.col("v")), number(F.col("v"))).alias("loose"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pytext import splitlines, strip
+from . import splits
 
 PROMPT_FIELDS = ("name", "type", "system_prompt", "prompt_template", "description", "category", "output_format")
 PROMPT_SCHEMA = ", ".join(f"{f} string" for f in PROMPT_FIELDS)
@@ -21,18 +22,21 @@ def items(texts: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in texts.columns if c != text]
     lines = F.filter(F.transform(splitlines(F.col(text)), strip), lambda x: x != "")
     out = texts.select(*keep, F.posexplode(lines).alias("pos", "line"))
-    n = F.col("pos") + 1
-    tag = F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))
-    return out.select(*keep, n.alias("item"), tag.alias("tag"), "line")
+    return tagged(out.withColumn("item", F.col("pos") + 1)).select(*keep, "item", "tag", "line")
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Items of UTF-8 files (input_source, item, tag, line); an empty corpus raises."""
-    texts = spark.read.text(path, wholetext=True).select(F.concat(F.lit("file:"), F.col("_metadata.file_path")).alias("input_source"), F.col("value").alias("text"))
-    out = items(texts)
+def tagged(lines: DataFrame, item: str = "item") -> DataFrame:
+    """``lines`` with tag: the item's number in four digits or more."""
+    n = F.col(item)
+    return lines.withColumn("tag", F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")))
+
+
+def read_corpus(spark: SparkSession, path: str, block: int = splits.BLOCK) -> DataFrame:
+    """Items of UTF-8 files of any size (input_source, item, tag, line); an empty corpus raises."""
+    out = splits.items(spark, path, block)
     if out.isEmpty():
         raise ValueError(f"no items in {path}")
-    return out
+    return tagged(out).select(F.concat(F.lit("file:"), F.col("file")).alias("input_source"), "item", "tag", "line")
 
 
 def read_whole(spark: SparkSession, file: str | None = None, text: str | None = None, stdin: str | None = None) -> DataFrame:

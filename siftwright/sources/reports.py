@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pytext import strip
+from ..storage import file_system
+from . import jsonstream, splits
 
 OBJECT = "map<string,variant>"
 ROUNDS = "struct<rounds:array<variant>>"
+#: the parser's bounds on strings, numbers and nesting, lifted to what a row can hold
+NO_LIMITS = {"maxStringLen": str((1 << 31) - 1), "maxNumLen": str((1 << 31) - 1), "maxNestingDepth": "100000"}
 
 
 # a JSON string, and the words that Python reads as numbers
@@ -21,13 +25,13 @@ WORDS = r"-?Infinity|NaN"
 
 
 def valid(j: Column) -> Column:
-    """Whether json.loads takes the whole text: no more, no less; numbers of over 1,000 digits aside.
+    """Whether json.loads takes the whole text: no more, no less.
 
     The text is set between two keys.  The second, a hash of the text, is met
     only if the text is one value and nothing else.
     """
     last = F.md5(j)
-    whole = F.from_json(F.concat(F.lit('{"v":'), j, F.lit(',"'), last, F.lit('":0}')), "map<string,string>", {"allowSingleQuotes": "false"})
+    whole = F.from_json(F.concat(F.lit('{"v":'), j, F.lit(',"'), last, F.lit('":0}')), "map<string,string>", NO_LIMITS | {"allowSingleQuotes": "false"})
     one = (F.size(whole) == 2) & F.map_contains_key(whole, last)
     odd = F.when(j.contains("INF") | j.contains("+I"), F.regexp_replace(j, STRING, "").rlike(r"INF|\+I")).otherwise(False)
     return F.coalesce(one & ~odd, F.lit(False))
@@ -45,7 +49,7 @@ def members(array: Column) -> Column:
     words = array.contains("NaN") | array.contains("Infinity")
     source = F.when(words, quoted).otherwise(array)
     # as text, objects keep the order of their keys and may repeat one; variants tell strings from what only looks like something else
-    text, typed = F.from_json(source, "array<string>"), F.transform(F.from_json(source, "array<variant>"), lambda x: F.to_json(x))
+    text, typed = F.from_json(source, "array<string>", NO_LIMITS), F.transform(F.from_json(source, "array<variant>", NO_LIMITS), lambda x: F.to_json(x))
     got = F.coalesce(F.zip_with(text, typed, lambda x, v: F.when(v.rlike(r"^[\[{]"), x).otherwise(v)), text)
     bare = F.transform(got, lambda x: F.regexp_replace(x, F.concat(F.lit('"'), mark, F.lit(f'({WORDS})"')), F.lit("$1")))
     return F.when(words, bare).otherwise(got)
@@ -79,36 +83,66 @@ def explode_files(files: DataFrame, strict: bool = True, objects: bool = False)
 
 
 def read_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Whole small files, for explode_files."""
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
 def _has_empty(spark: SparkSession, path: str) -> bool:
     """Whether a file of this path or glob has no bytes; Spark's readers leave such files out."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    where, system = file_system(spark, path)
+    found = system.globStatus(where) or []
     return any(f.isFile() and f.getLen() == 0 for f in found)
 
 
-def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "strict") -> DataFrame:
-    """mode strict: any JSON value, bad lines and empty files fail; objects: objects only, bad lines fail; lenient: bad lines are skipped."""
-    files = read_files(spark, paths)
+def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "strict", block: int = splits.BLOCK) -> DataFrame:
+    """(file, ord, report) of report files of any size, as explode_files tells of small ones.
+
+    mode strict: any JSON value, bad lines and empty files fail; objects:
+    objects only, bad lines fail; lenient: bad lines, and files that are no
+    JSON as a whole and not named ``.jsonl``, are left out.  Large files are
+    read by many tasks, arrays too; a report has to fit in a row.
+    """
+    strict = mode != "lenient"
     if mode == "strict":
         for path in [paths] if isinstance(paths, str) else paths:
             if _has_empty(spark, path):
                 raise ValueError(f"empty file: {path}")
-        blank = F.raise_error(F.concat(F.lit("empty file: "), F.col("file")))
-        files = files.withColumn("content", F.when(strip(F.col("content")) == "", blank).otherwise(F.col("content")))
-    return explode_files(files, strict=mode != "lenient", objects=mode == "objects")
+    parts, kinds = jsonstream.members(spark, paths, block)
+    if mode == "strict":
+        blank = kinds.where("blank").first()
+        if blank:
+            raise ValueError(f"empty file: {blank.file}")
+    parts = parts.select("file", "ord", F.col("text").alias("report"))
+    named = F.col("file").endswith(".jsonl")
+    by_line = splits.rows_in_order(spark, paths, "\n", block).select("file", "block", strip(F.col("value")).alias("report")).where("report <> ''")
+    by_line = by_line.where(named) if not strict else by_line.join(kinds.where("kind = 'lines'").select("file"), "file", "left_semi")
+    ok = valid(F.col("report"))
+    if strict:
+        out = parts.unionByName(splits.numbered(by_line, "ord").select("file", "ord", "report"))
+        out = out.withColumn("report", F.when(ok, F.col("report")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" item "), F.col("ord")))))
+    else:
+        parts = parts.where(~named)
+        parts = parts.join(parts.where(~ok).select("file").distinct(), "file", "left_anti")
+        out = parts.unionByName(splits.numbered(by_line, "ord").select("file", "ord", "report").where(ok))
+    return out.where(is_object(F.col("report"))) if mode == "objects" else out
 
 
-def preview(files: DataFrame, limit: int = 100) -> DataFrame:
-    """file, pos, value, raw: the first ``limit`` physical lines; blank ones are left out but counted, a bad line stays as raw."""
-    lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("pos", "line")).where(F.col("pos") < limit)
+def preview_files(spark: SparkSession, files: list[str], limit: int = 100) -> DataFrame:
+    """preview() of files of any size: no more is read of each than its first lines."""
+    return _previewed(splits.heads(spark, files, limit))
+
+
+def _previewed(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
     ok = valid(F.col("line"))
     return lines.select("file", "pos", F.when(ok, F.col("line")).alias("value"), F.when(~ok, F.col("line")).alias("raw"))
 
 
+def preview(files: DataFrame, limit: int = 100) -> DataFrame:
+    """file, pos, value, raw: the first ``limit`` physical lines; blank ones are left out but counted, a bad line stays as raw."""
+    return _previewed(files.select("file", F.posexplode(F.split("content", "\n")).alias("pos", "line")).where(F.col("pos") < limit))
+
+
 def discover_reports(spark: SparkSession, folder: str) -> list[str]:
     """Report files of a folder on any store: the merged ones first, then single evaluations, then those of the user interface, each by name."""
     return [f for pattern in ("_merged_reports.jsonl", "eval_report_*.json", "ui_eval_*.json") for f in _listed(spark, f"{folder}/{pattern}")]
@@ -125,8 +159,8 @@ def artifacts(spark: SparkSession, folder: str, n: int = 5) -> list[str]:
 
 
 def _listed(spark: SparkSession, pattern: str) -> list[str]:
-    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    where, system = file_system(spark, pattern)
+    found = system.globStatus(where) or []
     return sorted(f.getPath().toString() for f in found)
 
 
