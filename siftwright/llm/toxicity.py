@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= settings.bytes // 16)
     rows = rows.join(F.broadcast(some[0].union(some[1])), "doc_id")  # at most settings.rows ids of either class
     rows = stored(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
-    sizes = rows.select("doc_id", "label", F.octet_length("text").alias("size")).toPandas()  # as many rows
+    sizes = rows.select("doc_id", "label", F.octet_length("text").alias("size")).toArrow().to_pandas()  # as many rows
     sizes["at"] = [int(x) for x in mix(sizes["doc_id"].to_numpy(np.int64).view(np.uint64))]
     sizes = sizes.sort_values(["label", "at"])
     sizes = sizes[sizes.groupby("label").cumcount() < sizes["label"].value_counts().reindex([0, 1], fill_value=0).min()]
@@ -168,6 +169,14 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     return stored(rows.join(F.broadcast(chosen), ["doc_id", "label"]).select("label", "text", "held"), "sample")
 
 
+def _unsigned(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64).view(np.uint64)
+
+
+def _counts(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.float64)
+
+
 def _looked(keys: np.ndarray, values: np.ndarray, at: np.ndarray, none: float = 0.0) -> np.ndarray:
     if not len(keys):
         return np.full(len(at), none)
@@ -175,6 +184,14 @@ def _looked(keys: np.ndarray, values: np.ndarray, at: np.ndarray, none: float =
     return np.where(keys[i] == at, values[i], none)
 
 
+@dataclass
+class Counts:
+    """Hashes of words (or of contexts and words) and their counts in the ordinary and the toxic class."""
+
+    names: tuple[np.ndarray, ...]
+    of: tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
     """log P(toxic) - log P(ordinary) of a word after another: the word's share, the context's, and what a pair adds that either class keeps; then the logistic.
@@ -193,25 +210,26 @@ class Model:
     level: float = 0.0
 
     @staticmethod
-    def of(v: np.ndarray, w: np.ndarray, counts: tuple[np.ndarray, np.ndarray], words: np.ndarray, shared: np.ndarray, s: Settings = Settings()) -> Model:
-        """Pairs seen in either class, their counts in the ordinary and the toxic one; all words (sorted) with their shared probabilities."""
-        before = np.unique(v)
-        at_v, at_w = np.searchsorted(before, v), np.searchsorted(words, w)
-        both = counts[0] + counts[1]
-        pooled = both / np.bincount(at_v, both)[at_v]
+    def of(words: Counts, total: tuple[float, float], shared: np.ndarray, pairs: Counts, sizes: tuple[np.ndarray, np.ndarray], s: Settings = Settings()) -> Model:
+        """``words``: continuation counts of words (sorted), of which all words of a class have ``total``; ``shared``: their probabilities in the corpus.
+
+        ``pairs``: counts of pairs whose words are among them; ``sizes``: the
+        counts of all pairs of their contexts.  Words and pairs that no class
+        counts more than ``s.noise`` times would keep nothing and may be absent.
+        """
+        v, w = pairs.names
+        before, at_v = np.unique(v, return_inverse=True)
+        at_w = np.searchsorted(words.names[0], w)
+        pooled = (pairs.of[0] + pairs.of[1]) / np.maximum(1, sizes[0] + sizes[1])
         kept = lambda n, e, margin: np.maximum(0, n - margin * e - s.noise * np.sqrt(e + 1))
         rests, word_logs, left_logs, pair_logs = [], [], [], []
-        for n in counts:
-            kinds = np.bincount(at_w, n > 0, len(words))
-            total = kinds.sum()
-            own = kept(kinds, total * shared, s.margin)
-            rest = 1 - own.sum() / total
-            word = rest * shared + own / total
-            size = np.bincount(at_v, n)
-            more = kept(n, size[at_v] * np.maximum(pooled, word[at_w]), s.pair_margin)
-            left = 1 - np.bincount(at_v, more) / np.maximum(size, 1)
-            pair = more / np.maximum(size, 1)[at_v] + left[at_v] * word[at_w]
-            for logs, p in ((rests, rest), (word_logs, word), (left_logs, left), (pair_logs, pair)):
+        for k in (0, 1):
+            own = kept(words.of[k], total[k] * shared, s.margin)
+            rest = 1 - own.sum() / total[k]
+            word = rest * shared + own / total[k]
+            more = kept(pairs.of[k], sizes[k] * np.maximum(pooled, word[at_w]), s.pair_margin) / np.maximum(sizes[k], 1)
+            left = 1 - np.bincount(at_v, more, len(before))
+            for logs, p in ((rests, rest), (word_logs, word), (left_logs, left), (pair_logs, more + left[at_v] * word[at_w])):
                 logs.append(np.log(p))
         fixed = lambda logs: np.round((logs[1] - logs[0]) * FIXED) / FIXED
         unknown, word, context = float(fixed(rests)), fixed(word_logs), fixed(left_logs)
@@ -221,7 +239,7 @@ class Model:
         names, pair = names[order], pair[order]
         tell = np.abs(pair) > 2 / FIXED  # more than rounding
         told = word != unknown
-        return Model(words[told], word[told], unknown, before[context != 0], context[context != 0], names[tell], pair[tell])
+        return Model(words.names[0][told], word[told], unknown, before[context != 0], context[context != 0], names[tell], pair[tell])
 
     def per_word(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Each text's mean ratio; 0 without words."""
@@ -271,26 +289,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     spark = docs.sparkSession
     fitted = sample(docs, labels, learn, settings, doc_id, text, label)
     kinds = fitted.where("not held").mapInArrow(_count, "label int, u long, v long, w long").distinct()
-    counts = kinds.groupBy("v", "w").agg(*[F.count_if(F.col("label") == k).cast("double").alias(f"n{k}") for k in (0, 1)])
-    got = counts.toPandas()  # bounded by the sample's words
-    v, w = (got[c].to_numpy(np.int64).view(np.uint64) for c in "vw")
-    n = got["n0"].to_numpy(np.float64), got["n1"].to_numpy(np.float64)
-    if not n[0].any() or not n[1].any():
+    counts = stored(kinds.groupBy("v", "w").agg(*[F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1)]), "pairs")
+    total = counts.agg(*[F.count_if(F.col(f"n{k}") > 0).alias(f"n{k}") for k in (0, 1)]).first()
+    if not total.n0 or not total.n1:
         y = fitted.agg(F.sum("label").alias("ones"), F.count("*").alias("n")).first()
         share = ((y.ones or 0) + 0.5) / (y.n + 1)
         empty, none = np.zeros(0, np.uint64), np.zeros(0)
         return Model(empty, none, 0.0, empty, none, empty, none, 0.0, float(np.log(share / (1 - share))))
-    words = np.unique(w)
+    # only what a class counts often enough to keep any of it reaches the driver, with the sums that it is held against
+    often = F.greatest("n0", "n1") > settings.noise
+    sizes = counts.groupBy("v").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
+    pairs = counts.where(often).join(sizes, "v").toArrow()
+    words = counts.groupBy("w").agg(*[F.count_if(F.col(f"n{k}") > 0).alias(f"n{k}") for k in (0, 1)])
+    met = counts.where(often).select("w").distinct().withColumn("met", F.lit(True))
+    words = stored(words.join(met, "w", "left").where(often | F.col("met")).select("w", "n0", "n1"), "words")
     all_words = continuations(docs, text)
-    ours = spark.createDataFrame(pa.table({"w": _long(words)}))
-    total = all_words.agg(F.sum(F.round("n", 3).cast("decimal(38,3)"))).first()[0]
-    share = all_words.join(F.broadcast(ours), "w").toPandas()  # words of the sample only
-    keys = share["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    shared = np.maximum(_looked(keys[order], share["n"].to_numpy()[order], words), 1.0) / max(1.0, float(total or 0))
-    model = Model.of(v, w, n, words, shared, settings)
-    held = fitted.where("held").mapInArrow(_ratios(spark.sparkContext.broadcast(model)), "label int, x double").toPandas().sort_values(["label", "x"])
-    model.slope, model.level = logistic(held["x"].to_numpy(), held["label"].to_numpy(np.float64), settings.ridge)
+    every = float(all_words.agg(F.sum(F.round("n", 3).cast("decimal(38,3)"))).first()[0] or 1)
+    words = words.join(all_words, "w", "left").select("w", "n0", "n1", F.greatest(F.coalesce("n", F.lit(1.0)), F.lit(1.0)).alias("n")).toArrow()
+    words = words.take(pc.sort_indices(pa.array(_unsigned(words, "w"))))
+    named = Counts((_unsigned(words, "w"),), (_counts(words, "n0"), _counts(words, "n1")))
+    two = Counts((_unsigned(pairs, "v"), _unsigned(pairs, "w")), (_counts(pairs, "n0"), _counts(pairs, "n1")))
+    model = Model.of(named, (total.n0, total.n1), _counts(words, "n") / every, two, (_counts(pairs, "s0"), _counts(pairs, "s1")), settings)
+    held = fitted.where("held").mapInArrow(_ratios(spark.sparkContext.broadcast(model)), "label int, x double").toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
+    model.slope, model.level = logistic(_counts(held, "x"), _counts(held, "label"), settings.ridge)
     return model
 
 
