@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import urllib.request
 import warnings
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -89,10 +91,35 @@ def load_env(path: str | None) -> None:
                 os.environ.setdefault(name.strip(), value[1:-1] if quoted else value.split(" #")[0].strip())
 
 
+class Pace:
+    """A token bucket: calls may come ``per_second`` on average and ``burst`` at once.  Threads share one; None sets no pace."""
+
+    def __init__(self, per_second: float | None, burst: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.each = 1 / per_second if per_second else 0.0
+        self.burst, self.clock, self.sleep = burst, clock, sleep
+        self.lock = threading.Lock()
+        self.next = clock()
+
+    def wait(self) -> None:
+        if not self.each:
+            return
+        with self.lock:
+            now = self.clock()
+            # a bucket that was left alone holds no more than a burst
+            self.next = max(self.next, now - (self.burst - 1) * self.each)
+            late = self.next - now
+            self.next += self.each
+        if late > 0:
+            self.sleep(late)
+
+
 @dataclass
 class HttpJudge:
-    """Chat completions over HTTP, one task after another in each partition of the tasks (``partitions``: deal them anew).
+    """Chat completions over HTTP, up to ``in_flight`` at once in each partition of the tasks (``partitions``: deal them anew).
 
+    ``per_second`` and ``burst`` bound how often a partition calls, so a
+    cluster calls at most that often for each of its task slots.  Rows keep
+    their order; a call that fails waits and is tried again on its own.
     ``endpoints`` maps a model's key to (url, model name, environment variable
     of the key).  Keys are read on the executors and never enter a plan; a
     placeholder fails at once, without a call.  A failed call is a row with an
@@ -106,6 +133,9 @@ class HttpJudge:
     placeholder: str = "YOUR_"
     transport: Callable[..., dict] = field(default=post)
     env_file: str | None = None  # read where calls are made, for keys that the environment lacks
+    in_flight: int = 8
+    per_second: float | None = None
+    burst: int = 1
 
     def missing_keys(self) -> list[str]:
         """Variables that this machine has no key for, each with a warning: their calls will fail."""
@@ -130,19 +160,23 @@ class HttpJudge:
         except (KeyError, IndexError, TypeError, AttributeError) as e:
             raise RuntimeError(f"unexpected reply: {json.dumps(reply)[:300]}") from e
 
-    def answer(self, tasks: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def answers(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches with raw and error; at most ``in_flight`` calls are open at a time."""
+        pace = Pace(self.per_second, self.burst)
+
+        def one(t) -> tuple[str | None, str | None]:
+            pace.wait()
+            try:
+                return self.call(t.model, t.system_prompt, t.prompt), None
+            except Exception as e:  # any failure is this row's own
+                return None, str(e)
+
+        with ThreadPoolExecutor(self.in_flight) as pool:
             for batch in batches:
-                raw, error = [], []
-                for t in batch.itertuples():
-                    try:
-                        raw.append(self.call(t.model, t.system_prompt, t.prompt))
-                        error.append(None)
-                    except Exception as e:  # any failure is this row's own
-                        raw.append(None)
-                        error.append(str(e))
-                yield batch.assign(raw=raw, error=error)
+                got = list(pool.map(one, batch.itertuples()))
+                yield batch.assign(raw=[r for r, _ in got], error=[e for _, e in got])
 
+    def answer(self, tasks: DataFrame) -> DataFrame:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields)
         dealt = tasks.repartition(self.partitions) if self.partitions else tasks
-        return dealt.mapInPandas(run, f"{schema}, raw string, error string")
+        return dealt.mapInPandas(self.answers, f"{schema}, raw string, error string")

@@ -1,13 +1,17 @@
 import json
 import os
+import threading
+import time
+import uuid
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from siftwright.config import EvalConfig
 from siftwright.operators import evaluate, parse, reports, stats
-from siftwright.operators.judging import HttpJudge, SyntheticJudge, post
+from siftwright.operators.judging import HttpJudge, Pace, SyntheticJudge, post
 from siftwright.plans import batch, evaluation
 from siftwright.sources import corpus
 from siftwright.sources import reports as files
@@ -114,9 +118,9 @@ def test_report_files_as_they_are_written(spark, tmp_path):
     (tmp_path / "many.json").write_text(json.dumps([report, 3, report], indent=2), encoding="utf-8")
     (tmp_path / "l.jsonl").write_text(json.dumps(report) + "\n" + '{"a": 1} x\n"meta": {\n{"b": 2}{"c": 3}\n' + json.dumps(report) + "\n", encoding="utf-8")
     for mode, one, many in (("strict", 1, 3), ("objects", 1, 2), ("lenient", 1, 3)):
-        rows = files.read_reports(spark, str(tmp_path / "one.json"), mode).collect()
+        rows = files.read_reports(spark, str(tmp_path / "one.json"), mode).orderBy("ord").collect()
         assert len(rows) == one and repr(json.loads(rows[0].report)) == repr(report)
-        rows = files.read_reports(spark, str(tmp_path / "many.json"), mode).collect()
+        rows = files.read_reports(spark, str(tmp_path / "many.json"), mode).orderBy("ord").collect()
         assert [repr(json.loads(r.report)) for r in rows] == [repr(x) for x in [report, 3, report] if many == 3 or x != 3]
     assert len(files.read_reports(spark, str(tmp_path / "l.jsonl"), "lenient").collect()) == 2
     with pytest.raises(Exception, match="not JSON"):
@@ -232,6 +236,101 @@ def test_http_judge_with_a_stub(spark):
     assert (got[2].score, got[2].reason, got[2].error) == (None, "", "down") and "NO_SUCH_KEY" in got[3].error
 
 
+def test_calls_are_concurrent_bounded_and_in_order():
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def transport(url, payload, headers, timeout):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return {"choices": [{"message": {"content": payload["messages"][-1]["content"]}}]}
+
+    judge = HttpJudge({"m": ("http://x", "name", "STUB_KEY")}, transport=transport, in_flight=3)
+    tasks = pd.DataFrame({"model": "m", "system_prompt": None, "prompt": [f"p{i}" for i in range(20)]})
+    got = pd.concat(judge.answers(iter([tasks[:12], tasks[12:]])))
+    assert got.raw.tolist() == tasks.prompt.tolist() and 1 < most[0] <= 3
+
+
+def test_pace():
+    now, slept = [0.0], []
+    pace = Pace(2.0, burst=3, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(4):
+        pace.wait()
+    assert slept == [0.5, 1.0, 1.5]  # nothing has been saved up yet
+    now[0] += 100.0
+    slept.clear()
+    for _ in range(5):
+        pace.wait()
+    assert slept == [0.5, 1.0]  # a burst of three, then two a second
+    Pace(None).wait()
+
+
+class Counting:
+    """Answers of the synthetic judge; each call leaves a file, and a document may kill its task."""
+
+    def __init__(self, folder, kills=None, wait=0.0):
+        self.folder, self.kills, self.wait = str(folder), kills, wait
+
+    def answer(self, tasks):
+        folder, kills, wait = self.folder, self.kills, self.wait
+
+        def run(batches):
+            for batch in batches:
+                for t in batch.itertuples():
+                    if t.doc_id == kills:
+                        raise SystemError("the task is lost")
+                    open(f"{folder}/{t.doc_id}-{t.round}-{t.dim}-{t.model}-{uuid.uuid4().hex}", "w").close()
+                    time.sleep(wait)
+                yield batch
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields)
+        return SyntheticJudge().answer(tasks.mapInPandas(run, schema))
+
+
+def test_a_killed_run_keeps_its_answers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(evaluation, "TASKS", 24)
+    (tmp_path / "calls").mkdir()
+    docs = spark.createDataFrame([(i, f"t{i}", 3) for i in range(400)], "doc_id long, text string, n_chars long")
+    cfg, where = EvalConfig(rounds=1), str(tmp_path / "r")
+    with pytest.raises(Exception, match="the task is lost"):
+        evaluation.run_rounds(docs, Counting(tmp_path / "calls", kills=77), cfg, where)
+    while spark.sparkContext.statusTracker().getActiveStageIds():
+        time.sleep(0.2)
+    time.sleep(2)  # tasks that were killed have stopped calling
+    kept = spark.read.parquet(f"{where}/round=1").count()
+    made = len(os.listdir(tmp_path / "calls"))
+    assert 0 < kept <= made < 4800
+    got = evaluation.run_rounds(docs, Counting(tmp_path / "calls"), cfg, where)
+    assert got.count() == 4800 == got.select("doc_id", "dim", "model").distinct().count()
+    assert len(os.listdir(tmp_path / "calls")) == made + 4800 - kept  # what was kept is not asked again
+    assert made - kept <= 24 * 2 * 4 * 3  # what is lost is no more than the tasks that ran
+    again = evaluation.run_rounds(docs, Counting(tmp_path / "calls", kills=77), cfg, where)
+    assert again.count() == 4800 and len(os.listdir(tmp_path / "calls")) == made + 4800 - kept
+
+
+def test_partitions_and_batches_are_bounded():
+    assert evaluation._batches(0, 8) == 1 and evaluation._batches(12 * 10**9, 8) == evaluation.MOST
+    assert evaluation._batches(96 * 4 * 8 + 1, 8) == 2
+
+
+def test_progress_while_a_round_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(evaluation, "TASKS", 24)
+    (tmp_path / "calls").mkdir()
+    docs = spark.createDataFrame([(i, f"t{i}", 3) for i in range(60)], "doc_id long, text string, n_chars long")
+    cfg, where, seen = EvalConfig(rounds=2), str(tmp_path / "r"), []
+    work = threading.Thread(target=evaluation.run_rounds, args=(docs, Counting(tmp_path / "calls", wait=0.01), cfg, where))
+    work.start()
+    while work.is_alive():
+        seen.append([r.answered for r in evaluation.progress(spark, where, 60, cfg).orderBy("round").collect()])
+    rows = evaluation.progress(spark, where, 60, cfg).orderBy("round").collect()
+    assert [tuple(r) for r in rows] == [(1, 720, 720, 100.0), (2, 720, 720, 100.0)]
+    sums = [sum(x) for x in seen]
+    assert sums == sorted(sums) and len(set(sums)) > 2
+
+
 def test_post_retries():
     waits = []
 
