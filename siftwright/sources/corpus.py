@@ -31,7 +31,7 @@ def tagged(lines: DataFrame, item: str = "item") -> DataFrame:
     return lines.withColumn("tag", F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string")))
 
 
-def read_corpus(spark: SparkSession, path: str, block: int = splits.BLOCK) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
     """Items of UTF-8 files of any size (input_source, item, tag, line); an empty corpus raises."""
     out = splits.items(spark, path, block)
     if out.isEmpty():

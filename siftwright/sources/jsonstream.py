@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .splits import BLOCK, rows_in_order
+from .splits import rows_in_order
 
 #: bytes handled at once, or one row
 SLICE = 4 << 20
@@ -202,7 +202,7 @@ def _cut(torn: bool):
     return run
 
 
-def members(spark: SparkSession, paths: list[str] | str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def members(spark: SparkSession, paths: list[str] | str, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(file, ord, text) of every member of files that hold one array or one object, and (file, kind, blank) of all files.
 
     Text is raw JSON without white space around it; what is no JSON inside a

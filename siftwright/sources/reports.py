@@ -94,7 +94,7 @@ def _has_empty(spark: SparkSession, path: str) -> bool:
     return any(f.isFile() and f.getLen() == 0 for f in found)
 
 
-def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "strict", block: int = splits.BLOCK) -> DataFrame:
+def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "strict", block: int | None = None) -> DataFrame:
     """(file, ord, report) of report files of any size, as explode_files tells of small ones.
 
     mode strict: any JSON value, bad lines and empty files fail; objects:

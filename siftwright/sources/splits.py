@@ -6,9 +6,10 @@ running sum over a file's blocks (a few rows for each file) gives the number at
 which a block begins, and a second pass adds a row's place inside its block.
 No file, and no file's lines, are ever in one row or one task.
 
-Both passes must cut files alike.  Where Spark cuts depends on the cores that
-it finds when a scan starts, so files are read in a session of their own that
-fixes the size of a block: an executor lost or added in between changes nothing.
+Both passes must cut files alike.  Where Spark cuts depends on settings and on
+the cores that it finds when a scan starts, so files are read in a session of
+their own that fixes all of them once: an executor lost or added in between, or
+a setting that is changed, moves nothing.
 """
 
 from __future__ import annotations
@@ -18,22 +19,26 @@ from pyspark.sql import functions as F
 
 from ..functions.pytext import splitlines, strip
 
-#: bytes of a block
-BLOCK = 128 << 20
-#: session settings that fix where files are cut, whatever the cluster's size
-FIXED = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.maxPartitionNum": str((1 << 31) - 1), "spark.sql.files.openCostInBytes": str(4 << 20)}
+
+def fixed_session(spark: SparkSession, block: int | None, tasks: int | None = None) -> SparkSession:
+    """A session with the settings of ``spark``, in which files are cut at blocks of at most ``block`` bytes (None: as now) and for ``tasks`` tasks (None: the cores of now), whatever happens to either."""
+    own = spark.newSession()
+    for key, value in dict(spark.conf.getAll).items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.files.minPartitionNum", str(tasks or spark.sparkContext.defaultParallelism))
+    if block:
+        own.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    return own
 
 
-def rows_in_order(spark: SparkSession, paths: list[str] | str, separator: str | None = None, block: int = BLOCK) -> DataFrame:
+def rows_in_order(spark: SparkSession, paths: list[str] | str, separator: str | None = None, block: int | None = None) -> DataFrame:
     """(file, file_bytes, block, value): what stands between separators (without one: any line feed, carriage return or both), in order inside a block.
 
-    The frame belongs to a session of its own; its rows come in the files'
-    order within each task, so an expression above it may number them.
+    Its rows come in the files' order within each task, so an expression above
+    it may number them; passes that must agree have to start from one frame.
     """
-    own = spark.newSession()
-    for key, value in FIXED.items():
-        own.conf.set(key, value)
-    own.conf.set("spark.sql.files.maxPartitionBytes", block)
+    own = fixed_session(spark, block)
     reader = own.read if separator is None else own.read.option("lineSep", separator)
     meta = {"file": "file_path", "file_bytes": "file_size", "block": "file_block_start"}
     return reader.text(paths).select(*[F.col(f"_metadata.{of}").alias(name) for name, of in meta.items()], "value")
@@ -57,7 +62,7 @@ def pieces(value: Column) -> Column:
     return splitlines(F.concat(value, F.lit("\n")))
 
 
-def lines(spark: SparkSession, paths: list[str] | str, feeds_only: bool = False, block: int = BLOCK) -> DataFrame:
+def lines(spark: SparkSession, paths: list[str] | str, feeds_only: bool = False, block: int | None = None) -> DataFrame:
     """(file, block, pos, line): all lines that hold more than white space, stripped; pos counts every line from 0.
 
     Lines end as for str.splitlines or, with ``feeds_only``, at line feeds
@@ -72,7 +77,7 @@ def lines(spark: SparkSession, paths: list[str] | str, feeds_only: bool = False,
     return every.select("file", "block", "pos", strip(F.col("value")).alias("line")).where("line <> ''")
 
 
-def items(spark: SparkSession, paths: list[str] | str, block: int = BLOCK) -> DataFrame:
+def items(spark: SparkSession, paths: list[str] | str, block: int | None = None) -> DataFrame:
     """(file, item, line): nonblank lines, stripped; item counts them alone, from 1."""
     rows = rows_in_order(spark, paths, None, block).select("file", "block", F.explode(pieces(F.col("value"))).alias("value"))
     kept = rows.select("file", "block", strip(F.col("value")).alias("line")).where("line <> ''")
@@ -85,10 +90,7 @@ def heads(spark: SparkSession, files: list[str], limit: int) -> DataFrame:
     A file is one partition here and its scan stops after ``limit`` rows, so
     what is read does not grow with the file.  Each file is a scan of its own.
     """
-    own = spark.newSession()
-    for key, value in FIXED.items():
-        own.conf.set(key, value)
-    own.conf.set("spark.sql.files.maxPartitionBytes", (1 << 63) - 1)
+    own = fixed_session(spark, (1 << 63) - 1, tasks=1)
     out = None
     for file in files:
         rows = own.read.option("lineSep", "\n").text(file).limit(limit)
