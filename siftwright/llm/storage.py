@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,18 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+from ..storage import forget, fresh_path, shared_root
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset, in one local process (tests), a temporary folder set once."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="siftwright-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+__all__ = ["drop", "forget", "free", "fresh_path", "identified", "shared_root", "stored"]
 
 
 def free(columns: list[str], *names: str) -> list[str]:
@@ -53,12 +40,6 @@ def identified(df: DataFrame, row: str) -> DataFrame:
     return stored(df, "rows").withColumn(row, name)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
 #: rows and bytes of one Arrow batch while a table is written: texts are long, and each batch stands in memory several times over
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
@@ -90,24 +71,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes a stored table."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def drop(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in tables:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             forget(df.sparkSession, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            forget(spark, path)
-        except Exception:  # the session has ended: whoever owns the folder clears it
-            return

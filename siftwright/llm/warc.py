@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.splits import rows_in_order
 from .bitmaps import bitmap, tested
 from .storage import fresh_path, stored
 
@@ -107,9 +108,9 @@ def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z"
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magics, in the order of the files; mid names a row for as long as the files stay."""
-    raw = spark.read.option("lineSep", MAGIC).text(path)
-    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
+    """What lies between magics, in the order of the files; mid names a row for good, as splits.rows_in_order fixes where files are cut."""
+    raw = rows_in_order(spark, path, MAGIC)
+    return raw.select("value", "file", "block", F.monotonically_increasing_id().alias("mid"))
 
 
 def _chain(entries: bool):
@@ -225,13 +226,13 @@ def read_warc(spark: SparkSession, path: str, http: bool = True, payload: bool =
 
     simple = fields.join(marked.where("whole").select(*keys, "start"), keys)
     if payload:
-        simple = simple.join(_chunks(spark, path), keys).withColumn("payload", _record(value, http)["payload"])
+        simple = simple.join(chunk, keys).withColumn("payload", _record(value, http)["payload"])
     said += ["payload"] * payload
     # records whose payload holds a magic, and the pieces they own: rare, and joined in the order of the file
     owner = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     torn = marked.where("not whole").withColumn("own", F.last(F.when(F.col("real"), F.struct("start", "end")), True).over(owner)).where("start < own.end")
     torn = stored(torn.select(*keys, "start", "own"), "torn")  # its size is then known: a few rows are broadcast
-    pieces = _chunks(spark, path).join(torn, keys)
+    pieces = chunk.join(torn, keys)
     glued = pieces.groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("p"))
     glued = glued.select("file", F.col("own.start").alias("start"), F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).alias("value"))
     glued = glued.select("file", "start", *[v.alias(k) for k, v in _record(value, http).items() if k in said])

@@ -5,6 +5,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -612,7 +614,44 @@ def test_line_dedup_of_a_very_long_text(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     root = storage.shared_root(spark)
-    assert spark.conf.get("spark.checkpoint.dir") == root and storage.shared_root(spark) == root
+    assert spark.conf.get("spark.checkpoint.dir", root) == root and storage.shared_root(spark) == root
+
+
+def test_operators_run_where_no_setting_names_a_shared_folder(tmp_path):
+    """In a process of its own, as Spark's defaults of this machine name one."""
+    code = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", None)
+for name in ("op2_warc", "op7_line_dedup", "op12_conversation_repair"):
+    print("ROWS", name, entry.queries()[name](spark, "/root/testdata/sf0.001").count())
+"""
+    root = os.path.dirname(entry.__file__)
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert [x.split()[1:] for x in done.stdout.splitlines() if x.startswith("ROWS")] == [["op2_warc", "50"], ["op7_line_dedup", "200"], ["op12_conversation_repair", "20"]], done.stderr[-2000:]
+
+
+def test_no_record_depends_on_how_files_are_cut(spark, monkeypatch):
+    """The setting for splits changes before every table that is stored, and so between all reads of the archives."""
+    inner = "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    pages = [(i, "u", f"{i} " + inner * (i % 4) + "x" * (i % 700)) for i in range(300)]
+    sizes, keep = iter([1000, 7000, 2500, 90_000, 600, 11_000, 1 << 20, 3000] * 20), warc.stored
+
+    def moved(df, name):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return keep(df, name)
+
+    monkeypatch.setattr(warc, "stored", moved)
+    try:
+        for payload in (False, True):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+            out = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(3), payload=payload)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+            got = Counter((r.page_id, r.payload_bytes) for r in out.collect())
+            assert got == Counter((i, len(h)) for i, _, h in pages)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 @pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n.startswith("op")])
