@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pytext import SPACE, ascii_digits, collapse, strip
+from .pytext import SPACE, ascii_digits, collapse, once, strip
 
-# fixed values: score tag, loose number, marks of the short reason and the characters stripped from it
+# fixed values: score tag, loose number, marks that begin and end the short reason, and the characters stripped from it
 TAG = r"\[\[(\d+(?:\.\d+)?)\]\]"
 NUMBER = r"(\d+(?:\.\d+)?)"
-REASON = rf"(?s)精炼理由[:：]{SPACE}*(.+?)(?=完整分析|分数[:：]|\[\[|\z)"
+REASON_MARKS = ("精炼理由:", "精炼理由：")
+REASON_ENDS = ("完整分析", "分数:", "分数：", "[[")
 REASON_TRIM = " 。.；;，,"
 
 
@@ -26,11 +27,24 @@ def _short(x: Column, most: int) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…"))).otherwise(x)
 
 
+def _named(raw: Column) -> Column:
+    """What follows the first mark of a short reason, from its first character that is no white space up to an end mark after it; null without a mark."""
+
+    def up_to_end(body: Column) -> Column:
+        rest = F.substring(body, F.lit(2), F.length(body))  # an end mark that comes at once ends nothing
+        ends = F.array_min(F.filter(F.array(*[F.instr(rest, F.lit(e)) for e in REASON_ENDS]), lambda at: at > 0))
+        return F.concat(F.left(body, F.lit(1)), once(ends, lambda at: F.when(at.isNull(), rest).otherwise(F.left(rest, at - 1))))
+
+    at = F.array_min(F.filter(F.array(*[F.instr(raw, F.lit(m)) for m in REASON_MARKS]), lambda x: x > 0))
+    after = once(at, lambda x: F.substring(raw, x + len(REASON_MARKS[0]), F.length(raw)))
+    return once(F.regexp_replace(after, rf"\A{SPACE}+", ""), up_to_end)
+
+
 def extract_reason(raw: Column, most: int = 100) -> Column:
     """The short reason of an answer, else what stands before its score tag."""
-    named = F.btrim(collapse(F.regexp_extract(raw, REASON, 1)), F.lit(REASON_TRIM))
-    before = F.when(raw.rlike(TAG), F.regexp_extract(raw, rf"(?s)\A(.*?){TAG}", 1)).otherwise(raw)
-    return F.when(named != "", _short(named, most)).otherwise(_short(strip(collapse(before)), most))
+    tidy = lambda x: F.btrim(collapse(x), F.lit(REASON_TRIM))
+    before = once(strip(collapse(F.get(F.split(raw, TAG, 2), F.lit(0)))), lambda x: _short(x, most))
+    return once(tidy(_named(raw)), lambda named: F.when(named != "", _short(named, most)).otherwise(before))
 
 
 def bucket(score: Column) -> Column:

@@ -74,13 +74,13 @@ def classify(reports: DataFrame, threshold: float, report: str = "report") -> Da
 
 
 def flatten(reports: DataFrame, report: str = "report") -> DataFrame:
-    """Judgments of report strings: all other columns, round_pos, round, dim, model, score; strict numbers only."""
+    """Judgments of report strings: all other columns, round_pos, round, dim_pos, dim, model_pos, model, score; strict numbers only."""
     keep = [c for c in reports.columns if c != report]
     shape = "struct<rounds:array<struct<round:int,dimensions:map<string,map<string,variant>>>>>"
     rows = reports.select(*keep, F.from_json(report, shape, NO_LIMITS)["rounds"].alias("r"))
     rows = rows.select(*keep, F.posexplode("r").alias("round_pos", "r"))
     rows = rows.select(*keep, "round_pos", F.col("r.round").alias("round"), F.posexplode("r.dimensions").alias("dim_pos", "dim", "m"))
-    rows = rows.select(*keep, "round_pos", "round", "dim_pos", "dim", F.explode("m").alias("model", "v"))
+    rows = rows.select(*keep, "round_pos", "round", "dim_pos", "dim", F.posexplode("m").alias("model_pos", "model", "v"))
     score = F.try_variant_get("v", "$.score", "variant")
     return rows.where(is_number_strict(score)).withColumn("score", number(score)).drop("v")
 

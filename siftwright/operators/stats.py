@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EvalConfig
+from ..functions import exact
 from ..functions.pytext import round2
 from ..functions.score import bar, bucket
 from .evaluate import label
@@ -50,13 +51,19 @@ def model_table(rows: DataFrame, group: tuple[str, ...] = ("ord", "round_pos", "
     """Of flattened judgments: model, n, mean, std (of the sample, 0 for one), mean_diff.
 
     mean_diff averages a score's distance from the mean of the other models of
-    its report, round and dimension; null if it never had company.
+    its report, round and dimension (added in the report's order); null if it
+    never had company.  Sums are exact and rounded once, so the result depends
+    neither on the rows' order nor on partitions; a model is one row there.
     """
-    w = Window.partitionBy(*group)
-    n, total = F.count("score").over(w), F.sum("score").over(w)
-    apart = F.abs(F.col("score") - (total - F.col("score")) / F.nullif(n - 1, F.lit(0)))
-    out = rows.withColumn("apart", apart)
-    return out.groupBy("model").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.avg("apart").alias("mean_diff"))
+    place = "model_pos" if "model_pos" in rows.columns else "model"
+    # a group is a report's judgments of one dimension: a few rows
+    met = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), "model", "score"))).alias("g"))
+    met = met.select("g", F.posexplode("g").alias("i", "x"))
+    others = F.aggregate(F.filter("g", lambda y, j: j != F.col("i")), F.lit(0.0), lambda total, y: total + y["score"])
+    apart = F.when(F.size("g") > 1, F.abs(F.col("x.score") - others / (F.size("g") - 1)))
+    cut = met.select("x.model", exact.limbs(F.col("x.score")).alias("s"), apart.alias("apart")).withColumn("a", F.when(F.col("apart").isNotNull(), exact.limbs(F.col("apart"))))
+    told = cut.groupBy("model").agg(*exact.sums("s"), *exact.sums("a"))
+    return told.select("model", F.col("s_n").alias("n"), exact.mean("s_n", "s_s").alias("mean"), exact.deviation("s_n", "s_s", "s_p").alias("std"), F.when(F.col("a_n") > 0, exact.mean("a_n", "a_s")).alias("mean_diff"))
 
 
 def web_summary(classified: DataFrame, dims: DataFrame, cfg: EvalConfig) -> DataFrame:

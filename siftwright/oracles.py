@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from . import config as C
+from .plans import generation as G
 
 W = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -229,3 +230,66 @@ ORACLES: dict[str, str] = {
     "history_topk": """SELECT (row_number() OVER (ORDER BY id DESC))::int AS place, id, page, substr(log, 1, 1500) AS log
         FROM (SELECT strftime(ts, '%Y%m%d_%H%M%S') || '_' || lpad(event_id::varchar, 9, '0') AS id, event_type AS page, repeat(props, 100) AS log FROM events) ORDER BY id DESC LIMIT 20""",
 }
+
+#: files of 500 documents each
+_PARTS = "doc_id // 500"
+ORACLES["corpus_files"] = f"""
+WITH l AS (SELECT doc_id, {_PARTS} AS part, list_filter(list_transform({lines("text")}, lambda x: {strip("x")}), lambda x: x <> '') AS l FROM documents),
+u AS (SELECT doc_id, part, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l),
+n AS (SELECT part, line, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) AS item FROM u)
+SELECT part, item, CASE WHEN item < 10000 THEN lpad(item::varchar, 4, '0') ELSE item::varchar END AS tag, md5(line) AS line_md5 FROM n"""
+_KINDS = "(VALUES ('lines', '.jsonl'), ('array', '.json')) k(kind, suffix)"
+ORACLES["report_files_strict"] = f"SELECT kind || '-' || {_PARTS} || suffix AS name, count(*) AS n, count(*) - 1 AS last FROM documents, {_KINDS} GROUP BY 1"
+ORACLES["report_files_lenient"] = f"SELECT kind || '-' || {_PARTS} || suffix AS name, count(*) AS n FROM documents, {_KINDS} GROUP BY 1"
+ORACLES["report_files_scores"] = (
+    DIRTY
+    + f"""SELECT kind, convert_class, view_class, count(*) AS n, round(sum(CASE WHEN c.v = 7 THEN 1.0::double WHEN c.v < 7 THEN x END), 6) AS total,
+             sum(length(coalesce(text, '')) + CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 0 END)::bigint AS chars
+      FROM classes c JOIN d USING (doc_id) JOIN documents USING (doc_id), {_KINDS} WHERE c.v <> 13 GROUP BY ALL"""
+)
+
+CURATED = r"""
+WITH t AS (SELECT doc_id, text, source, lang, coalesce(text, '') AS x, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS form FROM documents),
+b AS (
+  SELECT *, list_filter([CASE WHEN NOT regexp_matches(x, '[\p{L}\p{N}]') THEN 'blank' END, CASE WHEN length(x) < 20 THEN 'short' END, CASE WHEN length(x) > 100000 THEN 'long' END,
+    CASE WHEN 2 * length(regexp_replace(x, '[^\p{L}]', '', 'g')) < length(x) THEN 'letters' END, CASE WHEN contains(x, chr(65533)) THEN 'undecoded' END,
+    CASE WHEN regexp_matches(x, '\{\{|\}\}|\[\[|\]\]') THEN 'template' END], lambda r: r IS NOT NULL) AS violations FROM t),
+f AS (SELECT form, count(*) AS n, arg_min(doc_id, (-length(text), doc_id)) AS of FROM b WHERE len(violations) = 0 AND form <> '' GROUP BY form),
+m AS (
+  SELECT b.*, CASE WHEN len(violations) = 0 AND n > 1 AND doc_id <> of THEN of END AS of FROM b LEFT JOIN f USING (form)),
+k AS (SELECT *, len(violations) = 0 AND of IS NULL AS kept FROM m)
+"""
+ORACLES["curate_ledger"] = CURATED + "SELECT doc_id, unnest(violations) AS rule, NULL::bigint AS of FROM k UNION ALL SELECT doc_id, 'duplicate', of FROM k WHERE of IS NOT NULL"
+ORACLES["curate_kept"] = CURATED + "SELECT doc_id, md5(text) AS text_md5 FROM k WHERE kept"
+ORACLES["curate_card"] = (
+    CURATED
+    + """SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(lang) = 0 THEN 'lang' ELSE 'all' END AS section, coalesce(source, lang) AS value, count(*) AS rows, count(*) FILTER (kept) AS kept,
+             count(*) FILTER (len(violations) > 0) AS broken, count(of) AS duplicates, coalesce(sum(length(text)) FILTER (kept), 0)::bigint AS chars FROM k GROUP BY GROUPING SETS ((), (source), (lang))"""
+)
+_ASKS = rows("asks", "paradigm, ask", list(G.ASKS.items()))
+_WRITERS = rows("writers", "model", [(m,) for m in G.MODELS])
+ORACLES["generation_plan"] = f"""
+WITH {_ASKS}, {_WRITERS},
+l AS (SELECT *, doc_id || '/' || paradigm || '/' || model || '/1' AS lineage FROM documents, asks, writers WHERE trim(text) <> '')
+SELECT lineage, generation, CASE WHEN generation > 1 THEN lineage || '#' || (generation - 1) END AS parent, doc_id AS seed, paradigm, model,
+       CASE WHEN generation = 1 THEN md5(replace(ask, '{{text}}', text)) END AS prompt_md5 FROM l, (VALUES (1), (2)) g(generation)"""
+COMPARED = (
+    JUDGED
+    + """, made AS (SELECT doc_id, coalesce(source, '-') AS generator, doc_id // 20 AS seed FROM documents),
+s AS (SELECT made.*, model AS judge, score FROM judged JOIN made USING (doc_id) WHERE round = 1 AND score IS NOT NULL),
+cells AS (SELECT generator, judge, count(*) AS n, sum(score) / count(*) AS mean FROM s GROUP BY ALL),
+matrix AS (SELECT *, (rank() OVER (PARTITION BY judge ORDER BY mean DESC))::int AS place FROM cells)
+"""
+)
+ORACLES["compare_matrix"] = COMPARED + "SELECT * FROM matrix"
+ORACLES["compare_agreement"] = (
+    COMPARED
+    + """, r AS (SELECT *, place + (count(*) OVER (PARTITION BY judge, mean) - 1) / 2 AS r FROM matrix)
+SELECT a.judge AS judge_a, b.judge AS judge_b, count(*) AS n, round(corr(a.r, b.r), 9) AS correlation FROM r a JOIN r b USING (generator) WHERE a.judge < b.judge GROUP BY ALL"""
+)
+ORACLES["compare_wins"] = (
+    COMPARED
+    + """, one AS (SELECT seed, judge, generator, sum(score) / count(*) AS mean FROM s GROUP BY ALL)
+SELECT x.generator AS a, y.generator AS b, count(*) AS games, sum(CASE WHEN x.mean > y.mean THEN 1.0::double WHEN x.mean < y.mean THEN 0.0 ELSE 0.5 END) AS points
+FROM one x JOIN one y ON x.seed = y.seed AND x.judge = y.judge AND x.generator < y.generator GROUP BY ALL"""
+)

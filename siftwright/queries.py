@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .config import EvalConfig
 from .functions.pytext import splitlines, strip
 from .functions.score import extract_reason
-from .operators import evaluate, parse, reports, stats
+from .operators import comparison, curation, evaluate, parse, reports, stats
 from .operators.judging import ReplayJudge, SyntheticJudge
-from .sources import corpus
+from .plans import generation
+from .sources import corpus, splits
 from .sources import reports as files
+from .storage import fresh_path
 
 CFG = EvalConfig()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,3 +383,114 @@ def pipeline_summary(spark, sf_dir):
 def history_topk(spark, sf_dir):
     runs = table(spark, sf_dir, "events").select(F.concat(F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("id"), F.col("event_type").alias("page"), F.repeat("props", 100).alias("log"))
     return corpus.latest_runs(runs).select("place", "id", "page", "log")
+
+
+# files: written by the query into the shared folder, then read
+
+#: documents in one file
+IN_A_FILE = 500
+
+
+def _folder(spark, name: str, rows: DataFrame, part: str) -> str:
+    """Rows (``part``, value), in order, as one text file a part; the path that finds them all."""
+    path = fresh_path(spark, name)
+    rows.write.partitionBy(part).text(path)
+    return f"{path}/*/*.txt"
+
+
+def _of(column: str, part: str):
+    return F.regexp_extract(column, f"{part}=([^/]+)/", 1)
+
+
+@query
+def corpus_files(spark, sf_dir):
+    """Items of corpus files that hold all documents, each file read by as many tasks as it has blocks."""
+    rows = documents(spark, sf_dir, "doc_id", F.expr(f"doc_id div {IN_A_FILE}").alias("part"), F.col("text").alias("value"))
+    where = _folder(spark, "corpus", rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value"), "part")
+    got = corpus.tagged(splits.items(spark, where))
+    return got.select(_of("file", "part").cast("long").alias("part"), "item", "tag", F.md5("line").alias("line_md5"))
+
+
+def _report_folder(spark, sf_dir, broken: bool = False) -> str:
+    """Every report twice: in files of JSON lines and in indented arrays."""
+    rows = marked_reports(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("lines"), F.lit("array"))).alias("kind"), "report")
+    lines = F.col("kind") == "lines"
+    rows = rows.withColumn("file", F.concat("kind", F.lit("-"), F.expr(f"doc_id div {IN_A_FILE}").cast("string"), F.when(lines, ".jsonl").otherwise(".json")))
+    rows = rows.withColumn("report", F.replace("report", F.lit("\x01"), F.when(lines, "").otherwise("\n  ")))
+    got = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("doc_id", "report"))).alias("r")).withColumn("r", F.transform("r", lambda x: x["report"]))
+    bad = F.lit("\n" + "\n".join(HOSTILE) + "\n" if broken else "")
+    text = F.when(F.col("file").startswith("lines"), F.concat(bad, F.array_join("r", "\n\n"))).otherwise(F.concat(F.lit("["), F.array_join("r", ", "), F.lit("]")))
+    return _folder(spark, "reports", got.select("file", text.alias("value")), "file")
+
+
+@query
+def report_files_strict(spark, sf_dir):
+    rows = files.read_reports(spark, _report_folder(spark, sf_dir))
+    return rows.groupBy(_of("file", "file").alias("name")).agg(F.count("*").alias("n"), F.max("ord").alias("last"))
+
+
+@query
+def report_files_lenient(spark, sf_dir):
+    rows = files.read_reports(spark, _report_folder(spark, sf_dir, broken=True), "lenient")
+    return rows.groupBy(_of("file", "file").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query
+def report_files_scores(spark, sf_dir):
+    """What is read from files is what was written, whole texts and NaN included."""
+    seen = reports.classify(files.read_reports(spark, _report_folder(spark, sf_dir), "objects"), CFG.threshold)
+    return seen.groupBy(F.split_part(_of("file", "file"), F.lit("-"), F.lit(1)).alias("kind"), "convert_class", "view_class").agg(F.count("*").alias("n"), F.round(F.sum(F.when(~F.isnan("overall"), F.col("overall"))), 6).alias("total"), F.sum(F.length("text")).alias("chars"))
+
+
+# curated sets, generation, comparison
+
+
+def _curated(spark, sf_dir):
+    return curation.curate(documents(spark, sf_dir, "doc_id", "text", "source", "lang"))
+
+
+@query
+def curate_ledger(spark, sf_dir):
+    return _curated(spark, sf_dir).ledger
+
+
+@query
+def curate_kept(spark, sf_dir):
+    return _curated(spark, sf_dir).kept.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def curate_card(spark, sf_dir):
+    return curation.card(_curated(spark, sf_dir), ["source", "lang"])
+
+
+@query
+def generation_plan(spark, sf_dir):
+    rows = generation.plan(documents(spark, sf_dir, "doc_id", "text"), generation.GenerationConfig())
+    return rows.select("lineage", "generation", "parent", "seed", "paradigm", "model", F.md5("prompt").alias("prompt_md5"))
+
+
+def _compared(spark, sf_dir):
+    """Documents as what their source made of a seed, judged in the first round."""
+    made = documents(spark, sf_dir, "doc_id", F.coalesce("source", F.lit("-")).alias("generator"), F.expr("doc_id div 20").alias("seed"))
+    return judgments(spark, sf_dir, [1]).select("doc_id", F.col("model").alias("judge"), "score").join(made, "doc_id")
+
+
+@query
+def compare_matrix(spark, sf_dir):
+    return comparison.matrix(_compared(spark, sf_dir))
+
+
+@query
+def compare_agreement(spark, sf_dir):
+    return comparison.agreement(comparison.matrix(_compared(spark, sf_dir))).withColumn("correlation", F.round("correlation", 9))
+
+
+@query
+def compare_wins(spark, sf_dir):
+    return comparison.wins(_compared(spark, sf_dir))
+
+
+@query
+def compare_strengths(spark, sf_dir):
+    return comparison.strengths(comparison.wins(_compared(spark, sf_dir)))

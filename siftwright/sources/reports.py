@@ -99,7 +99,8 @@ def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "stric
 
     mode strict: any JSON value, bad lines and empty files fail; objects:
     objects only, bad lines fail; lenient: bad lines, and files that are no
-    JSON as a whole and not named ``.jsonl``, are left out.  Large files are
+    JSON as a whole and not named ``.jsonl`` (as their folder may be, too), are
+    left out.  Large files are
     read by many tasks, arrays too; a report has to fit in a row.
     """
     strict = mode != "lenient"
@@ -113,7 +114,7 @@ def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "stric
         if blank:
             raise ValueError(f"empty file: {blank.file}")
     parts = parts.select("file", "ord", F.col("text").alias("report"))
-    named = F.col("file").endswith(".jsonl")
+    named = F.col("file").rlike(r"\.jsonl(/[^/]*)?$")
     by_line = splits.rows_in_order(spark, paths, "\n", block).select("file", "block", strip(F.col("value")).alias("report")).where("report <> ''")
     by_line = by_line.where(named) if not strict else by_line.join(kinds.where("kind = 'lines'").select("file"), "file", "left_semi")
     ok = valid(F.col("report"))
