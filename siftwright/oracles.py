@@ -209,7 +209,7 @@ ORACLES: dict[str, str] = {
     + """SELECT convert_class, view_class, count(*) AS n, count(*) FILTER (c.v = 11) AS nan, round(sum(CASE WHEN c.v = 7 THEN 1.0::double WHEN c.v < 7 THEN x END), 6) AS total,
              sum(length(coalesce(text, '')) + CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 0 END)::bigint AS chars
       FROM classes c JOIN d USING (doc_id) JOIN documents USING (doc_id) WHERE c.v <> 13 GROUP BY ALL""",
-    "jsonl_preview": f"""WITH {FILES}, n AS (SELECT file, count(*) AS k FROM f WHERE file LIKE 'lines-%' GROUP BY file)
+    "jsonl_preview": """WITH n AS (SELECT 'lines-' || doc_id // 30 || '.jsonl' AS file, count(*) AS k FROM documents GROUP BY 1)
         SELECT file, least(k, 4) AS n_values, 2 AS n_raw, (1 + 2 * least(k, 4))::int AS last_pos FROM n""",
     "viz_summary": DIRTY
     + """SELECT count(*) AS total, count(*) FILTER (view_class = 'passed') AS passed, count(*) FILTER (view_class = 'failed') AS failed, count(*) FILTER (view_class = 'invalid') AS invalid,

@@ -331,8 +331,10 @@ def reports_scan_scores(spark, sf_dir):
 
 @query
 def jsonl_preview(spark, sf_dir):
-    lines = report_files(spark, sf_dir).where("file like '%.jsonl'").withColumn("content", F.concat(F.lit("not json\n" + HOSTILE[1] + "\n"), "content"))
-    return files.preview(lines, limit=10).groupBy("file").agg(F.count("value").alias("n_values"), F.count("raw").alias("n_raw"), F.max("pos").alias("last_pos"))
+    """The first lines of files that hold all reports, thirty a file, after two lines that are no JSON."""
+    rows = dirty_reports(spark, sf_dir).groupBy(F.expr("concat('lines-', doc_id div 30, '.jsonl')").alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "report"))).alias("r"))
+    text = F.concat(F.lit("not json\n" + HOSTILE[1] + "\n\n"), F.array_join(F.transform("r", lambda x: x["report"]), "\n\n"), F.lit("\n"))
+    return files.preview(rows.select("file", text.alias("content")), limit=10).groupBy("file").agg(F.count("value").alias("n_values"), F.count("raw").alias("n_raw"), F.max("pos").alias("last_pos"))
 
 
 # statistics
