@@ -24,14 +24,14 @@ def words(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def corpus(n=600, seed=1):
+def corpus(n=600, seed=1, vocabulary=150):
     """Two languages; each eighth text has marks of toxicity, and half of the texts are near copies of another, toxic or not."""
     rng = random.Random(seed)
-    names = [[f"{c}{i}" for i in range(150)] for c in "xy"]
+    names = [[f"{c}{i}" for i in range(vocabulary)] for c in "xy"]
     bad = [f"bad{i}" for i in range(6)]
     texts, rows = [], []
     for i in range(n):
-        own = rng.choice(texts).split() if texts and rng.random() < 0.5 else [rng.choice(rng.choice(names[i % 2 :][:1])) for _ in range(rng.randint(5, 120))]
+        own = rng.choice(texts).split() if texts and rng.random() < 0.5 else [rng.choice(names[i % 3 % 2]) for _ in range(rng.randint(5, 120))]
         texts.append(" ".join(own))
         toxic = i % 8 == 0
         for _ in range(max(1, len(own) // 20) * toxic):
@@ -113,7 +113,7 @@ def test_ratios_are_those_of_dictionaries(spark):
 
 
 def test_held_out_texts(spark):
-    rows = corpus(2500)
+    rows = corpus(2500, vocabulary=4000)
     docs, labels = frames(spark, rows)
     model = T.train(docs, labels, learn=~T.held_out())
     got = {r.doc_id: r.score for r in T.score_documents(docs, model).collect()}
@@ -130,12 +130,19 @@ def test_odd_rows(spark):
     odd = [(None, "bad1 x1", None), (900, None, 1), (901, "", 0), (902, " ,.! ", 0), (3, rows[3][1], 0), (3, "another", 0), (903, "x1 " * 500_000 + "bad1", 0), (904, None, None)]
     docs, labels = frames(spark, rows + odd)
     out = T.score_documents(docs, T.train(docs, labels.union(labels), learn=~T.held_out()))
-    assert out.columns == ["doc_id", "text", "label", "toxic", "w", "score"]
+    assert out.columns == docs.columns
     got = out.collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if not words(r.text)}) == 1
 
 
+def test_texts_that_tell_nothing_are_ordinary(spark):
+    rows = [(i, f"x{i % 7} y{i % 5} z", i % 2) for i in range(80)]
+    docs, labels = frames(spark, rows)
+    got = [r.score for r in T.score_documents(docs, T.train(docs, labels, learn=~T.held_out())).collect()]
+    assert max(got) < 0.5
+
+
 @pytest.mark.parametrize("labels", [[], [0, 0, 0], [1, 1]])
 def test_labels_of_one_kind_or_none(spark, labels):
     docs, known = frames(spark, [(i, f"t{i} a", y) for i, y in enumerate([*labels, None])])
