@@ -263,7 +263,7 @@ def _keep(k: int):
                     a, b = stay[:-1], stay[1:]
                     joined[1:] = (b == a + 1) & (w.doc[a] == w.doc[b]) & (w.start[b] == w.end[a] + 1) & (data[np.minimum(w.end[a], len(data) - 1)] == 32)
                 head = np.flatnonzero(~joined[: len(stay)])
-                tail = np.r_[head[1:], len(stay)] - 1
+                tail = np.r_[head[1:], len(stay)][: len(head)] - 1  # none where a chunk keeps no word
                 begin, end = w.start[stay[head]].tolist(), w.end[stay[tail]].tolist()
                 cut = np.searchsorted(w.doc[stay[head]], np.arange(hi - lo + 1)).tolist()
                 raw = data.tobytes()

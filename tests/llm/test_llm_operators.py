@@ -435,6 +435,16 @@ def test_substring(docs, rows, none, k):
     assert substring.remove_repeats(none, k).count() == 0
 
 
+def test_substring_of_chunks_that_keep_no_word(spark):
+    """A chunk of texts without words, and one whose every word goes."""
+    kept = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = lambda rows: sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 20).collect())
+    assert got([(1, None), (2, ""), (3, " \n")]) == [(i, 0, 0, kept(""), "") for i in (1, 2, 3)]
+    long = " ".join(f"w{i}" for i in range(150_000))  # more bytes than a chunk takes: each copy is one
+    assert len(long) > 1 << 20
+    assert got([(1, long), (2, long)]) == [(1, 150_000, 0, kept(long), long), (2, 150_000, 150_000, kept(""), "")]
+
+
 def naive_statistics(t):
     b = t.encode()
     w = [x.encode() for x in WORD.findall(t)]
