@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # fixed values: what str.isspace and str.splitlines recognise
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NO_SPACE = SPACE.replace("[", "[^")
 BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 
 TWO_60 = 1 << 60
@@ -20,8 +21,14 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """str.strip()."""
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")
+    """str.strip().  The last pattern is tried all along a text, so only texts with white space at an end are searched."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(SPACE), F.regexp_replace(F.regexp_replace(text, rf"\A{SPACE}+", ""), rf"{SPACE}+\z", "")).otherwise(text)
+
+
+def blank(text: Column) -> Column:
+    """not str.strip()."""
+    return ~text.rlike(NO_SPACE)
 
 
 def splitlines(text: Column) -> Column:

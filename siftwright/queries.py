@@ -415,11 +415,12 @@ def corpus_files(spark, sf_dir):
 
 def _report_folder(spark, sf_dir, broken: bool = False) -> str:
     """Every report twice: in files of JSON lines and in indented arrays."""
-    rows = marked_reports(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("lines"), F.lit("array"))).alias("kind"), "report")
+    part = F.expr(f"doc_id div {IN_A_FILE}").alias("part")
+    rows = marked_reports(spark, sf_dir).groupBy(part).agg(F.array_sort(F.collect_list(F.struct("doc_id", "report"))).alias("r"))
+    rows = rows.select("part", "r", F.explode(F.array(F.lit("lines"), F.lit("array"))).alias("kind"))
     lines = F.col("kind") == "lines"
-    rows = rows.withColumn("file", F.concat("kind", F.lit("-"), F.expr(f"doc_id div {IN_A_FILE}").cast("string"), F.when(lines, ".jsonl").otherwise(".json")))
-    rows = rows.withColumn("report", F.replace("report", F.lit("\x01"), F.when(lines, "").otherwise("\n  ")))
-    got = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("doc_id", "report"))).alias("r")).withColumn("r", F.transform("r", lambda x: x["report"]))
+    file = F.concat("kind", F.lit("-"), F.col("part").cast("string"), F.when(lines, ".jsonl").otherwise(".json"))
+    got = rows.select(file.alias("file"), F.transform("r", lambda x: F.replace(x["report"], F.lit("\x01"), F.when(lines, "").otherwise("\n  "))).alias("r"))
     bad = F.lit("\n" + "\n".join(HOSTILE) + "\n" if broken else "")
     text = F.when(F.col("file").startswith("lines"), F.concat(bad, F.array_join("r", "\n\n"))).otherwise(F.concat(F.lit("["), F.array_join("r", ", "), F.lit("]")))
     return _folder(spark, "reports", got.select("file", text.alias("value")), "file")

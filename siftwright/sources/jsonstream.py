@@ -40,6 +40,7 @@ _QUOTE, _ESCAPE, _COMMA = 34, 92, 44
 _DEPTH = np.zeros(256, np.int64)
 _DEPTH[[ord("["), ord("{")]] = 1
 _DEPTH[[ord("]"), ord("}")]] = -1
+_MARK = (_DEPTH != 0) | (np.arange(256) == _COMMA)
 _BLANK = np.isin(np.arange(256), list(SPACES.encode()))
 
 
@@ -88,11 +89,10 @@ def _quotes(data: np.ndarray) -> np.ndarray:
     return quote
 
 
-def _outside(data: np.ndarray, inside: int) -> tuple[np.ndarray, int]:
-    """Which bytes stand outside of strings, and whether the last stands inside."""
-    quote = _quotes(data)
-    parity = np.cumsum(quote, dtype=np.int64) + inside
-    return (parity % 2 == 0) & ~quote, int(parity[-1] % 2) if len(data) else inside
+def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of brackets, braces and commas, whether an odd number of quotes stands before each, and the same of all bytes."""
+    at, quotes = np.flatnonzero(_MARK[data]), np.flatnonzero(_quotes(data))
+    return at, np.searchsorted(quotes, at) % 2, len(quotes) % 2
 
 
 SUMMARY = "file string, block long, bytes long, odd int, first int, last int, prior int, " + ", ".join(f"deeper{s} long, commas{s} map<long,long>, ends{s} map<long,long>" for s in (0, 1))
@@ -121,15 +121,16 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r["first"] = int(data[solid[0]]) if r["first"] is None else r["first"]
             r["prior"] = int(data[solid[-2]]) if len(solid) > 1 else r["last"]  # null: the last is the block's only one
             r["last"] = int(data[solid[-1]])
+        at, odd, more = _marks(data)
         for s in (0, 1):
-            outside, _ = _outside(data, r["odd"] ^ s)
-            step = _DEPTH[data] * outside
+            mark = data[at[odd == r["odd"] ^ s]]
+            step = _DEPTH[mark]
             depth = np.cumsum(step) + r[f"deeper{s}"]
-            for name, which in (("commas", outside & (data == _COMMA)), ("ends", step < 0)):
+            for name, which in (("commas", mark == _COMMA), ("ends", step < 0)):
                 for d, n in zip(*np.unique(depth[which], return_counts=True), strict=True):
                     r[f"{name}{s}"][int(d)] = r[f"{name}{s}"].get(int(d), 0) + int(n)
-            r[f"deeper{s}"] = int(depth[-1])
-        r["odd"] ^= int(_quotes(data).sum() % 2)
+            r[f"deeper{s}"] += int(step.sum())
+        r["odd"] ^= more
     yield from told(list(kept))
 
 
@@ -184,18 +185,19 @@ def _cut(torn: bool):
                 pieces.append(data.tobytes())
                 yield from rows(done)
                 continue
-            outside, inside = _outside(data, state["inside"])
-            step = _DEPTH[data] * outside
+            places, odd, more = _marks(data)
+            places = places[odd == state["inside"]]
+            step = _DEPTH[data[places]]
             depth = np.cumsum(step) + state["depth"]
             lo = 0
-            for at in np.flatnonzero(outside & (data == _COMMA) & (depth == 1)).tolist():
+            for at in places[(step == 0) & (depth == 1)].tolist():
                 pieces.append(data[lo:at].tobytes())
                 if state["first"] == torn:  # what stands before a block's first comma may have begun in another
                     done.append((key[0], state["ord"], key[1], b"".join(pieces)))
                 pieces, lo = [], at + 1
                 state["ord"], state["first"] = state["ord"] + 1, False
             pieces.append(data[lo:].tobytes())
-            state["inside"], state["depth"] = inside, int(depth[-1])
+            state["inside"], state["depth"] = state["inside"] ^ more, state["depth"] + int(step.sum())
             yield from rows(done)
         yield from rows(ended())
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pytext import strip
+from ..functions.pytext import blank, strip
 from ..storage import file_system
 from . import jsonstream, splits
+from .jsonstream import SPACES
 
 OBJECT = "map<string,variant>"
 ROUNDS = "struct<rounds:array<variant>>"
@@ -38,7 +39,14 @@ def valid(j: Column) -> Column:
 
 
 def is_object(j: Column) -> Column:
-    return valid(j) & F.ltrim(j, F.lit(" \t\r\n")).startswith("{")
+    return valid(j) & F.ltrim(j, F.lit(SPACES)).startswith("{")
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ok``, whether report is valid: worked out once, as no filter on it moves below a one-row explode."""
+    keep = [c for c in rows.columns if c != "report"]
+    one = rows.select(*keep, F.explode(F.array("report")).alias("report")).withColumn("ok", valid(F.col("report")))
+    return one.select(*keep, F.explode(F.array(F.struct("report", "ok"))).alias("x_")).select(*keep, "x_.report", "x_.ok")
 
 
 def members(array: Column) -> Column:
@@ -65,7 +73,7 @@ def explode_files(files: DataFrame, strict: bool = True, objects: bool = False)
     separators inside strings do no harm.
     """
     c = F.col("content")
-    body = F.ltrim(c, F.lit(" \t\r\n"))
+    body = F.ltrim(c, F.lit(SPACES))
     parts = F.when(body.startswith("["), members(c)).when(body.startswith("{"), F.array(strip(c)))
     whole = F.when(valid(c), parts)
     lines = F.filter(F.transform(F.split("content", "\n"), strip), lambda x: x != "")
@@ -110,22 +118,24 @@ def read_reports(spark: SparkSession, paths: list[str] | str, mode: str = "stric
                 raise ValueError(f"empty file: {path}")
     parts, kinds = jsonstream.members(spark, paths, block)
     if mode == "strict":
-        blank = kinds.where("blank").first()
-        if blank:
-            raise ValueError(f"empty file: {blank.file}")
+        empty = kinds.where("blank").first()
+        if empty:
+            raise ValueError(f"empty file: {empty.file}")
     parts = parts.select("file", "ord", F.col("text").alias("report"))
     named = F.col("file").rlike(r"\.jsonl(/[^/]*)?$")
-    by_line = splits.rows_in_order(spark, paths, "\n", block).select("file", "block", strip(F.col("value")).alias("report")).where("report <> ''")
+    # lines are stripped when they are numbered, of these files alone: the others may be large
+    by_line = splits.rows_in_order(spark, paths, "\n", block).select("file", "block", "value").where(~blank(F.col("value")))
     by_line = by_line.where(named) if not strict else by_line.join(kinds.where("kind = 'lines'").select("file"), "file", "left_semi")
-    ok = valid(F.col("report"))
-    if strict:
-        out = parts.unionByName(splits.numbered(by_line, "ord").select("file", "ord", "report"))
-        out = out.withColumn("report", F.when(ok, F.col("report")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" item "), F.col("ord")))))
-    else:
-        parts = parts.where(~named)
-        parts = parts.join(parts.where(~ok).select("file").distinct(), "file", "left_anti")
-        out = parts.unionByName(splits.numbered(by_line, "ord").select("file", "ord", "report").where(ok))
-    return out.where(is_object(F.col("report"))) if mode == "objects" else out
+    by_line = splits.numbered(by_line, "ord").select("file", "ord", strip(F.col("value")).alias("report"))
+    bad = F.raise_error(F.concat(F.lit("not JSON: "), F.col("file"), F.lit(" item "), F.col("ord")))
+    if mode == "strict":
+        return parts.unionByName(by_line).withColumn("report", F.when(valid(F.col("report")), F.col("report")).otherwise(bad))
+    if mode == "objects":
+        opens = F.ltrim(F.col("report"), F.lit(SPACES)).startswith("{")
+        return _checked(parts.unionByName(by_line)).where(F.when(F.col("ok"), opens).otherwise(bad.cast("boolean"))).drop("ok")
+    parts = _checked(parts.where(~named))
+    parts = parts.join(parts.where("not ok").select("file").distinct(), "file", "left_anti")
+    return parts.drop("ok").unionByName(_checked(by_line).where("ok").drop("ok"))
 
 
 def preview_files(spark: SparkSession, files: list[str], limit: int = 100) -> DataFrame:

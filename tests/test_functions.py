@@ -68,6 +68,13 @@ def test_strip_and_splitlines(spark, text):
     assert (r.s, r.l) == (text.strip(), text.splitlines())
 
 
+def test_blank_and_strip_of_every_white_space(spark):
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [*white, "".join(white), *[w + "é" for w in white], *["😀" + w for w in white], *[f"{w}a{w}b{w}" for w in white], "", "\x00", "\u200b", "\ufeff ", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pytext.strip(F.col("t")).alias("s"), pytext.blank(F.col("t")).alias("b")).collect()
+    assert [(r.s, r.b) for r in got] == [(t and t.strip(), None if t is None else not t.strip()) for t in texts]
+
+
 def test_bucket_and_bar(spark):
     df = spark.createDataFrame([(3.99,), (4.0,), (6.99,), (7.0,), (None,), (float("nan"),), (2.5,), (11.0,)], "x double")
     got = df.select(score.bucket(F.col("x")).alias("b"), score.bar(F.col("x")).alias("bar")).collect()

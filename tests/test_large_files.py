@@ -106,6 +106,19 @@ def test_several_values_are_lines(spark, tmp_path):
         files.read_reports(spark, put(tmp_path, e__json=" \n"))
 
 
+def test_a_report_is_parsed_once_to_be_checked(spark, tmp_path):
+    path = put(tmp_path, a__json='[{"a": 1}, [2]]', l__jsonl='{"b": 1}\n \n3\n', bad__jsonl='{"c": 1}\n{"c"\n')
+    for mode in ("objects", "lenient"):
+        plan = files.read_reports(spark, path, mode)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        parsed = [(line.strip("+-: ").split()[0], line.count("from_json(")) for line in plan if "from_json(" in line]
+        # a projection works out what it names twice once, a filter does not
+        assert parsed and all(name == "Project" and n <= 2 for name, n in parsed)
+    good = files.read_reports(spark, [str(tmp_path / "a.json"), str(tmp_path / "l.jsonl")], "objects")
+    assert sorted((r.file[-1], r.ord, r.report) for r in good.collect()) == [("l", 0, '{"b": 1}'), ("n", 0, '{"a": 1}')]
+    with pytest.raises(Exception, match="not JSON"):  # counted or read
+        files.read_reports(spark, path, "objects").count()
+
+
 def test_a_report_of_25_megabytes(spark, tmp_path):
     """A text longer than the parser's usual bound, and a number of 2,000 digits."""
     text = ("x" * 4999 + "}") * 5_200
